@@ -9,6 +9,7 @@ from telvane.functions import confusion as C
 from telvane.functions.scalars import col, ratio
 from telvane.operators.quantiles import exact_quantiles
 from telvane.operators.ranking import ranking_metrics
+from telvane.operators.search import best_threshold, spread_alphas
 from telvane.operators.series import CHUNK, in_chunks
 
 # The quality targets a detector is checked against.
@@ -210,11 +211,11 @@ def held_out_recall(df: DataFrame, attack: str, thresholds: dict[str, tuple[str,
     )
 
 
-def top_rows(df: DataFrame, by: str = "f1", n: int = 30) -> DataFrame:
+def top_rows(df: DataFrame, by: str = "f1", n: int = 30, ties: list[str] = ()) -> DataFrame:
     """The n best rows without the columns that are null throughout the table."""
     filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     shown = [c for c in df.columns if filled[c]]
-    return df.orderBy(F.col(by).desc_nulls_last()).limit(n).select(*[F.col(f"`{c}`") for c in shown])
+    return df.orderBy(F.col(by).desc_nulls_last(), *ties).limit(n).select(*[F.col(f"`{c}`") for c in shown])
 
 
 def dataset_summary(df: DataFrame, label: str = "label", category: str = "attack_cat", by: list[str] | None = None) -> DataFrame:
@@ -223,3 +224,19 @@ def dataset_summary(df: DataFrame, label: str = "label", category: str = "attack
         F.count(F.lit(1)).alias("rows"), C.count_where(F.col(label) == 0).alias("normal"), C.count_where(F.col(label) == 1).alias("attack"),
         F.round(F.avg(F.col(label).cast("double")), 4).alias("attack_ratio"),
     )
+
+
+def alpha_sweep(val, test, alphas: list[float]):
+    """Per alpha: best validation threshold, and the test metrics there."""
+    best = best_threshold(spread_alphas(val, alphas), slices=["a", "alpha"]).select("a", F.col("threshold").alias("tau"))
+    scored = spread_alphas(test, alphas).join(F.broadcast(best), "a")  # one row per alpha
+    return metrics(scored, "tau", slices=["alpha"])
+
+
+def metrics_at_best(long: DataFrame, variant: str = "variant", at_least: float = 0.0, label: str = "label") -> DataFrame:
+    """Per variant of a long table (split, label, i, variant, score): threshold from 'val', metrics on 'test'."""
+    best = best_threshold(long.filter(F.col("split") == "val"), label=label, slices=["i"])
+    tau = best.select("i", F.greatest("threshold", F.lit(at_least)).alias("tau"))
+    # One row per variant.
+    tested = long.filter(F.col("split") == "test").join(F.broadcast(tau), "i")
+    return metrics(tested, "tau", label=label, slices=[variant])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from telvane.functions import confusion as C
 from telvane.functions import fusion
-from telvane.functions.context import adaptive_tau
-from telvane.functions.scalars import grid_bin
+from telvane.functions.context import activity_factor
+from telvane.functions.scalars import clip, grid_bin, total
 from telvane.operators.ranking import ranking_metrics, search_best
 from telvane.schema import SUITE, ThresholdPreset
 
@@ -67,14 +67,14 @@ def threshold_counts(df: DataFrame, score: str = "score", label: str = "label",
     whole = hist.groupBy(*slices).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.collect_list(F.struct("bin", "pos", "neg")).alias("bins")
     )
-    steps = whole.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(grid.top))))
+    steps = whole.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(grid.top))))
     above = lambda side: F.aggregate(
         "bins", F.lit(0).cast("long"),
-        lambda acc, b: acc + F.when(b["bin"] >= F.col("i"), b[side]).otherwise(F.lit(0).cast("long")),
+        lambda acc, b: acc + F.when(b["bin"] >= F.col("step"), b[side]).otherwise(F.lit(0).cast("long")),
     )
     counted = steps.withColumn("tp", above("pos")).withColumn("fp", above("neg"))
     return counted.select(
-        *slices, "i", (F.col("i") / F.lit(float(grid.steps))).alias("threshold"), "tp", "fp",
+        *slices, "step", (F.col("step") / F.lit(float(grid.steps))).alias("threshold"), "tp", "fp",
         (F.col("N") - F.col("fp")).alias("tn"), (F.col("P") - F.col("tp")).alias("fn"),
     )
 
@@ -83,7 +83,7 @@ def best_threshold(df: DataFrame, score: str = "score", label: str = "label", gr
                    goal: str = "f1_small_fpr", slices: list[str] | None = None) -> DataFrame:
     """The first best threshold per slice with its counts and objective."""
     counted = threshold_counts(df, score, label, grid, slices).withColumn("objective", objective(goal))
-    return search_best(counted, "objective", "i", slices)
+    return search_best(counted, "objective", "step", slices)
 
 
 def best_threshold_value(df: DataFrame, score: str = "score", label: str = "label", grid: Grid = FINE,
@@ -96,8 +96,8 @@ def top_thresholds(df: DataFrame, score: str = "score", label: str = "label", go
     """The n best coarse thresholds; earlier ones first on ties, metrics rounded before ranking."""
     f1, fpr = F.round(C.f1(), 4), F.round(C.false_positive_rate(), 4)
     value = f1 if goal == "f1" else f1 - F.lit(0.3) * fpr
-    counted = threshold_counts(df, score, label, COARSE).select("i", "threshold", f1.alias("f1"), fpr.alias("fpr"), value.alias("objective"))
-    return counted.orderBy(F.desc("objective"), "i").limit(n)
+    counted = threshold_counts(df, score, label, COARSE).select("step", "threshold", f1.alias("f1"), fpr.alias("fpr"), value.alias("objective"))
+    return counted.orderBy(F.desc("objective"), "step").limit(n)
 
 
 def _grid_rows(entries: list[Column]) -> Column:
@@ -107,20 +107,11 @@ def _grid_rows(entries: list[Column]) -> Column:
 def alpha_counts(df: DataFrame, alphas: list[float] = ALPHAS_FINE, threshold: float = 0.5, label: str = "label") -> DataFrame:
     """tp/fp/tn/fn of the weighted blend per alpha at one threshold.
 
-    All weights are counted by one global aggregate of conditional sums, so no
-    row is multiplied; the one result row is then unfolded.
+    Rows are narrowed to the blended score before they are multiplied, and
+    counted per alpha inside the map tasks.
     """
-    y = F.col(label) == 1
-    sums = [C.count_where(y).alias("P"), C.count_where(~y).alias("N")]
-    for i, a in enumerate(alphas):
-        hit = fusion.fuse("s_if", "p_rf", alpha=a) >= F.lit(threshold)
-        sums += [C.count_where(y & hit).alias(f"tp{i}"), C.count_where(~y & hit).alias(f"fp{i}")]
-    one = df.agg(*sums)
-    rows = one.select("P", "N", _grid_rows([
-        F.struct(F.lit(i).alias("i"), F.lit(a).alias("alpha"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"))
-        for i, a in enumerate(alphas)
-    ]).alias("g"))
-    return rows.select("g.*", (F.col("N") - F.col("g.fp")).alias("tn"), (F.col("P") - F.col("g.tp")).alias("fn"))
+    spread = spread_alphas(df, alphas, [label]).withColumnRenamed("a", "i")
+    return spread.groupBy("i", "alpha").agg(*C.confusion_counts(label, F.col("score") >= threshold))
 
 
 def best_alpha(df: DataFrame, alphas: list[float] = ALPHAS_FINE, threshold: float = 0.5, label: str = "label") -> DataFrame:
@@ -165,19 +156,38 @@ def stack_methods(df: DataFrame, scores: dict[str, Column], keep: list[str], nam
 
 def beta_counts(df: DataFrame, tau_base: float, preset: ThresholdPreset = SUITE, score: str = "score", label: str = "label",
                 betas: tuple[list[float], list[float], list[float]] = (BETA_LOAD, BETA_RISK, BETA_TIME)) -> DataFrame:
-    """Counts per (beta1, beta2, beta3) in one global aggregate over load, risk and hour columns."""
-    combos = [(a, b, c) for a in betas[0] for b in betas[1] for c in betas[2]]
-    y = F.col(label) == 1
-    sums = [C.count_where(y).alias("P"), C.count_where(~y).alias("N")]
-    for i, combo in enumerate(combos):
-        hit = F.col(score) >= adaptive_tau("load", "risk", "hour", preset, tau_base, combo)
-        sums += [C.count_where(y & hit).alias(f"tp{i}"), C.count_where(~y & hit).alias(f"fp{i}")]
-    rows = df.agg(*sums).select("P", "N", _grid_rows([
-        F.struct(F.lit(i).alias("i"), F.lit(a).alias("beta1"), F.lit(b).alias("beta2"), F.lit(c).alias("beta3"),
-                 F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"))
-        for i, (a, b, c) in enumerate(combos)
-    ]).alias("g"))
-    return rows.select("g.*", (F.col("N") - F.col("g.fp")).alias("tn"), (F.col("P") - F.col("g.tp")).alias("fn"))
+    """Counts per (beta1, beta2, beta3) over load, risk and hour columns.
+
+    A larger beta3 never raises the threshold, so the beta3 values that flag a
+    row are the largest ones: how many they are says which. Rows are multiplied
+    by the (beta1, beta2) pairs only, and counted per pair and that number.
+    """
+    loads, risks, times = betas
+    pairs = [(a, b) for a in loads for b in risks]
+    slim = df.select((F.col(label) == 1).alias("y"), F.col(score).alias("s"), "load", "risk",
+                     (F.lit(1.0) - activity_factor("hour")).alias("quiet"))
+    entries = [F.struct(F.lit(i).alias("i"), (F.lit(tau_base) + F.lit(a) * F.col("load") - F.lit(b) * F.col("risk")).alias("part"))
+               for i, (a, b) in enumerate(pairs)]
+    spread = slim.select("y", "s", "quiet", _grid_rows(entries).alias("g")).select("y", "s", "quiet", "g.*")
+    ordered = sorted(times)
+    hits = total([
+        F.when(F.col("s") >= clip(F.col("part") - F.lit(c) * F.col("quiet"), preset.low, preset.high), 1).otherwise(0) for c in ordered
+    ])
+    counted = spread.groupBy("i", hits.alias("hits")).agg(C.count_where(F.col("y")).alias("pos"), C.count_where(~F.col("y")).alias("neg"))
+    # From here on: (pairs x values of beta3) rows.
+    per_pair = counted.groupBy("i").agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        *[F.sum(F.when(F.col("hits") >= len(ordered) - j, F.col(side))).alias(f"{side}{j}") for j in range(len(ordered)) for side in ("pos", "neg")],
+    )
+    combos = F.explode(F.array(*[
+        F.struct(F.lit(times.index(c)).alias("k"), F.lit(c).alias("beta3"), F.coalesce(F.col(f"pos{j}"), F.lit(0)).alias("tp"),
+                 F.coalesce(F.col(f"neg{j}"), F.lit(0)).alias("fp")) for j, c in enumerate(ordered)
+    ]))
+    of_pair = lambda at: F.element_at(F.array(*[F.lit(p[at]) for p in pairs]), F.col("i") + 1)
+    return per_pair.withColumn("g", combos).select(
+        (F.col("i") * len(times) + F.col("g.k")).alias("i"), of_pair(0).alias("beta1"), of_pair(1).alias("beta2"), "g.beta3",
+        "g.tp", "g.fp", (F.col("N") - F.col("g.fp")).alias("tn"), (F.col("P") - F.col("g.tp")).alias("fn"),
+    )
 
 
 def beta_search(df: DataFrame, tau_base: float, **kwargs) -> DataFrame:
@@ -192,3 +202,20 @@ def beta_search(df: DataFrame, tau_base: float, **kwargs) -> DataFrame:
         F.round("loss", 4).alias("validation_loss"),
         (F.row_number().over(first) == 1).alias("is_best"),
     )
+
+
+def tau_sweep(df: DataFrame, taus: list[float], score: str = "score", label: str = "label") -> DataFrame:
+    """Counts and rates at arbitrary fixed thresholds, from one histogram over them."""
+    ordered = sorted(set(taus))
+    passed = total([F.when(F.col(score) >= t, 1).otherwise(0) for t in ordered])
+    y = F.col(label) == 1
+    hist = df.groupBy(passed.alias("bin")).agg(C.count_where(y).alias("pos"), C.count_where(~y).alias("neg"))
+    one = hist.agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        *[F.coalesce(F.sum(F.when(F.col("bin") > i, F.col(side))), F.lit(0)).alias(f"{side}{i}") for i in range(len(ordered)) for side in ("pos", "neg")],
+    )
+    rows = one.select("P", "N", _grid_rows([
+        F.struct(F.lit(t).alias("tau"), F.col(f"pos{i}").alias("tp"), F.col(f"neg{i}").alias("fp")) for i, t in enumerate(ordered)
+    ]).alias("g"))
+    counts = rows.select("g.*", (F.col("N") - F.col("g.fp")).alias("tn"), (F.col("P") - F.col("g.tp")).alias("fn"))
+    return counts.select("tau", *C.COUNTS, *[c.alias(n) for n, c in C.rates().items() if n != "fnr"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from telvane.functions import confusion as C
 from telvane.functions import fusion
 from telvane.operators import search as S
-from telvane.operators.evaluate import metrics
+from telvane.operators.evaluate import alpha_sweep
 from telvane.operators.harmonise import append_all
 from telvane.operators.ranking import empirical_rank, ranking_metrics
 from telvane.plans import sql as Q
@@ -176,28 +176,7 @@ _TAUS = "tu(tau) AS (VALUES " + ", ".join(f"({Q.d(t)})" for t in sorted([*S.TAUS
 @query("f14_tau_sweep", Q.with_(Q.SCORES, _TEST, _TAUS, f"c AS (SELECT tau, {Q.counts(Q.fused() + ' >= tau')} FROM ts_, tu GROUP BY tau)",
        body=f"SELECT tau, tp, fp, tn, fn, {_RATES} FROM c"))
 def _(spark, sf):
-    return tau_sweep(_scores(spark, sf, "test").withColumn("score", fusion.fuse()), sorted([*S.TAUS_RAISED, 0.5]))
-
-
-def tau_sweep(df, taus: list[float], label: str = "label"):
-    """Metric counts at fixed thresholds: one global aggregate of conditional sums."""
-    y = F.col(label) == 1
-    sums = [C.count_where(y).alias("P"), C.count_where(~y).alias("N")]
-    for i, t in enumerate(taus):
-        hit = F.col("score") >= t
-        sums += [C.count_where(y & hit).alias(f"tp{i}"), C.count_where(~y & hit).alias(f"fp{i}")]
-    rows = df.agg(*sums).select("P", "N", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tau"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, t in enumerate(taus)
-    ])).alias("g"))
-    counts = rows.select("g.*", (F.col("N") - F.col("g.fp")).alias("tn"), (F.col("P") - F.col("g.tp")).alias("fn"))
-    return counts.select("tau", *C.COUNTS, *[c.alias(n) for n, c in C.rates().items() if n != "fnr"])
-
-
-def alpha_sweep(val, test, alphas: list[float]):
-    """Per alpha: best validation threshold, and the test metrics there."""
-    best = S.best_threshold(S.spread_alphas(val, alphas), slices=["a", "alpha"]).select("a", F.col("threshold").alias("tau"))
-    scored = S.spread_alphas(test, alphas).join(F.broadcast(best), "a")  # one row per alpha
-    return metrics(scored, "tau", slices=["alpha"])
+    return S.tau_sweep(_scores(spark, sf, "test").withColumn("score", fusion.fuse()), sorted([*S.TAUS_RAISED, 0.5]))
 
 
 _SWEEP = "SELECT row_number() OVER () - 1 AS a, alpha FROM (VALUES " + ", ".join(f"({Q.d(a)})" for a in S.ALPHAS_SENSITIVITY) + ") t(alpha)"
