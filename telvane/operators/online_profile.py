@@ -76,28 +76,36 @@ def smoothed_statistics(x: np.ndarray, preset: OnlinePreset) -> tuple[np.ndarray
     return smooth(rolling.mean()), smooth(rolling.std(ddof=0) + preset.std_floor)
 
 
-def rolling_distance(x: np.ndarray, mean: np.ndarray, preset: OnlinePreset) -> np.ndarray:
-    """Mahalanobis distance to the smoothed mean under the rolling covariance; 0 while cold."""
+def rolling_distance(x: np.ndarray, mean: np.ndarray, preset: OnlinePreset, points: np.ndarray | None = None,
+                     at: np.ndarray | None = None) -> np.ndarray:
+    """Mahalanobis distance of points to the smoothed mean under the rolling covariance; 0 while cold.
+
+    Point i is measured against the buffer that ends with row ``at[i]`` of ``x``
+    (-1: no row yet); by default every row is its own point.
+    """
+    points, at = (x, np.arange(len(x))) if points is None else (points, at)
     n, d = x.shape
-    out = np.zeros(n)
+    out = np.zeros(len(points))
     for start in range(0, n, SLAB):
         stop, first = min(start + SLAB, n), max(0, start - preset.window + 1)
+        here = np.nonzero((at >= start) & (at < stop))[0]
+        rows = np.unique(at[here])
+        rows = rows[np.minimum(rows + 1, preset.window) >= preset.min_cov]
+        if not len(rows):
+            continue
         part = x[first:stop] - x[first:stop].mean(axis=0)
         sums = np.vstack([np.zeros(d), np.cumsum(part, axis=0)])
         squares = np.concatenate([np.zeros((1, d, d)), np.cumsum(part[:, :, None] * part[:, None, :], axis=0)])
-        ends = np.arange(start, stop) - first + 1
+        ends = rows - first + 1
         begins = np.maximum(ends - preset.window, 0)
-        size = (ends - begins).astype(float)
-        at = np.nonzero(size >= preset.min_cov)[0]
-        if not len(at):
-            continue
-        s = sums[ends[at]] - sums[begins[at]]
-        c = squares[ends[at]] - squares[begins[at]]
-        k = size[at][:, None, None]
-        cov = (c - s[:, :, None] * s[:, None, :] / k) / (k - 1) + np.eye(d) * preset.ridge
+        size = (ends - begins).astype(float)[:, None, None]
+        s, c = sums[ends] - sums[begins], squares[ends] - squares[begins]
+        cov = (c - s[:, :, None] * s[:, None, :] / size) / (size - 1) + np.eye(d) * preset.ridge
         inverse = np.linalg.pinv(cov, rcond=d * np.finfo(float).eps, hermitian=True)
-        diff = x[start:stop][at] - mean[start:stop][at]
-        out[start + at] = np.sqrt(np.maximum(np.einsum("ni,nij,nj->n", diff, inverse, diff), 0.0))
+        here = here[np.isin(at[here], rows)]
+        which = np.searchsorted(rows, at[here])
+        diff = points[here] - mean[at[here]]
+        out[here] = np.sqrt(np.maximum(np.einsum("ni,nij,nj->n", diff, inverse[which], diff), 0.0))
     return out
 
 

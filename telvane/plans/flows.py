@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telvane.functions import fusion
 from telvane.operators import alerts as A
+from telvane.operators import forest, ocsvm
 from telvane.operators.clean import encode_cyclic, impute_median, require_features
-from telvane.operators.profile import FrozenProfiles
+from telvane.operators.evaluate import held_out_recall, metrics
+from telvane.operators.harmonise import append_all
+from telvane.operators.profile import SENSITIVITY, FrozenProfiles
 from telvane.operators.scale import RobustScale
-from telvane.operators.split import split_column
-from telvane.schema import CYCLIC, FEATURES, MODEL_FEATURES, ProfilePreset
+from telvane.operators.search import ALPHAS_JOINT, best_alpha_and_threshold, best_threshold_value
+from telvane.operators.smote import balance
+from telvane.operators.split import attack_ratio, frequent_attacks, hold_out_class, split_column
+from telvane.schema import CYCLIC, FEATURES, MODEL_FEATURES, PROFILE_FEATURES, ProfilePreset
 from telvane.session import settle
+from telvane.sources.writers import load_bundle, save_bundle
 
 KEYS = ["row_id", "ts", "device_id", "label", "attack_cat", "split", "hour"]
 
@@ -60,3 +67,122 @@ def profile_alert_summary(flow: DataFrame) -> DataFrame:
         s_if="score", p_rf="score", tau_base=tau,
     )
     return A.alert_summary(alerts.withColumn("device_type", F.col("context.device_type")), ["device_type"])
+
+
+@dataclass
+class Detector:
+    """Everything fitted: scaler, profiles, anomaly model, classifier, fusion weight and threshold."""
+
+    scaler: RobustScale
+    profiles: FrozenProfiles | None
+    svm: ocsvm.OneClassSVM
+    forest: forest.Forest
+    mode: str = "both"
+    alpha: float = 0.45
+    tau: float = 0.5
+
+    def augment(self, rows: DataFrame) -> DataFrame:
+        return self.profiles.augment(rows, self.mode)[0] if self.profiles else rows
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Score table of prepared rows: keys, deviations, s_if, p_rf and the fused score."""
+        out = self.forest.score(self.svm.score(self.augment(rows)))
+        keep = [c for c in (*KEYS, *PROFILE_FEATURES, "s_if", "p_rf") if c in out.columns]
+        return out.select(*keep).withColumn("score", fusion.fuse(alpha=self.alpha))
+
+    def save(self, path: str) -> None:
+        spark = self.profiles.table.sparkSession
+        settings = {"svm": self.svm.settings(), "forest": self.forest.features, "mode": self.mode, "alpha": self.alpha, "tau": self.tau}
+        save_bundle(path, {"forest": self.forest.model}, self.profiles, self.scaler.table(spark), settings)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Detector:
+        models, profiles, scaler, s = load_bundle(spark, path)
+        return cls(RobustScale.from_table(scaler), profiles, ocsvm.OneClassSVM.from_settings(s["svm"]),
+                   forest.Forest(models["forest"], s["forest"]), s["mode"], s["alpha"], s["tau"])
+
+
+@dataclass
+class TrainingPlan:
+    """Sizes of a training run."""
+
+    trees: int = 220
+    depth: int = 30
+    passes: int = 30
+    rebalance: bool = True
+    alphas: list[float] = field(default_factory=lambda: list(ALPHAS_JOINT))
+
+
+def train_detector(prepared: Prepared, plan: TrainingPlan = TrainingPlan(), mode: str = "both", per_device: bool = True,
+                   preset: ProfilePreset = ProfilePreset(), hold_out: str | None = None) -> tuple[Detector, DataFrame]:
+    """Profiles -> augmented rows -> anomaly model and classifier -> score table -> weight and threshold.
+
+    ``hold_out`` removes one attack class from the training rows first.
+    """
+    rows = hold_out_class(prepared.rows, hold_out) if hold_out else prepared.rows
+    train = rows.filter(F.col("split") == "train")
+    profiles = None if mode == "none" else FrozenProfiles.fit(train, prepared.features, preset, per_device=per_device, mode="both")
+    augmented, features = profiles.augment(train, mode) if profiles else (train, prepared.features)
+    augmented = settle(augmented.select("row_id", "label", *features), "augmented")
+    nu = attack_ratio(augmented).first()["attack_ratio"]
+    svm = ocsvm.fit(ocsvm.normal_training_rows(augmented, features), features, nu, plan.passes)
+    training = settle(balance(augmented, features), "balanced") if plan.rebalance else augmented
+    fitted = forest.Forest(forest.fit_plain(training, features, plan.trees, plan.depth), features)
+    detector = Detector(prepared.scaler, profiles, svm, fitted, mode)
+    scores = settle(detector.score(rows), "scores")
+    best = best_alpha_and_threshold(scores.filter(F.col("split") == "val"), plan.alphas).first()
+    detector.alpha, detector.tau = best["alpha"], best["threshold"]
+    return detector, scores.withColumn("score", fusion.fuse(alpha=detector.alpha))
+
+
+def zero_day(prepared: Prepared, plan: TrainingPlan, classes: int = 3) -> DataFrame:
+    """Recall on attack classes left out of training, one retraining per class."""
+    out = []
+    for row in frequent_attacks(prepared.part("train"), classes).collect():  # at most `classes` names
+        detector, scores = train_detector(prepared, plan, hold_out=row["attack_cat"])
+        val, test = scores.filter(F.col("split") == "val"), scores.filter(F.col("split") == "test")
+        taus = {"RF_only": ("p_rf", best_threshold_value(val, "p_rf")), "IF_only": ("s_if", best_threshold_value(val, "s_if")),
+                "IF_RF_fused": ("score", detector.tau)}
+        out.append(held_out_recall(test, row["attack_cat"], taus))
+    return append_all(out)
+
+
+# The profiling variants compared by retraining.
+PROFILING_VARIANTS = [
+    ("without_profile", "none", True),
+    ("ewma_zscore_only", "zscore", True),
+    ("mahalanobis_only", "mahalanobis", True),
+    ("both_per_device", "both", True),
+    ("both_global", "both", False),
+]
+
+
+def profiling_ablation(prepared: Prepared, plan: TrainingPlan, variants=PROFILING_VARIANTS) -> DataFrame:
+    """Test metrics after retraining with each way of profiling."""
+    out = []
+    for name, mode, per_device in variants:
+        detector, scores = train_detector(prepared, plan, mode, per_device)
+        row = metrics(scores.filter(F.col("split") == "test"), detector.tau)
+        out.append(row.select(F.lit(name).alias("variant"), F.lit(mode).alias("profile_mode"), F.lit(per_device).alias("per_device"),
+                              F.lit(detector.alpha).alias("alpha"), "*"))
+    return append_all(out)
+
+
+def profile_sensitivity(prepared: Prepared, detector: Detector, settings=SENSITIVITY) -> DataFrame:
+    """Test metrics under other profile settings, reusing the fitted models (weight 0.45)."""
+    out = []
+    for parameter, value, preset in settings:
+        profiles = FrozenProfiles.fit(prepared.part("train"), prepared.features, preset)
+        variant = replace(detector, profiles=profiles, alpha=0.45)
+        scores = settle(variant.score(prepared.rows.filter(F.col("split") != "train")), "sensitivity")
+        tau = best_threshold_value(scores.filter(F.col("split") == "val"))
+        row = metrics(scores.filter(F.col("split") == "test"), tau)
+        out.append(row.select(F.lit(parameter).alias("ablation"), F.lit(float(value)).alias("value"), F.lit(preset.window).alias("window_size"),
+                              F.lit(preset.warm_up).alias("warm_up"), (F.lit(preset == ProfilePreset())).alias("chosen_config"), "*"))
+    return append_all(out)
+
+
+def cross_dataset(detector: Detector, flow: DataFrame) -> DataFrame:
+    """Test metrics on another dataset with this detector's scaler, profiles, models and threshold."""
+    target = prepare(flow, detector.scaler)
+    return metrics(detector.score(target.part("test")), detector.tau)

@@ -1 +1,84 @@
-"""Queries."""
+"""Queries: streams run over the event table, compared with their batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from telvane.functions import fusion
+from telvane.operators.profile import FrozenProfiles
+from telvane.plans import sql as Q
+from telvane.plans import views
+from telvane.plans.catalog import query, rounded
+from telvane.plans.queries_alerts import _CX
+from telvane.plans.queries_profile import _EVENT_PAIR, _M, _ONLINE, _OZ, _SCORED, _Z
+from telvane.streaming import alerts, online
+
+
+def _event_stream(spark, sf, per_trigger=None):
+    """The event table as a stream of flow rows (two features that need no history)."""
+    schema = views.table(spark, sf, "events").schema
+    ev = alerts.read_files(spark, f"{sf}/events.parquet", schema, per_trigger)
+    k = F.get_json_object("props", "$.k").cast("int")
+    return ev.select(
+        "event_id", F.col("event_id").cast("string").alias("row_id"), "ts", views.device_name("user_id").alias("device_id"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"), F.col("value").alias("byte_rate"), k.cast("double").alias("burst_length"),
+    )
+
+
+@query("x01_online_profile", _ONLINE + f"SELECT row_id, round({_OZ}, 6) AS deviation_zscore_mean, round(CASE WHEN c >= 20 THEN {_M} ELSE 0e0 END, 6) AS mahalanobis_dist, c >= 20 AS is_warm FROM on_")
+def _(spark, sf):
+    out = alerts.run_to_table(online.online_stream(_event_stream(spark, sf), _EVENT_PAIR, learn="all"))
+    return rounded(out.select("row_id", "deviation_zscore_mean", "mahalanobis_dist", "is_warm"))
+
+
+@query("x01_online_profile_normal_only")
+def _(spark, sf):
+    """Attack rows are scored but not learned."""
+    out = alerts.run_to_table(online.online_stream(_event_stream(spark, sf), _EVENT_PAIR))
+    return out.select("row_id", "label", "deviation_zscore_mean", "mahalanobis_dist", "is_warm")
+
+
+@query("x02_frozen_profile_stream", _SCORED + f"SELECT row_id, round({_Z}, 6) AS z, round({_M}, 6) AS maha FROM j")
+def _(spark, sf):
+    profiles = FrozenProfiles.fit(views.flow_events(spark, sf), _EVENT_PAIR)
+    return rounded(alerts.run_to_table(alerts.score_stream(_event_stream(spark, sf), profiles).select("row_id", "z", "maha")))
+
+
+def _scored_stream(spark, sf):
+    ev = _event_stream(spark, sf)
+    s_if, p_rf = F.least(F.lit(1.0), F.col("byte_rate") / 200.0), F.col("burst_length") / 100.0
+    typed = ev.withColumns({
+        "s_if": s_if, "p_rf": p_rf, "hour": F.hour("ts"), "load": F.least(F.lit(1.0), F.col("byte_rate") / F.lit(100.0) / F.lit(4.9)),
+        "attack_type": views.event_category(F.col("label"), F.col("byte_rate")), "device_type": alerts_type(F.col("device_id")),
+    })
+    return typed.withColumn("score", fusion.fuse())
+
+
+def alerts_type(device):
+    from telvane.functions.context import pseudo_device_type
+
+    return pseudo_device_type(device)
+
+
+@query("x03_alert_stream", Q.with_(Q.SCORES, _CX, body="""SELECT 'ALERT-' || substr(md5('alert:' || row_id), 1, 12) AS alert_id, device_id,
+  level AS alert_level, attack_cat AS attack_type, device_type FROM cl WHERE level <> 'NONE'"""))
+def _(spark, sf):
+    out = alerts.run_to_table(alerts.alert_stream(_scored_stream(spark, sf)))
+    return out.select("alert_id", "device_id", "alert_level", "attack_type", "context.device_type")
+
+
+@query("x04_windowed_summary", Q.with_(Q.SCORES, _CX, "wn AS (SELECT *, date_trunc('hour', ts) AS window_start FROM cl WHERE level <> 'NONE')", body="""
+SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS window_start, count(*) AS total_alerts, CAST(sum(CASE WHEN level = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS critical_count,
+  CAST(sum(CASE WHEN level = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS warning_count, round(max(score), 4) AS max_score
+FROM wn WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM wn) GROUP BY window_start"""))
+def _(spark, sf):
+    """Windows the watermark has closed; the newest ones stay open in the stream."""
+    out = alerts.run_to_table(alerts.windowed_summary(alerts.alert_stream(_scored_stream(spark, sf))))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "total_alerts", "critical_count", "warning_count", "max_score")
+
+
+@query("x05_duplicate_guard", "SELECT event_id FROM events")
+def _(spark, sf):
+    """Every event arrives twice; one copy passes."""
+    twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return alerts.run_to_table(alerts.without_duplicates(twice, delay="40 days")).select("event_id")
