@@ -159,17 +159,9 @@ class FrozenProfiles:
         if z:
             out = out.withColumn(z, self.zscore())
         if maha:
-            out = out.withColumn(maha, self._python_distance(out) if small else self._array_distance())
+            out = out.withColumn(maha, self._python_distance(out) if small else array_distance(self.features))
         return out.drop("__mean", "__std", "__cov_inv")
 
-    def _array_distance(self) -> Column:
-        """Quadratic form over arrays, for profile tables too large to broadcast."""
-        diff = F.array(*[F.col(f) - F.col("__mean")[i] for i, f in enumerate(self.features)])
-        zero = F.lit(0.0)
-        inner = lambda row: F.aggregate(F.zip_with(row, diff, lambda p, x: p * x), zero, lambda a, b: a + b)
-        quad = F.aggregate(F.zip_with(F.col("__cov_inv"), diff, lambda row, x: inner(row) * x), zero, lambda a, b: a + b)
-        return F.sqrt(F.greatest(quad, zero))
-
     def _python_distance(self, df: DataFrame) -> Column:
         """Vectorised quadratic form; the size-checked profiles travel to the workers once."""
         rows = self.table.select(self.device, "mean", "cov_inv").collect() if self.per_device else []
@@ -203,6 +195,15 @@ class FrozenProfiles:
         return self.score(df, z, m), [*self.features, *[c for c in (z, m) if c]]
 
 
+def array_distance(features: list[str]) -> Column:
+    """Quadratic form over the ``__mean`` and ``__cov_inv`` arrays of a row."""
+    diff = F.array(*[F.col(f) - F.col("__mean")[i] for i, f in enumerate(features)])
+    zero = F.lit(0.0)
+    inner = lambda row: F.aggregate(F.zip_with(row, diff, lambda p, x: p * x), zero, lambda a, b: a + b)
+    quad = F.aggregate(F.zip_with(F.col("__cov_inv"), diff, lambda row, x: inner(row) * x), zero, lambda a, b: a + b)
+    return F.sqrt(F.greatest(quad, zero))
+
+
 def _literal(value) -> Column:
     if value is None:
         return F.lit(None)
@@ -244,27 +245,28 @@ def sensitivity_tails(train: DataFrame, features: list[str], device: str = "devi
 
 
 def sensitivity_profiles(train: DataFrame, features: list[str], device: str = "device_id", label: str = "label",
-                         order: list[str] = ORDER, settings=SENSITIVITY) -> DataFrame:
-    """Profile rows (config, device, n, mean, std) of every setting, fallback rows included."""
+                         order: list[str] = ORDER, settings=SENSITIVITY, mode: str = "zscore") -> DataFrame:
+    """Profile rows (config, device, n, mean, std, cov_inv) of every setting, fallback rows included."""
     preset = ProfilePreset()
     per_device, overall = sensitivity_tails(train, features, device, label, order, settings)
     stats = [
-        profile_statistics(t, ["config", "warm_up", device], features, F.col("alpha"), preset).drop("rows")
-        for t in (per_device, overall)
+        profile_statistics(t, ["config", "warm_up", device], features, F.col("alpha"), preset) for t in (per_device, overall)
     ]
-    return stats[0].filter(F.col("n") >= F.col("warm_up")).unionByName(stats[1])
+    return FrozenProfiles._finish(stats[0].filter(F.col("n") >= F.col("warm_up")).unionByName(stats[1]), preset, mode)
 
 
 def sensitivity_scores(df: DataFrame, profiles: DataFrame, features: list[str], device: str = "device_id",
-                       configs: int = len(SENSITIVITY)) -> DataFrame:
-    """Mean |z| of every row under every setting."""
+                       z: str = "z", maha: str | None = None, configs: int = len(SENSITIVITY)) -> DataFrame:
+    """Deviations of every row under every setting: one join for all settings."""
+    cells = ["mean", "std"] + (["cov_inv"] if maha else [])
     spread = df.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1))))
-    own = profiles.filter(F.col(device) != GLOBAL_PROFILE).select("config", device, "mean", "std")
-    rest = profiles.filter(F.col(device) == GLOBAL_PROFILE).select(
-        "config", F.col("mean").alias("__gm"), F.col("std").alias("__gs")
-    )
+    own = profiles.filter(F.col(device) != GLOBAL_PROFILE).select("config", device, *[F.col(c).alias(f"__{c}") for c in cells])
+    rest = profiles.filter(F.col(device) == GLOBAL_PROFILE).select("config", *[F.col(c).alias(f"__g_{c}") for c in cells])
     # `rest` has one row per setting, so it is always broadcast.
     joined = spread.join(own, ["config", device], "left").join(F.broadcast(rest), "config")
-    mean, std = F.coalesce("mean", "__gm"), F.coalesce("std", "__gs")
-    terms = [F.abs((F.col(f) - mean[i]) / std[i]) for i, f in enumerate(features)]
-    return joined.withColumn("z", total(terms) / F.lit(float(len(features)))).drop("mean", "std", "__gm", "__gs")
+    joined = joined.withColumns({f"__{c}": F.coalesce(f"__{c}", f"__g_{c}") for c in cells})
+    terms = [F.abs((F.col(f) - F.col("__mean")[i]) / F.col("__std")[i]) for i, f in enumerate(features)]
+    out = joined.withColumn(z, total(terms) / F.lit(float(len(features))))
+    if maha:
+        out = out.withColumn(maha, array_distance(features))
+    return out.drop(*[f"__{c}" for c in cells], *[f"__g_{c}" for c in cells])

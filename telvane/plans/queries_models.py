@@ -17,6 +17,7 @@ from telvane.session import scratch_path, settle
 
 _LINE = views.LINE_FEATURES
 PLAN = flows.TrainingPlan(trees=10, depth=5, passes=10, alphas=[i / 10 for i in range(1, 8)])
+LIGHT = flows.TrainingPlan(trees=5, depth=4, passes=4, rebalance=False, alphas=[0.1, 0.4])
 _NEAR = ["byte_rate", "burst_length", "session_duration"]
 
 
@@ -165,12 +166,12 @@ def _(spark, sf):
 
 @query("e12_zero_day")
 def _(spark, sf):
-    return flows.zero_day(_prepared(spark, sf), PLAN, 2)
+    return flows.zero_day(_prepared(spark, sf), LIGHT, 2)
 
 
 @query("e19_profiling_ablation")
 def _(spark, sf):
-    return flows.profiling_ablation(_prepared(spark, sf), flows.TrainingPlan(trees=5, depth=4, passes=6, rebalance=False, alphas=[0.1, 0.4]))
+    return flows.profiling_ablation(_prepared(spark, sf), LIGHT)
 
 
 @query("e21_cross_dataset")
@@ -185,5 +186,5 @@ def _(spark, sf):
 @query("b14_sensitivity_metrics")
 def _(spark, sf):
     prepared = _prepared(spark, sf)
-    detector, _ = flows.train_detector(prepared, flows.TrainingPlan(trees=5, depth=4, passes=6, rebalance=False, alphas=[0.1, 0.4]))
+    detector, _ = flows.train_detector(prepared, LIGHT)
     return flows.profile_sensitivity(prepared, detector)

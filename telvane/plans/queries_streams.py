@@ -44,14 +44,14 @@ def _(spark, sf):
     return rounded(alerts.run_to_table(alerts.score_stream(_event_stream(spark, sf), profiles).select("row_id", "z", "maha")))
 
 
-def _scored_stream(spark, sf):
+def _scored_stream(spark, sf, alpha=0.45):
     ev = _event_stream(spark, sf)
     s_if, p_rf = F.least(F.lit(1.0), F.col("byte_rate") / 200.0), F.col("burst_length") / 100.0
     typed = ev.withColumns({
         "s_if": s_if, "p_rf": p_rf, "hour": F.hour("ts"), "load": F.least(F.lit(1.0), F.col("byte_rate") / F.lit(100.0) / F.lit(4.9)),
         "attack_type": views.event_category(F.col("label"), F.col("byte_rate")), "device_type": alerts_type(F.col("device_id")),
     })
-    return typed.withColumn("score", fusion.fuse())
+    return typed.withColumn("score", fusion.fuse(alpha=alpha))
 
 
 def alerts_type(device):
@@ -67,13 +67,13 @@ def _(spark, sf):
     return out.select("alert_id", "device_id", "alert_level", "attack_type", "context.device_type")
 
 
-@query("x04_windowed_summary", Q.with_(Q.SCORES, _CX, "wn AS (SELECT *, date_trunc('hour', ts) AS window_start FROM cl WHERE level <> 'NONE')", body="""
+@query("x04_windowed_summary", Q.with_(Q.SCORES, _CX.replace(Q.fused(), Q.fused(0.4567)), "wn AS (SELECT *, date_trunc('hour', ts) AS window_start FROM cl WHERE level <> 'NONE')", body="""
 SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS window_start, count(*) AS total_alerts, CAST(sum(CASE WHEN level = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS critical_count,
   CAST(sum(CASE WHEN level = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS warning_count, round(max(score), 4) AS max_score
 FROM wn WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM wn) GROUP BY window_start"""))
 def _(spark, sf):
     """Windows the watermark has closed; the newest ones stay open in the stream."""
-    out = alerts.run_to_table(alerts.windowed_summary(alerts.alert_stream(_scored_stream(spark, sf))))
+    out = alerts.run_to_table(alerts.windowed_summary(alerts.alert_stream(_scored_stream(spark, sf, 0.4567))))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "total_alerts", "critical_count", "warning_count", "max_score")
 
 

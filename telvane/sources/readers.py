@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +57,10 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
                 broken = broken | F.coalesce(F.col(f"`{f.name}`").contains("�"), F.lit(False))
             if not rows.filter(broken).isEmpty():
                 continue
-        if rows.limit(min_rows).count() < min_rows:
+        try:
+            if rows.limit(min_rows).count() < min_rows:
+                continue
+        except IllegalArgumentException:  # a charset this Spark session does not allow
             continue
         return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     raise ValueError(f"no encoding gives a readable table: {path}")
