@@ -1,9 +1,8 @@
-"""Exact quantiles (linear interpolation) that do not hold a column in one task.
+"""Exact quantiles (linear interpolation) that do not hold a large column in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Up to ``direct_rows`` rows that is the fastest way. Beyond, an approximate
-sketch brackets the wanted rank, exact counts confirm the bracket, and only
-the bracket's rows are looked at again, until they are few.
+Up to ``direct_rows`` rows a column is sorted in one aggregate. Beyond, an
+approximate sketch brackets the wanted ranks, exact counts confirm the
+bracket, and only the bracket's rows are looked at again.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from telvane.operators.buckets import bucketed
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 500_000
 SKETCH = 10_000
 
 
@@ -25,16 +24,10 @@ def exact_quantiles(
     """column -> quantile values, nulls and NaN skipped. Two jobs for ordinary tables."""
     direct_rows = direct_rows or DIRECT_ROWS
     values = df.select(*[_value(c).alias(c) for c in columns])
-    rows = values.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if rows <= direct_rows:
-        got = values.agg(*[F.percentile(F.col(c), probs).alias(c) for c in columns]).first()
-        return {c: list(got[c]) if got[c] is not None else [None] * len(probs) for c in columns}
-    counts = values.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
-    wanted = {c: sorted({k for q in probs for k in _ranks(q, counts[c])}) for c in columns if counts[c]}
-    found = _order_statistics(values, wanted, counts.asDict(), direct_rows)
-    return {
-        c: [_interpolate(q, counts[c], found[c]) if counts[c] else None for q in probs] for c in columns
-    }
+    counts = values.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first().asDict()
+    find = _from_sorted if counts["__rows"] <= direct_rows else _from_brackets
+    found = find(values, {c: [_ranks(q, counts[c]) for q in probs] for c in columns if counts[c]}, counts, direct_rows)
+    return {c: [_interpolate(q, counts[c], found[c]) if counts[c] else None for q in probs] for c in columns}
 
 
 def quantiles_frame(df: DataFrame, columns: list[str], prob: float, direct_rows: int | None = None) -> DataFrame:
@@ -77,61 +70,73 @@ def _interpolate(q: float, n: int, by_rank: dict[int, float]) -> float:
     return (high - at) * by_rank[low] + (at - low) * by_rank[high]
 
 
-def _order_statistics(values: DataFrame, wanted: dict, counts: dict, direct_rows: int) -> dict:
-    """column -> {rank: value} by narrowing a bracket around each rank.
+def _from_sorted(values: DataFrame, wanted: dict, counts: dict, direct_rows: int) -> dict:
+    """Order statistics of a small table: every column sorted once, only the wanted elements returned."""
+    if not wanted:
+        return {}
+    ranks = {c: sorted({k for pair in pairs for k in pair}) for c, pairs in wanted.items()}
+    lists = values.agg(*[F.sort_array(F.collect_list(F.col(f"`{c}`"))).alias(c) for c in ranks])
+    row = lists.select(*[F.array(*[F.element_at(F.col(f"`{c}`"), k + 1) for k in ks]).alias(c) for c, ks in ranks.items()]).first()
+    return {c: dict(zip(ks, row[c])) for c, ks in ranks.items()}
 
-    A bracket is (low, high, rows below low, rows inside). All open brackets of
-    all columns are narrowed together: one sketch pass and one counting pass per round.
+
+def _from_brackets(values: DataFrame, wanted: dict, counts: dict, direct_rows: int) -> dict:
+    """Order statistics of a large table.
+
+    Per column and probability a bracket [low, high] holds both ranks around the
+    quantile. All brackets are narrowed together, by one sketch pass and one
+    counting pass per round; a last pass counts the values left inside.
     """
-    found: dict = {c: {} for c in wanted}
     infinity = float("inf")
-    open_: dict = {(c, k): (-infinity, infinity, 0, counts[c]) for c, ks in wanted.items() for k in ks}
-    while open_:
-        few = {key: b for key, b in open_.items() if b[3] <= direct_rows}
-        if few:
-            for (c, k), (low, high, below, inside) in few.items():
-                found[c][k] = _nth(values, c, low, high, k - below)
-                del open_[(c, k)]
-            continue
-        sketches = values.agg(
-            *[
-                F.percentile_approx(
-                    F.when(F.col(c).between(low, high), F.col(c)),
-                    [max((k - below) / inside - 2 / SKETCH, 0.0), min((k - below) / inside + 2 / SKETCH, 1.0)],
-                    SKETCH,
-                ).alias(f"b{i}")
-                for i, ((c, k), (low, high, below, inside)) in enumerate(open_.items())
-            ]
-        ).first()
-        checks = []
-        for i, ((c, _), (low, high, _, _)) in enumerate(open_.items()):
-            lo, hi = sketches[f"b{i}"]
-            within = F.col(c).between(low, high)
-            checks += [
-                F.count(F.when(within & (F.col(c) < lo), 1)).alias(f"below{i}"),
-                F.count(F.when(within & F.col(c).between(lo, hi), 1)).alias(f"inside{i}"),
-                F.count(F.when(F.col(c) == lo, 1)).alias(f"at{i}"),
-            ]
-        counted = values.agg(*checks).first()
-        narrowed = {}
-        for i, ((c, k), (low, high, below, inside)) in enumerate(open_.items()):
-            lo, hi = sketches[f"b{i}"]
-            start, size = below + counted[f"below{i}"], counted[f"inside{i}"]
-            if start <= k < start + counted[f"at{i}"]:
-                found[c][k] = lo
-            elif start <= k < start + size and size < inside:
-                narrowed[(c, k)] = (lo, hi, start, size)
-            else:
-                found[c][k] = _nth(values, c, low, high, k - below)
-        open_ = narrowed
+    brackets = [
+        {"column": c, "ranks": pair, "low": -infinity, "high": infinity, "below": 0, "inside": counts[c], "open": counts[c] > direct_rows}
+        for c, pairs in wanted.items() for pair in dict.fromkeys(pairs)
+    ]
+    while True:
+        active = [b for b in brackets if b["open"]]
+        if not active:
+            break
+        within = [F.col(b["column"]).between(b["low"], b["high"]) for b in active]
+        shares = [[(k - b["below"]) / b["inside"] + side for k, side in zip(b["ranks"], (-2 / SKETCH, 2 / SKETCH))] for b in active]
+        sketch = values.agg(*[
+            F.percentile_approx(F.when(w, F.col(b["column"])), [min(max(p, 0.0), 1.0) for p in share], SKETCH).alias(f"b{i}")
+            for i, (b, w, share) in enumerate(zip(active, within, shares))
+        ]).first()
+        checked = values.agg(*[
+            x for i, (b, w) in enumerate(zip(active, within)) for x in (
+                F.count(F.when(w & (F.col(b["column"]) < sketch[f"b{i}"][0]), 1)).alias(f"below{i}"),
+                F.count(F.when(w & F.col(b["column"]).between(*sketch[f"b{i}"]), 1)).alias(f"inside{i}"),
+            )
+        ]).first()
+        for i, b in enumerate(active):
+            start, size = b["below"] + checked[f"below{i}"], checked[f"inside{i}"]
+            holds = start <= b["ranks"][0] and b["ranks"][1] < start + size
+            narrower = holds and size < b["inside"]
+            if narrower:
+                b["low"], b["high"] = sketch[f"b{i}"]
+                b["below"], b["inside"] = start, size
+            b["open"] = narrower and size > direct_rows and b["low"] < b["high"]
+    return _values_at(values, brackets)
+
+
+def _values_at(values: DataFrame, brackets: list[dict]) -> dict:
+    """Values at the wanted ranks: counts per bracket and distinct value, then running totals."""
+    entries = F.array(*[
+        F.when(F.col(b["column"]).between(b["low"], b["high"]), F.struct(F.lit(i).alias("bracket"), F.col(b["column"]).alias("value")))
+        for i, b in enumerate(brackets)
+    ])
+    inside = values.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    per_value = inside.groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = bucketed(per_value, ["bracket"], "value", {"through": "n"})
+    hit = F.lit(False)
+    for i, b in enumerate(brackets):
+        for k in set(b["ranks"]):
+            rank = F.lit(k - b["below"])
+            hit = hit | ((F.col("bracket") == i) & (F.col("through") > rank) & (F.col("through") - F.col("n") <= rank))
+    found: dict = {b["column"]: {} for b in brackets}
+    for r in totals.filter(hit).collect():  # at most two rows per bracket
+        b = brackets[r["bracket"]]
+        for k in b["ranks"]:
+            if r["through"] - r["n"] <= k - b["below"] < r["through"]:
+                found[b["column"]][k] = r["value"]
     return found
-
-
-def _nth(values: DataFrame, c: str, low: float, high: float, rank: int) -> float:
-    """The rank-th smallest value within [low, high]: a distributed count per value, then a running total."""
-    within = values.filter(F.col(c).between(low, high)).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    ranked = bucketed(within, [], c, {"through": "n"})
-    row = ranked.filter((F.col("through") > rank) & (F.col("through") - F.col("n") <= rank)).select(c).first()
-    return row[0]
-
-

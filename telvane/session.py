@@ -18,6 +18,9 @@ def local_session(name: str = "telvane", cores: str = "*", partitions: int = 8,
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small local files: let every core read and reduce. A cluster keeps Spark's defaults.
+        .config("spark.sql.files.openCostInBytes", 262144)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", 131072)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
