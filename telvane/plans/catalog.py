@@ -22,7 +22,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            ship_package()
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,12 +60,9 @@ def settle(df: DataFrame, label: str = "settle") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once per session), like ``--py-files``."""
-    sc = spark.sparkContext
-    if spark.conf.get("spark.telvane.shipped", "") == sc.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='telvane-py-')}/telvane", "zip", root, "telvane")
-    sc.addPyFile(archive)
-    spark.conf.set("spark.telvane.shipped", sc.applicationId)
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value, so they need no installed copy.
+
+    Covers stateful streams too, whose initialising worker does not see ``addPyFile`` archives.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["telvane"])

@@ -12,7 +12,7 @@ from telvane.session import local_session, ship_package  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session("tests", "8", 4, spark__driver__memory="6g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
+    ship_package()
     yield session
     session.stop()
 
