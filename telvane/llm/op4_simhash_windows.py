@@ -35,9 +35,13 @@ def word_list(text: Column) -> Column:
 
 
 def shingle_list(words: Column) -> Column:
-    """Hashes of all runs of K words; empty below K words."""
-    starts = F.when(F.size(words) >= K, F.sequence(F.lit(1), F.size(words) - (K - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(K)]))
+    """Hashes of all runs of K words; empty below K words. The words are bound once, as a lambda's variable."""
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) >= K, F.sequence(F.lit(1), F.size(w) - (K - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(K)]))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def votes() -> list[Column]:
