@@ -98,9 +98,9 @@ def with_turns(records: DataFrame, variant: Column, mappings: list[Mapping] = MA
 
 
 def escape(text: Column) -> Column:
-    out = F.regexp_replace(text, r"\\(?=[elb])", r"\\\\e")
-    out = F.regexp_replace(out, CONTROL_ANGLE, r"\\\\l")
-    return F.regexp_replace(out, CONTROL_SQUARE, r"\\\\b")
+    out = F.regexp_replace(text, r"\\(?=[elb])", r"\\e")
+    out = F.regexp_replace(out, CONTROL_ANGLE, r"\\l")
+    return F.regexp_replace(out, CONTROL_SQUARE, r"\\b")
 
 
 def unescape(text: Column) -> Column:
