@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telvane.llm import (
+    op1_skip_chain_pii,
     op2_schema_fingerprints,
     op3_language_filters,
     op4_simhash_windows,
@@ -75,3 +76,8 @@ def op2_schema_fingerprints_format(spark: SparkSession, sf_dir: str) -> DataFram
 @query
 def op5_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_adaptive_quality.judge(documents(spark, sf_dir))
+
+
+@query
+def op1_skip_chain_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_skip_chain_pii.find_personal_data(documents(spark, sf_dir))
