@@ -15,6 +15,7 @@ from telvane.llm import (
     op4_simhash_windows,
     op5_adaptive_quality,
     op6_signature_trees,
+    op7_two_stage_suffixes,
     op9_temperature_mixing,
     op10_prefix_shards,
 )
@@ -81,3 +82,8 @@ def op5_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_skip_chain_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_skip_chain_pii.find_personal_data(documents(spark, sf_dir))
+
+
+@query
+def op7_two_stage_suffixes_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_two_stage_suffixes.remove_repeats(documents(spark, sf_dir))
