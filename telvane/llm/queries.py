@@ -16,6 +16,7 @@ from telvane.llm import (
     op5_adaptive_quality,
     op6_signature_trees,
     op7_two_stage_suffixes,
+    op8_context_mixing,
     op9_temperature_mixing,
     op10_prefix_shards,
 )
@@ -87,3 +88,17 @@ def op1_skip_chain_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_two_stage_suffixes_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_two_stage_suffixes.remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op8_context_mixing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_context_mixing.score(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+query(pipeline)
