@@ -94,6 +94,13 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """``BASE ** -i`` modulo 2**64 for i below n."""
+    out = np.full(n, pow(int(BASE), -1, 2**64), np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def text_parts(array: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows with about ``limit`` bytes; null texts are empty."""
     if isinstance(array, pa.ChunkedArray):

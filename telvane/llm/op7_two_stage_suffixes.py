@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telvane.llm.common import BASE, BYTE, Scratch, checked_broadcast, mix, null_safe, powers, text_parts
+from telvane.llm.common import BYTE, Scratch, checked_broadcast, inverse_powers, mix, null_safe, powers, text_parts
 
 KEY = ["doc_id", "text_hash"]
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: Bytes of a text that are hashed at once; longer texts are hashed in overlapping pieces.
 PIECE = 1 << 21
 
@@ -39,9 +38,7 @@ def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE[data] * powers(n), out=total[1:])
-    inverse = np.full(n + 1, INVERSE, np.uint64)
-    inverse[0] = 1
-    return total, np.multiply.accumulate(inverse)
+    return total, inverse_powers(n + 1)
 
 
 def substring(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

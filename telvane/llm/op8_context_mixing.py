@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
 Bytes are written in a Huffman code of the training bytes and predicted bit by bit. Several predictors each look up
-their context (the last 1, 2 and 4 bytes and the code bits so far, hashed to a slot) in tables of bit counts gathered
+their context (the last 2 and 4 bytes, or the bytes of the current word so far, with the code bits so far, hashed to a slot) in tables of bit counts gathered
 from all training texts. Their log odds are mixed with weights that are chosen by a gate (code bits so far, and how
 often the longest context was seen) and updated after each bit along the gradient of the coding cost; an adaptive
 table then refines the probability by what actually followed similar ones. The log10 probabilities of all bits of a
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telvane.llm.common import Scratch, Words, list_array, text_parts
+from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list_array, mix, powers, text_parts
 
-ORDERS = (1, 2, 4)
+ORDERS = (2, 4, "word")
 #: Slots of each predictor's table as a power of two; ranges in which tables are merged.
 BITS, RANGES = 21, 64
 BLOCK, PART, SAMPLE, FREQUENT = 1024, 1 << 22, 400, 1_000_000
+#: Bytes before a byte that its contexts can hold.
+REACH = 32
 #: Log odds are kept in steps of 1/16; gate sets; steps of the refining table.
 STEP, GATES, STEPS = 16.0, 32, 24
 RATE, REFINE_RATE = 0.02, 0.02
@@ -72,16 +74,26 @@ class Code:
 
 
 def contexts(data: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash of the bytes before each byte, for each order; ``since``: bytes before it in its text (4 is enough)."""
-    out, h = [], np.full(len(data), 0x811C9DC5, np.uint32)
-    for k in range(1, max(ORDERS) + 1):
-        back = np.zeros(len(data), np.uint32)
-        back[k:] = data[:-k] if k < len(data) else 0
+    """A 32-bit hash of each context of each byte; ``since``: bytes before it in its text, up to REACH."""
+    n, out = len(data), []
+    h = np.full(n, 0x811C9DC5, np.uint32)
+    for k in range(1, 5):
+        back = np.zeros(n, np.uint32)
+        back[k:] = data[:-k] if k < n else 0
         back[since < k] = 256
         h = (h ^ back) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         if k in ORDERS:
             out.append(h * np.uint32(0x9E3779B1))
+    # the current word: the hashed bytes since the last blank, as a difference of prefix sums; at most REACH of them
+    place = np.arange(n)
+    if not n:
+        return [*out, h]
+    begin = np.where((since == 0) | np.r_[True, SPACE[data[:-1]]], place, 0)
+    begin = np.maximum(np.maximum.accumulate(begin), place - REACH)
+    total = np.r_[np.uint64(0), np.cumsum(BYTE[data] * powers(n))]
+    word = mix((total[place] - total[begin]) * inverse_powers(n)[begin] + (place - begin).astype(np.uint64))
+    out.append((word >> np.uint64(32)).astype(np.uint32))
     return out
 
 
@@ -103,7 +115,7 @@ class Bits:
 
 def since_start(offsets: np.ndarray) -> np.ndarray:
     sizes = np.diff(offsets)
-    return np.minimum(np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes), 8).astype(np.uint8)
+    return np.minimum(np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes), REACH).astype(np.uint8)
 
 
 def gather_statistics(docs: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def gather_tables(docs: DataFrame, code: Code) -> DataFrame:
             for _, _, data, offsets in text_parts(batch.column("text"), 1 << 20):
                 since = since_start(offsets)
                 for a in range(0, len(data), 1 << 20):
-                    low = max(0, a - 8)
+                    low = max(0, a - REACH)
                     piece, early = data[low : a + (1 << 20)], since[low : a + (1 << 20)]
                     hashes = [h[a - low :] for h in contexts(piece, early)]
                     bits = Bits(code, piece[a - low :])
@@ -264,7 +276,7 @@ def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     weights, a = np.zeros((GATES, len(ORDERS))), 0
     while a < len(text):
         b = max(a + 1, int(np.searchsorted(begin, begin[a] + PART, "left")))
-        low = max(0, int(begin[a]) - 8)
+        low = max(0, int(begin[a]) - REACH)
         skip = int(begin[a]) - low
         features, starts = model.features(data[low : end[b - 1]], since[low : end[b - 1]], skip)
         first = starts[begin[a:b] - begin[a]]
