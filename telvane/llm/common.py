@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from telvane.session import shared_folder
 
 #: Bytes of text handled at once in a task.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Most rows, and most bytes, of a side that is broadcast after it has been counted.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 48 << 20
 
@@ -87,18 +87,24 @@ LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int) -> np.ndarray:
-    """``BASE ** i`` modulo 2**64 for i below n."""
-    out = np.full(n, BASE, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: int = int(BASE)) -> np.ndarray:
+    """``base ** i`` modulo 2**64 for i below n; short tables are kept."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        kept[0] = 1
+        kept = np.multiply.accumulate(kept)
+        if n <= 1 << 20:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 def inverse_powers(n: int) -> np.ndarray:
     """``BASE ** -i`` modulo 2**64 for i below n."""
-    out = np.full(n, pow(int(BASE), -1, 2**64), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    return powers(n, pow(int(BASE), -1, 2**64))
 
 
 def text_parts(array: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -3,8 +3,8 @@
 Bytes are written in a Huffman code of the training bytes and predicted bit by bit. Several predictors each look up
 their context (the last 2 and 4 bytes, or the bytes of the current word so far, with the code bits so far, hashed to a slot) in tables of bit counts gathered
 from all training texts. Their log odds are mixed with weights that are chosen by a gate (code bits so far, and how
-often the longest context was seen) and updated after each bit along the gradient of the coding cost; an adaptive
-table then refines the probability by what actually followed similar ones. The log10 probabilities of all bits of a
+often the word so far was seen) and updated after every ``STRIDE`` bits along the gradient of the coding cost; an
+adaptive table, updated likewise, then refines the probability by what actually followed similar ones. The log10 probabilities of all bits of a
 text add up to its score.
 
 Weights and the refining table start from trained values and adapt within blocks of ``BLOCK`` bytes; contexts run on
@@ -33,7 +33,9 @@ from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list
 ORDERS = (2, 4, "word")
 #: Slots of each predictor's table as a power of two; ranges in which tables are merged.
 BITS, RANGES = 21, 64
-BLOCK, PART, SAMPLE, FREQUENT = 1024, 1 << 22, 400, 1_000_000
+BLOCK, PART, SAMPLE, FREQUENT = 1024, 1 << 20, 400, 500_000
+#: Bits between updates, blocks that advance together, bytes whose features are worked out at once.
+STRIDE, LANES, PIECE = 32, 512, 1 << 17
 #: Bytes before a byte that its contexts can hold.
 REACH = 32
 #: Log odds are kept in steps of 1/16; gate sets; steps of the refining table.
@@ -68,9 +70,10 @@ class Code:
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths], np.int64)
         self.first = np.r_[0, np.cumsum(self.length)][:-1]
-        self.node = np.array([n - 256 for p in paths for n, _ in p], np.uint32)
-        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
-        self.depth = np.concatenate([np.arange(len(p)) for p in paths]).astype(np.uint8)
+        self.node = np.array([n - 256 for p in paths for n, _ in p], np.uint32) * np.uint32(0x85EBCA6B)
+        bit = np.array([b for p in paths for _, b in p], np.uint8)
+        depth = np.concatenate([np.arange(len(p)) for p in paths])
+        self.control = (np.minimum(depth, 7) * 8).astype(np.uint8) | bit  # depth, two bits for the gate, the bit
 
 
 def contexts(data: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
@@ -98,19 +101,18 @@ def contexts(data: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
 
 
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = (context + node * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(15))) & np.uint32((1 << BITS) - 1)
+    return ((context + node) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
 
 
 class Bits:
-    """The code bits of a run of bytes, and where each byte's bits begin."""
+    """The code bits of a run of bytes: each one's byte, hashed inner node and control; and where each byte's begin."""
 
     def __init__(self, code: Code, data: np.ndarray):
         length = code.length[data]
         self.start = np.r_[0, np.cumsum(length)]
-        self.owner = np.repeat(np.arange(len(data), dtype=np.int32), length)
-        at = np.arange(self.start[-1]) - np.repeat(self.start[:-1] - code.first[data], length)
-        self.node, self.bit, self.depth = code.node[at], code.bit[at], code.depth[at]
+        self.owner = np.repeat(np.arange(len(data)), length)
+        at = np.arange(self.start[-1]) + (code.first[data] - self.start[:-1])[self.owner]
+        self.node, self.control = code.node[at], code.control[at]
 
 
 def since_start(offsets: np.ndarray) -> np.ndarray:
@@ -162,14 +164,17 @@ def gather_tables(docs: DataFrame, code: Code) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in text_parts(batch.column("text"), 1 << 20):
                 since = since_start(offsets)
-                for a in range(0, len(data), 1 << 20):
+                found = [[] for _ in ORDERS]
+                for a in range(0, len(data), PIECE):
                     low = max(0, a - REACH)
-                    piece, early = data[low : a + (1 << 20)], since[low : a + (1 << 20)]
+                    piece, early = data[low : a + PIECE], since[low : a + PIECE]
                     hashes = [h[a - low :] for h in contexts(piece, early)]
                     bits = Bits(code, piece[a - low :])
                     for k, h in enumerate(hashes):
-                        at = (slots(h[bits.owner], bits.node).astype(np.int64) << 1) | bits.bit
-                        counts[k] += np.bincount(at, minlength=2 << BITS).astype(np.int32)
+                        found[k].append((slots(h[bits.owner], bits.node) << np.uint32(1)) | (bits.control & 1))
+                for k, at in enumerate(found):
+                    if at:
+                        counts[k] += np.bincount(np.concatenate(at), minlength=2 << BITS)
         pairs = counts.reshape(-1, 2)
         used = np.flatnonzero(pairs.any(axis=1))
         for r in range(RANGES):
@@ -213,60 +218,77 @@ class Model:
     weights: np.ndarray
 
     def features(self, data: np.ndarray, since: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each bit after the first ``skip`` bytes: three log odds, and gate and bit in one byte; and the bits' starts."""
-        hashes = [h[skip:] for h in contexts(data, since)]
-        bits = Bits(self.code, data[skip:])
-        out = np.empty((len(bits.bit), 4), np.int8)
-        for k, h in enumerate(hashes):
-            at = slots(h[bits.owner], bits.node)
-            out[:, k] = self.odds[k][at]
-        gate = np.minimum(bits.depth, 7) * np.uint8(4) + self.seen[at].astype(np.uint8)
-        out[:, 3] = (gate * np.uint8(2) + bits.bit).view(np.int8)
-        return out, bits.start
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def mix_blocks(features: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of each block's bits, and the blocks' mean weights after their last bit.
-
-    Blocks advance side by side, the longest first, so the active ones are always a prefix.
+        """For each bit after the first ``skip`` bytes the log odds and its control in four bytes; and the bits' starts."""
+        out, starts, total = [], [np.zeros(1, np.int64)], 0
+        for a in range(skip, len(data), PIECE):
+            low = max(0, a - REACH)
+            hashes = contexts(data[low : a + PIECE], since[low : a + PIECE])
+            bits = Bits(self.code, data[a : a + PIECE])
+            packed = np.empty((len(bits.control), 4), np.int8)
+            for k, h in enumerate(hashes):
+                at = slots(h[a - low :][bits.owner], bits.node)
+                packed[:, k] = self.odds[k].take(at)
+            packed[:, 3] = (bits.control | (self.seen.take(at).astype(np.uint8) << np.uint8(1))).view(np.int8)
+            out.append(packed.view(np.int32)[:, 0])
+            starts.append(bits.start[1:] + total)
+            total += bits.start[-1]
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(starts)
+
+
+def mix_blocks(packed: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each block's bits, and the sum of the blocks' weights after their last bit.
+
+    Blocks of similar length advance side by side, STRIDE bits at a time, with the weights of the stride's beginning.
     """
+    out, ends = np.zeros(len(first)), np.zeros_like(start)
     order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    packed = np.ascontiguousarray(features).view(np.int32)[:, 0]
-    n = len(first)
-    weights = np.repeat(start[None], n, 0).reshape(n * GATES, len(ORDERS)).astype(np.float32)
-    centres = squash((np.arange(STEPS) - STEPS / 2 + 0.5) / 2).astype(np.float32)
-    table = np.tile(centres, n)
-    lane, cell = np.arange(n) * GATES, np.arange(n) * STEPS
-    total = np.zeros(n, np.float32)
-    active = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
-    for t, m in enumerate(active.tolist()):
-        x = packed[first[:m] + t].view(np.int8).reshape(m, 4)
-        control = x[:, 3].view(np.uint8)
-        odds = x[:, :3] * np.float32(1 / STEP)
+    for a in range(0, len(order), LANES):
+        lanes = order[a : a + LANES]
+        out[lanes], w = mix_lanes(packed, first[lanes], length[lanes], start)
+        ends += w
+    return out, ends
+
+
+def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, inputs = len(first), len(ORDERS)
+    weights = [np.tile(start[:, k].astype(np.float32), n) for k in range(inputs)]
+    table = np.tile((1 / (1 + np.exp((STEPS / 2 - 0.5 - np.arange(STEPS)) / 2))).astype(np.float32), n)
+    lane, cell = np.arange(n)[:, None] * GATES, np.arange(n)[:, None] * STEPS
+    total, inside = np.zeros(n), np.arange(STRIDE)
+    for t in range(0, int(length.max(initial=0)), STRIDE):
+        m = int(np.searchsorted(-length, -t, "left"))  # lanes with more than t bits
+        place = first[:m, None] + (t + inside)
+        valid = None
+        if length[m - 1] < t + STRIDE:
+            valid = (t + inside) < length[:m, None]
+            place = np.minimum(place, len(packed) - 1)
+        x = packed[place].view(np.int8).reshape(m, STRIDE, 4)
+        control = x[:, :, 3].view(np.uint8)
+        odds = [x[:, :, k] * np.float32(1 / STEP) for k in range(inputs)]
         bit = (control & 1).astype(np.float32)
-        at = lane[:m] + (control >> 1)
-        w = weights[at]
-        z = np.einsum("ij,ij->i", w, odds)
+        gate = lane[:m] + (control >> 1)
+        z = weights[0][gate] * odds[0]
+        for k in range(1, inputs):
+            z += weights[k][gate] * odds[k]
         np.clip(z, -12, 12, out=z)
-        p = squash(z)
-        weights[at] = w + (np.float32(RATE) * (bit - p))[:, None] * odds
+        p = 1 / (1 + np.exp(-z))
         spot = cell[:m] + np.clip(z * 2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
         refined = table[spot]
-        table[spot] = refined + np.float32(REFINE_RATE) * (bit - refined)
-        p = np.float32(0.75) * p + np.float32(0.25) * refined
-        total[:m] += np.log(np.abs(1 - bit - p))
-    out = np.zeros(n)
-    out[order] = total
-    return out, weights.reshape(n, GATES, len(ORDERS)).mean(axis=0) if n else start
+        off, miss = bit - p, bit - refined
+        chance = np.abs(1 - bit - (np.float32(0.75) * p + np.float32(0.25) * refined))
+        if valid is not None:
+            off, miss, chance = np.where(valid, off, 0), np.where(valid, miss, 0), np.where(valid, chance, 1)
+        total[:m] += np.log(np.multiply.reduce(chance, axis=1, dtype=np.float64))
+        flat = gate.ravel()
+        for k in range(inputs):
+            weights[k][: m * GATES] += np.float32(RATE) * np.bincount(flat, (off * odds[k]).ravel(), minlength=m * GATES)
+        hits, moved = np.bincount(spot.ravel(), minlength=m * STEPS), np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)
+        table[: m * STEPS] += moved * np.minimum(REFINE_RATE, 0.5 / np.maximum(hits, 1))
+    return total, np.stack([w.reshape(n, GATES).sum(axis=0) for w in weights], axis=1).astype(float)
 
 
 def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Natural log probability of each text, the mean weights at the ends of blocks, and the number of blocks."""
+    """Natural log probability of each text, the sum of the weights at the ends of blocks, and the number of blocks."""
     sizes = np.diff(offsets)
     pieces = -(-sizes // BLOCK)
     text = np.repeat(np.arange(len(sizes)), pieces)
@@ -282,7 +304,7 @@ def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
         first = starts[begin[a:b] - begin[a]]
         found, w = mix_blocks(features, first, starts[end[a:b] - begin[a]] - first, model.weights)
         out += np.bincount(text[a:b], found, minlength=len(sizes))
-        weights += w * (b - a)
+        weights += w
         a = b
     return out, weights, len(text)
 
@@ -330,8 +352,15 @@ def frequent_tokens(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, int]
         if total > FREQUENT:
             break
         least = 1 << r["power"]
-    rows = vocabulary.where(F.col("n") >= least).toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), least
+    def pack(batches):
+        for batch in batches:
+            blob = np.concatenate([batch.column(c).to_numpy() for c in ("key", "n")]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
+
+    parts = [np.frombuffer(r["blob"], np.int64).reshape(2, -1) for r in vocabulary.where(F.col("n") >= least).mapInArrow(pack, "blob binary").collect()]
+    keys, counts = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order], least
 
 
 def score(docs: DataFrame) -> DataFrame:
