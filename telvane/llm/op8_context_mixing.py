@@ -282,8 +282,7 @@ def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, start:
         flat = gate.ravel()
         for k in range(inputs):
             weights[k][: m * GATES] += np.float32(RATE) * np.bincount(flat, (off * odds[k]).ravel(), minlength=m * GATES)
-        hits, moved = np.bincount(spot.ravel(), minlength=m * STEPS), np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)
-        table[: m * STEPS] += moved * np.minimum(REFINE_RATE, 0.5 / np.maximum(hits, 1))
+        table[: m * STEPS] += REFINE_RATE * np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)  # REFINE_RATE * STRIDE < 1
     return total, np.stack([w.reshape(n, GATES).sum(axis=0) for w in weights], axis=1).astype(float)
 
 
