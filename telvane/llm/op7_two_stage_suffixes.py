@@ -2,19 +2,18 @@
 
 A byte is removed if it lies in a string of ``width`` bytes that starts at two places or more, in any documents.
 
-1. Windows of ``width`` bytes that are equal hold the same smallest ``gram``-byte hash at the same place (winnowing), so
-   every repeated window is found among the contexts of anchors of one hash: the bytes around an anchor that windows
-   holding it can reach. Anchors lie about 170 bytes apart, and only their hashes are shuffled.
-2. Contexts of one anchor hash that are all equal are repeated as a whole. Contexts that differ form a block. Its
-   suffixes are sorted in two stages: only suffixes smaller than their successors are sorted directly; scanning the
-   buckets of first bytes in ascending order places every other suffix behind its successor. Common prefixes of
-   neighbours in this order show the windows that occur at two places.
+1. Windows of ``width`` bytes that are equal have the same smallest ``gram``-byte hash (winnowing). Neighbouring windows
+   with the same smallest hash, some 170 in natural text and at most ``width - gram + 1``, form a context; every
+   repeated window is found among the contexts of one hash. Only hashes are shuffled for this.
+2. Contexts of one hash that are all equal are repeated as a whole. Contexts that differ form a block. The suffixes at
+   its windows are sorted in two stages: only suffixes smaller than their successors are sorted directly; scanning the
+   buckets of first bytes in ascending order places every other suffix behind its successor. Neighbours in this order
+   whose common prefix reaches ``width`` show the windows that occur at two places.
 3. A hash with more than ``limit`` different contexts would make too large a block; there the windows themselves are
    hashed and counted, which spreads one passage over all tasks. The result is the same.
 
 Texts are UTF-8 bytes; null texts are empty; texts shorter than ``width`` lose nothing. Equal rows are separate
-documents. Columns other than doc_id and text are ignored. Anchors and windows are compared by 64-bit hashes, suffixes
-by their bytes.
+documents. Columns other than doc_id and text are ignored. Substrings are compared for equality by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -55,57 +54,92 @@ def extreme(x: np.ndarray, size: int, op) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """text, place, bytes before, bytes after, hash and context hash of every anchor of the texts laid end to end."""
+    """text, place, bytes, smallest hash, own hash of every context, and whether the smallest hash occurs in it twice.
+
+    Only contexts of the last kind can hold a window twice by themselves (periodic texts).
+    """
     n, reach = len(data), width - gram
     if n < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     total, inverse = rolling(data)
     place = np.arange(n - gram + 1)
     grams = substring(total, inverse, place, place + gram)
     smallest = extreme(grams, reach + 1, np.minimum)  # at window starts
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    smallest[np.arange(len(smallest)) + width > ends[: len(smallest)]] = 0  # windows stay inside a text
-    padded = np.zeros(len(grams) + reach, np.uint64)
-    padded[reach : reach + len(smallest)] = smallest
-    at = np.flatnonzero((extreme(padded, reach + 1, np.maximum)[: len(grams)] == grams) & (grams != 0))
+    place = np.flatnonzero(np.arange(len(smallest)) + width <= ends[: len(smallest)])  # windows inside a text
+    value = smallest[place]
+    if not len(place):
+        return anchors(data[:0], offsets, width, gram)
+    begins = np.r_[True, (value[1:] != value[:-1]) | (np.diff(place) != 1)]
+    run = np.flatnonzero(begins)
+    begins |= (np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))) % (reach + 1) == 0
+    run = np.flatnonzero(begins)
+    at, size = place[run], np.diff(np.append(run, len(place))) - 1 + width
     text = np.searchsorted(offsets, at, "right") - 1
-    before = np.minimum(at - offsets[text], reach)
-    after = np.minimum(offsets[text + 1] - at, width)
-    context = mix(substring(total, inverse, at - before, at + after) + before.astype(np.uint64) * np.uint64(0x9E3779B1))
-    return text, at - offsets[text], before, after, grams[at], context
+    context = mix(substring(total, inverse, at, at + size) + size.astype(np.uint64) * np.uint64(0x9E3779B1))
+    # places that are smallest in some window, by value; the first two of a context's value from its start on
+    around = np.zeros(len(grams) + reach, np.uint64)
+    around[reach : reach + len(smallest)] = smallest
+    low = np.flatnonzero(extreme(around, reach + 1, np.maximum)[: len(grams)] >= grams)
+    values, rank = np.unique(grams[low], return_inverse=True)
+    keys = np.sort(rank * np.int64(n) + low)
+    second = np.searchsorted(keys, np.searchsorted(values, value[run]) * np.int64(n) + at) + 1
+    own_keys = keys[np.minimum(second, len(keys) - 1)]
+    again = (second < len(keys)) & (own_keys <= np.searchsorted(values, value[run]) * np.int64(n) + at + size - gram)
+    return text, at - offsets[text], size, value[run], context, again
 
 
 def piece_anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """As ``anchors``; one long text is handled in pieces, whose seams overlap by more than any context."""
+    """As ``anchors``; one long text is handled in pieces that share all but one byte of a window."""
     if len(data) <= 2 * PIECE or len(offsets) != 2:
         return anchors(data, offsets, width, gram)
-    found, seam = [], 4 * width
-    for start in range(0, len(data), PIECE):
-        low, high = max(0, start - seam), min(len(data), start + PIECE + seam)
+    found = []
+    for low in range(0, len(data), PIECE):
+        high = min(len(data), low + PIECE + width - 1)
         part = anchors(data[low:high], np.array([0, high - low]), width, gram)
-        place = part[1] + low
-        own = (place >= start) & (place < start + PIECE)
-        found.append([x[own] for x in (part[0], place, *part[2:])])
+        found.append([part[0], part[1] + low, *part[2:]])
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first ``depth`` bytes, by two-stage sorting."""
+def suffix_order(data: np.ndarray, wanted: np.ndarray, depth: int, whole: np.ndarray) -> np.ndarray:
+    """The wanted suffixes in the order of their first ``depth`` bytes, by two-stage sorting.
+
+    ``whole``: hashes of the first ``depth`` bytes; suffixes that agree in them need no sorting.
+    """
     n = len(data)
     step = np.ones(n, np.int8)  # sign of the change to the next byte; the last suffix is larger than the empty one
     step[:-1] = np.sign(data[:-1].astype(np.int16) - data[1:].astype(np.int16))
     at = np.where(step != 0, np.arange(n), n)
     larger = step[np.minimum.accumulate(at[::-1])[::-1]] > 0  # than the successor: induced
-    raw, first = data.tobytes(), data.astype(np.int64)
-    direct = np.flatnonzero(~larger).tolist()
-    direct.sort(key=lambda i: raw[i : i + depth])
-    direct = np.array(direct, np.int64)
+    # each induced suffix needs its successors up to the next one that is sorted directly
+    stop = np.minimum.accumulate(np.where(larger, n, np.arange(n))[::-1])[::-1]
+    edge = np.zeros(n + 2, np.int64)
+    np.add.at(edge, np.flatnonzero(wanted), 1)
+    np.add.at(edge, np.minimum(stop[wanted], n) + 1, -1)
+    needed = np.cumsum(edge)[:n] > 0
+
+    direct = np.flatnonzero(needed & ~larger)
+    padded = np.r_[data, np.zeros(16, np.uint8)]
+    words = np.lib.stride_tricks.as_strided(padded, (n + 9, 8), (1, 1)).copy().view(">u8")[:, 0].astype(np.uint64)
+    order = np.lexsort((words[direct + 8], words[direct]))
+    direct = direct[order]
+    same = (words[direct[1:]] == words[direct[:-1]]) & (words[direct[1:] + 8] == words[direct[:-1] + 8])
+    runs = np.flatnonzero(np.r_[True, ~same]) if len(direct) else np.zeros(0, np.int64)
+    hashes = whole[direct]
+    mixed = (np.minimum.reduceat(hashes, runs) != np.maximum.reduceat(hashes, runs)) if len(direct) else runs > 0
+    raw, ends = data.tobytes(), np.append(runs, len(direct))
+    for k in np.flatnonzero(mixed).tolist():
+        a, b = ends[k], ends[k + 1]
+        direct[a:b] = sorted(direct[a:b].tolist(), key=lambda i: raw[i + 16 : i + depth])
+
+    first = data.astype(np.int64)
     bounds = np.searchsorted(first[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    induced = larger & needed
 
     def place(sorted_suffixes: np.ndarray) -> None:
         ahead = sorted_suffixes[sorted_suffixes > 0] - 1
-        ahead = ahead[larger[ahead]]
+        ahead = ahead[induced[ahead]]
         if len(ahead):
             heads = first[ahead]
             order = np.argsort(heads, kind="stable")
@@ -125,25 +159,8 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         if len(own):
             out.append(own)
             place(own)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common bytes of the suffixes at a and b, up to ``most``, in steps of a byte."""
-    padded = np.r_[data, np.zeros(most + 8, np.uint8)]
-    length, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
-    words = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1)).copy().view(np.uint64)[:, 0]
-    for k in range(0, most, 8):
-        same = words[a[open_] + k] == words[b[open_] + k]
-        differ = open_[~same]
-        if len(differ):
-            diff = words[a[differ] + k] ^ words[b[differ] + k]
-            length[differ] = k + np.bitwise_count((diff & -diff) - np.uint64(1)).astype(np.int64) // 8
-        open_ = open_[same]
-        if not len(open_):
-            break
-    length[open_] = most
-    return np.minimum(length, most)
+    out = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return out[wanted[out]]
 
 
 def repeated_windows(contexts: list[bytes], copies: np.ndarray, where: np.ndarray, width: int) -> list[np.ndarray]:
@@ -152,14 +169,16 @@ def repeated_windows(contexts: list[bytes], copies: np.ndarray, where: np.ndarra
     offsets = np.r_[0, np.cumsum(sizes)]
     data = np.frombuffer(b"".join(contexts), np.uint8)
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    inner = np.arange(len(data)) - offsets[owner]
-    order = suffix_order(data, width)
-    order = order[inner[order] + width <= sizes[owner[order]]]
+    place = np.arange(len(data))
+    wanted = place - offsets[owner] + width <= sizes[owner]
+    total, inverse = rolling(data)
+    whole = substring(total, inverse, place, np.minimum(place + width, len(data)))
+    order = suffix_order(data, wanted, width, whole)
     flags = np.zeros(len(data), bool)
     if len(order):
-        equal = common_prefix(data, order[:-1], order[1:], width) >= width
+        equal = whole[order[1:]] == whole[order[:-1]]  # the common prefix reaches width
         runs = np.flatnonzero(np.r_[True, ~equal])
-        spot = where[owner[order]] + inner[order].astype(np.uint64)
+        spot = where[owner[order]] + (order - offsets[owner[order]]).astype(np.uint64)
         twice = (np.minimum.reduceat(spot, runs) != np.maximum.reduceat(spot, runs)) | (np.maximum.reduceat(copies[owner[order]], runs) > 1)
         flags[order] = np.repeat(twice, np.diff(np.append(runs, len(order))))
     return [np.flatnonzero(flags[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
@@ -182,18 +201,18 @@ def find_anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in text_parts(batch.column("text")):
-                text, place, before, after, h, c = piece_anchors(data, offsets, width, gram)
+                text, place, size, h, c, again = piece_anchors(data, offsets, width, gram)
                 take = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(place.astype(np.int64)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))],
-                    names=[*KEY, "place", "before", "after", "h", "c"],
+                    [batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(place.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(again.astype(bool))],
+                    names=[*KEY, "place", "size", "h", "c", "again"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, place long, before int, after int, h long, c long")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, place long, size int, h long, c long, again boolean")
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of contexts; wanted: doc_id, text_hash, list of (h, c, copies, place, before, after)."""
+    """The bytes of contexts; wanted: doc_id, text_hash, list of (h, c, copies, place, size)."""
 
     def run(batches):
         for batch in batches:
@@ -201,8 +220,7 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, spot, items in zip(batch.column("text").to_pylist(), batch.column("spot").to_pylist(), batch.column("items").to_pylist()):
                 raw = (text or "").encode()
                 for x in items:
-                    start = x["place"] - x["before"]
-                    out.append((x["h"], x["c"], x["copies"], (spot + start + 2**63) % 2**64 - 2**63, raw[start : x["place"] + x["after"]]))
+                    out.append((x["h"], x["c"], x["copies"], (spot + x["place"] + 2**63) % 2**64 - 2**63, raw[x["place"] : x["place"] + x["size"]]))
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["h", "c", "copies", "spot", "bytes"])
@@ -298,23 +316,23 @@ def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, gram: int = 64, limit: int = 1_000, block: int = 1 << 18) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, gram: int = 64, limit: int = 4_000, block: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = scratch.settle(find_anchors(docs, width, gram), "anchors")
-    heads = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    shared = scratch.settle(found.join(heads.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "shared")
+    heads = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("again").alias("again")).where("n > 1 or again")
+    shared = scratch.settle(found.drop("again").join(heads.select("h", ((F.col("low") != F.col("high")) | F.col("again")).alias("mixed")), "h"), "shared")
     scratch.drop(found)
 
     contexts = shared.where("mixed").groupBy("h", "c").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "place", "before", "after")).alias("first"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "place", "size")).alias("first"),
     )
     contexts = scratch.settle(contexts, "contexts")
     many = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > limit).select("h", F.lit(True).alias("many"))
     many = checked_broadcast(scratch.settle(many, "many"))
     items = contexts.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
-        F.collect_list(F.struct("h", "c", "copies", "first.place", "first.before", "first.after")).alias("items")
+        F.collect_list(F.struct("h", "c", "copies", "first.place", "first.size")).alias("items")
     )
     items = checked_broadcast(scratch.settle(items, "items"), weight=32 + 40 * F.size("items"))
     cut = scratch.settle(cut_contexts(docs, items).join(many, "h", "left"), "cut")
@@ -323,9 +341,8 @@ def remove_repeats(docs: DataFrame, width: int = 400, gram: int = 64, limit: int
     few = cut.where("many is null").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
     spans = block_spans(few, width, block).unionAll(counted_spans(cut.where("many"), width))
 
-    whole = shared.where("not mixed").select(*KEY, (F.col("place") - F.col("before")).alias("first"), (F.col("place") + F.col("after")).alias("past"))
-    begin = F.col("place") - F.col("before")
-    partly = shared.where("mixed").join(spans, ["h", "c"]).select(*KEY, begin.alias("begin"), F.explode("spans").alias("x"))
+    whole = shared.where("not mixed").select(*KEY, F.col("place").alias("first"), (F.col("place") + F.col("size")).alias("past"))
+    partly = shared.where("mixed").join(spans, ["h", "c"]).select(*KEY, F.col("place").alias("begin"), F.explode("spans").alias("x"))
     partly = partly.select(*KEY, (F.col("begin") + F.col("x.first")).alias("first"), (F.col("begin") + F.col("x.past")).alias("past"))
     # a text's ranges follow its length; equal rows have equal ranges
     ranges = whole.unionAll(partly).groupBy(*KEY).agg(F.collect_set(F.struct("first", "past")).alias("ranges"))
