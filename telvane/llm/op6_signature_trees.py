@@ -31,6 +31,10 @@ from telvane.llm.common import Scratch, checked_broadcast, list_array, mix, null
 from telvane.llm.graph import components
 
 
+#: Size of the bitmap of shared routing hashes (16 MB), and the ranges in which it is gathered.
+MAP_BITS, MAP_RANGES = 1 << 27, 256
+
+
 def bands(p: int, q: int, top: int = 1 << 40) -> list[tuple[int, int, int, int]]:
     """(smallest size, largest size, largest partner, most differing elements) of each band for similarity p/q.
 
@@ -149,6 +153,39 @@ def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, cid long, sigs array<long>")
 
 
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash modulo MAP_BITS, gathered in ranges: of fixed size, however many hashes there are."""
+    span = MAP_BITS // MAP_RANGES
+    place = F.pmod("sig", F.lit(MAP_BITS))
+
+    def run(key, table):
+        flags = np.zeros(span, np.uint8)
+        flags[table.column("place").to_numpy() % span] = 1
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["part", "bits"])
+
+    places = hashes.select(place.alias("place")).distinct().withColumn("part", F.floor(F.col("place") / span).cast("long"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in places.groupBy("part").applyInArrow(run, "part long, bits binary").toLocalIterator():
+        out[r["part"] * span // 8 : (r["part"] + 1) * span // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked_routes(profiled: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(sig, cid) of the routing hashes whose bit is set."""
+    shared = profiled.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            sigs = batch.column("sigs")
+            flat = sigs.flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(sigs.offsets.to_numpy()))
+            at = flat.view(np.uint64) & np.uint64(MAP_BITS - 1)
+            hit = np.flatnonzero((shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), batch.column("cid").take(pa.array(owner[hit]))], names=["sig", "cid"])
+
+    return profiled.where("cid is not null").select("sigs", "cid").mapInArrow(run, "sig long, cid long")
+
+
 def forest_links(rows: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Links found by the trees of each unit; rows: unit, grp, cid, mark, text."""
 
@@ -183,12 +220,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, lim
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = scratch.settle(profile(docs, k, p, q), "profile")
+    profiled = scratch.settle(profile(docs, k, p, q), "profile")
+    # routing hashes of several rows; a fixed bitmap of them spares most of the others the second shuffle
+    shared = profiled.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    shared = scratch.settle(shared, "shared")
+    parts = scratch.settle(marked_routes(profiled, bitmap(shared)).join(shared, "sig", "left_semi"), "parts")
+    rows = scratch.settle(profiled.select("doc_id", "n_shingles", "cid"), "rows")
+    scratch.drop(profiled, shared)
     classes = scratch.settle(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
 
-    parts = rows.where("cid is not null").select(F.explode("sigs").alias("sig"), "cid")
-    shared = parts.groupBy("sig").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub != last").select("sig", "hub")
-    routes = parts.join(shared, "sig").where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    hubs = parts.groupBy("sig").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub != last").select("sig", "hub")
+    routes = parts.join(hubs, "sig").where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
     groups = components(routes, scratch)  # label: the smallest class of the group
 
     members = classes.join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid")
