@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telvane.functions import confusion as C
@@ -10,7 +10,7 @@ from telvane.functions.scalars import col, ratio
 from telvane.operators.quantiles import exact_quantiles
 from telvane.operators.ranking import ranking_metrics
 from telvane.operators.search import best_threshold, spread_alphas
-from telvane.operators.series import CHUNK, in_chunks
+from telvane.operators.series import first_rows
 
 # The quality targets a detector is checked against.
 TARGETS = {
@@ -23,6 +23,8 @@ TARGETS = {
     "fpr": 0.05,
 }
 LOWER_IS_BETTER = {"fpr"}
+#: Targets that are set for a metric under another name.
+SAME_AS = {"detection_rate": "recall"}
 
 
 def metrics(df: DataFrame, threshold: float | Column | str = 0.5, score: str = "score", label: str = "label",
@@ -85,6 +87,7 @@ def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
 
 def check_targets(row: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """metric, value, target, met for every targeted metric of a one-row metric table."""
+    row = row.withColumns({m: F.col(c) for m, c in SAME_AS.items() if m not in row.columns and c in row.columns})
     present = [m for m in targets if m in row.columns]
     long = row.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(targets[m]).alias("target"),
@@ -173,22 +176,24 @@ def metrics_by_device_type(df: DataFrame, tau: str | float, score: str = "score"
 
 
 def warm_up_impact(df: DataFrame, flagged: Column, first: int = 50, device: str = "device_id", label: str = "label",
-                   order: list[str] = ("ts", "row_id"), max_rows: int | None = None) -> DataFrame:
+                   order: list[str] = ("ts", "row_id")) -> DataFrame:
     """FP and FN rate over the first rows of every device and over its later rows.
 
-    Only a device's first time chunk can hold its first rows, so the ranking
-    stays bounded for a device with very many rows.
+    The first rows are ranked in two salted rounds, so no task receives a whole
+    device; the later rows are what all rows have more.
     """
-    chunked = in_chunks(df.withColumn("__flagged", flagged), device, list(order), 0, max_rows)
-    early = F.row_number().over(Window.partitionBy(*chunked.keys).orderBy(*order)) <= first
-    if CHUNK in chunked.keys:
-        early = early & (F.col(CHUNK) == 0)
-    marked = chunked.df.withColumn("__early", early)
-    segment = F.when(F.col("__early"), f"warm_up_first_{first}").otherwise(f"after_warm_up_{first + 1}_plus")
-    return (
-        marked.groupBy(segment.alias("segment"))
-        .agg(F.count(F.lit(1)).alias("n"), *C.confusion_counts(label, "__flagged"))
-        .select("segment", "n", F.round(C.false_positive_rate(), 4).alias("fp_rate"), F.round(C.false_negative_rate(), 4).alias("fn_rate"))
+    flat = df.select(device, *order, F.col(label).alias("__label"), flagged.alias("__flagged"))
+    counts = [F.count(F.lit(1)).alias("n"), *C.confusion_counts("__label", "__flagged")]
+    early = first_rows(flat, [device], list(order), first).agg(*counts).withColumn("sign", F.lit(-1))
+    both = early.unionByName(flat.agg(*counts).withColumn("sign", F.lit(1)))
+    names = ["n", *C.COUNTS]
+    parts = F.array(
+        F.struct(F.lit(f"warm_up_first_{first}").alias("segment"), *[F.when(F.col("sign") < 0, F.col(c)).otherwise(0).alias(c) for c in names]),
+        F.struct(F.lit(f"after_warm_up_{first + 1}_plus").alias("segment"), *[(F.col(c) * F.col("sign")).alias(c) for c in names]),
+    )
+    summed = both.select(F.explode(parts).alias("x")).groupBy("x.segment").agg(*[F.sum(f"x.{c}").alias(c) for c in names])
+    return summed.filter("n > 0").select(
+        "segment", "n", F.round(C.false_positive_rate(), 4).alias("fp_rate"), F.round(C.false_negative_rate(), 4).alias("fn_rate")
     )
 
 

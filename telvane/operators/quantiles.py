@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from telvane.operators.series import among
 
 from telvane.operators.buckets import bucketed
 
@@ -44,10 +45,10 @@ def grouped_quantile(
     direct_rows = direct_rows or DIRECT_ROWS
     sized = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct_rows)
     large = [r[group] for r in sized.collect()]
-    small = df.filter(~F.col(group).isin(large) | F.col(group).isNull()) if large else df
+    small = df.filter(~among(group, large)) if large else df
     out = small.groupBy(group).agg(*[F.percentile(_value(c), prob).alias(c) for c in columns])
     for key in large:
-        one = quantiles_frame(df.filter(F.col(group) == key), columns, prob, direct_rows)
+        one = quantiles_frame(df.filter(among(group, [key])), columns, prob, direct_rows)
         out = out.unionByName(one.select(F.lit(key).cast(dict(df.dtypes)[group]).alias(group), *columns))
     return out
 

@@ -11,7 +11,9 @@ from telvane.operators.buckets import bucketed
 
 def score_counts(df: DataFrame, slices: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Positives and negatives per slice and distinct score; combines in the map tasks."""
-    return df.groupBy(*slices, F.col(score).cast("double").alias("score")).agg(
+    # rows without a label or a score count nowhere, as in the confusion counts
+    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return known.groupBy(*slices, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg"),
     )
@@ -51,7 +53,7 @@ def empirical_rank(
     """Share of the reference rows whose score is <= the row's score (right side: ties count).
 
     ``reference`` marks the reference rows of ``df``. Works on one row per
-    distinct score, joined back on the score.
+    distinct score, joined back on the score. Rows without a score have no rank.
     """
     value = F.col(score).cast("double")
     per_score = df.groupBy(value.alias("__score")).agg(
@@ -60,7 +62,7 @@ def empirical_rank(
     ranked = bucketed(per_score, [], "__score", {"__through": "__ref"}, rows_per_bucket)
     size = ranked.agg(F.coalesce(F.sum("__ref"), F.lit(0)).alias("n")).first()["n"]
     share = ranked.select("__score", (F.col("__through") / F.lit(float(max(size, 1)))).alias(out))
-    return df.withColumn("__score", value).join(share, "__score").drop("__score")
+    return df.withColumn("__score", value).join(share, "__score", "left").drop("__score")
 
 
 def search_best(df: DataFrame, objective: str, order: str, slices: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:

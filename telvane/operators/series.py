@@ -39,9 +39,26 @@ def order_number(c: str, df: DataFrame) -> Column:
     kind = dict(df.dtypes)[c]
     if kind.startswith("timestamp"):
         return F.unix_micros(F.col(c).cast("timestamp"))
+    if kind == "date":
+        return F.unix_date(F.col(c)).cast("long")
     return F.col(c).cast("double")
 
 
+def among(key: str, values: list) -> Column:
+    """Whether the key is one of the values, of which one may be null."""
+    hit = F.coalesce(F.col(key).isin([v for v in values if v is not None]), F.lit(False))
+    return hit | F.col(key).isNull() if None in values else hit
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet null keys; the right side's keys are dropped."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"__right_{k}"])
+    return left.join(right, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def large_series(df: DataFrame, series: str, order: str, max_rows: int) -> dict:
     """Chunk boundaries (values of the order key) of each series above ``max_rows``.
 
@@ -55,7 +72,7 @@ def large_series(df: DataFrame, series: str, order: str, max_rows: int) -> dict:
         wanted = [k for k, n in sizes.items() if math.ceil(n / max_rows) == pieces]
         probs = [i / pieces for i in range(1, pieces)]
         rows = (
-            df.filter(F.col(series).isin(wanted))
+            df.filter(among(series, wanted))
             .groupBy(series)
             .agg(F.percentile_approx(number, probs, max(10_000, 20 * pieces)).alias("b"))
             .collect()
@@ -106,7 +123,7 @@ def in_chunks(df: DataFrame, series: str, order: list[str], halo: int, max_rows:
     )
     number = order_number(order[0], df)
     tagged = (
-        df.join(F.broadcast(cuts), series, "left")
+        null_safe_join(df, F.broadcast(cuts), [series], "left")
         .withColumn(
             CHUNK,
             F.when(F.col("__bounds").isNull(), 0)
@@ -122,11 +139,9 @@ def in_chunks(df: DataFrame, series: str, order: list[str], halo: int, max_rows:
     if pairs:
         targets = spark.createDataFrame(pairs, f"{series} {series_type}, {CHUNK} int, __target int")
         newest = Window.partitionBy(series, CHUNK).orderBy(*[F.col(c).desc() for c in order])
+        newest_rows = large.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= halo).drop("__rn")
         tails = (
-            large.withColumn("__rn", F.row_number().over(newest))
-            .filter(F.col("__rn") <= halo)
-            .drop("__rn")
-            .join(F.broadcast(targets), [series, CHUNK])
+            null_safe_join(newest_rows, F.broadcast(targets), [series, CHUNK])
             .withColumn(CHUNK, F.col("__target"))
             .withColumn(IS_HALO, F.lit(True))
             .drop("__target")
@@ -149,6 +164,15 @@ def with_series_columns(
     return chunked.finish(chunked.df.withColumns(build(window)))
 
 
+def first_rows(df: DataFrame, series: list[str], order: list[str], n: int, salts: int = 32) -> DataFrame:
+    """The first ``n`` rows per series, ranked in the same two rounds as ``last_rows``; null keys are a series."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    for keys in ([*series, "__salt"], series):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn("__rn", rank).filter(F.col("__rn") <= n).drop("__rn")
+    return salted.drop("__salt")
+
+
 def last_rows(df: DataFrame, series: list[str], order: list[str], n: int, salts: int = 32) -> DataFrame:
     """The last ``n`` rows per series, as column ``r`` = 0 for the newest.
 

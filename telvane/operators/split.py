@@ -44,8 +44,10 @@ def ranked_bands(
             before += n
     kind = dict(df.dtypes)[stratum]
     plan = spark.createDataFrame(table, f"{stratum} {kind}, __p string, __done int, __inner array<bigint>")
-    tagged = keyed.join(F.broadcast(plan), [stratum, "__p"], "left")
-    split_here = F.size("__inner") > 0
+    plan = plan.withColumnsRenamed({stratum: "__stratum", "__p": "__prefix"})
+    same = keyed[stratum].eqNullSafe(plan["__stratum"]) & (keyed["__p"] == plan["__prefix"])  # null is a stratum too
+    tagged = keyed.join(F.broadcast(plan), same, "left").drop("__stratum", "__prefix")
+    split_here = F.coalesce(F.size("__inner") > 0, F.lit(False))
     rank = F.row_number().over(Window.partitionBy(stratum, "__p").orderBy("__d", row_id)) - 1
     whole = tagged.filter(~split_here).withColumn("band", F.col("__done"))
     cut = (
@@ -96,7 +98,7 @@ def normal_rows(df: DataFrame, label: str = "label") -> DataFrame:
 
 def hold_out_class(df: DataFrame, attack: str, split: str = "split", category: str = "attack_cat") -> DataFrame:
     """Remove one attack class from the training rows only."""
-    return df.filter((F.col(split) != "train") | (F.col(category) != attack))
+    return df.filter(~F.col(split).eqNullSafe(F.lit("train")) | ~F.col(category).eqNullSafe(F.lit(attack)))
 
 
 def frequent_attacks(df: DataFrame, n: int = 3, category: str = "attack_cat", label: str = "label") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from telvane.operators import vocab as V
-from telvane.operators.series import with_series_columns
+from telvane.operators.series import null_safe_join, with_series_columns
 from telvane.operators.split import split_column
 
 LINE_FEATURES = ["quantity", "extendedprice", "discount", "tax"]
@@ -48,7 +48,7 @@ def flow_events(spark: SparkSession, sf_dir: str, max_rows: int | None = None) -
     rows = with_series_columns(ev, "user_id", ["ts", "event_id"], BUFFER - 1, build, max_rows)
     starts = ev.groupBy("user_id").agg(F.min("us").alias("start_us"))
     label = F.when(F.col("event_type") == "error", 1).otherwise(0)
-    return rows.join(starts, "user_id").select(
+    return null_safe_join(rows, starts, ["user_id"]).select(
         (F.lit(1.0) / F.col("inter_arrival_time")).alias("packet_rate"),
         F.col("value").alias("byte_rate"),
         F.col("k").cast("double").alias("burst_length"),

@@ -69,15 +69,17 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
 def read_telemetry(spark: SparkSession, path: str, sep: str = ";", partitions: int | None = None) -> DataFrame:
     """Process telemetry CSV (plain or gz) with ``time`` and ``attack``; signals as doubles.
 
-    A gz file is read by one task, so its rows are spread before further work.
+    A file whose header differs from the first one's is an error, not a swap of
+    columns. A gz file is read by one task, so its rows are spread before further work.
     """
     names = spark.read.csv(path, sep=sep, header=True, inferSchema=False).columns
     if "time" not in names or "attack" not in names:
         raise ValueError(f"{path} has no time/attack columns")
     kinds = {"time": T.StringType(), "attack": T.IntegerType()}
     schema = T.StructType([T.StructField(n, kinds.get(n, T.IntegerType() if n.startswith("attack") else T.DoubleType())) for n in names])
-    df = spark.read.schema(schema).csv(path, sep=sep, header=True).withColumn("source_file", F.input_file_name())
-    return df.repartition(partitions or spark.sparkContext.defaultParallelism)
+    df = spark.read.schema(schema).csv(path, sep=sep, header=True, enforceSchema=False).withColumn("source_file", F.input_file_name())
+    packed = any(f.endswith(".gz") for f in df.inputFiles())
+    return df.repartition(partitions or spark.sparkContext.defaultParallelism) if packed or partitions else df
 
 
 def read_connection_records(spark: SparkSession, path: str) -> DataFrame:
