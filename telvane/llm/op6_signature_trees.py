@@ -3,9 +3,10 @@
 Two documents link when the Jaccard similarity of their word-shingle sets reaches a threshold p/q. The result is one
 row per document with the smallest doc_id reachable by links. Nothing is lost and no pair is formed twice on purpose:
 
-1. Every set is split by hash into parts. For sizes of one band two linked sets differ in at most D elements, so of
-   D + 3 parts at least three agree (bands overlap, so that linked sets of adjacent sizes meet in one of them). The
-   agreeing parts route linked documents into one forest group; equal sets fold into one class first.
+1. Shingles are put in one global order, rare ones first (by a fixed table of hashed counts, then by hash). A set of n
+   shingles can only link to another if the two share one of their first n - ceil(n p/q) + 1 shingles in this order.
+   These route linked documents into one forest group, while passages that many documents share come last and route
+   nobody. Any order is exact; the counts only keep groups small. Equal sets fold into one class first.
 2. Each group becomes a signature tree: its leaves are sets, ordered by their smallest hash, and each node holds the
    OR of token bitmaps, the size range and the largest count of bitmap collisions below it. The tree is traversed
    against itself. A pair of nodes is left out if its sizes cannot link, if the largest possible overlap (common bits
@@ -27,52 +28,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telvane.llm.common import Scratch, checked_broadcast, list_array, mix, null_safe, shingle_sets, text_parts
+from telvane.llm.common import Scratch, Words, checked_broadcast, list_array, mix, null_safe, shingle_sets, text_parts
 from telvane.llm.graph import components
 
 
 #: Size of the bitmap of shared routing hashes (16 MB), and the ranges in which it is gathered.
 MAP_BITS, MAP_RANGES = 1 << 27, 256
+#: The table of shingle counts has 2**COUNT_BITS slots (4 MB); the slot is a shingle's upper bits.
+COUNT_BITS = 22
 
 
-def bands(p: int, q: int, top: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, largest partner, most differing elements) of each band for similarity p/q.
+def class_id(s: np.ndarray) -> int:
+    return int(mix(np.array([int(np.add.reduce(mix(s))) + len(s) * 0x51ED2701 & (2**64 - 1)], np.uint64)).view(np.int64)[0])
 
-    Sizes s <= t link only if q*s >= p*t, and then differ in at most (s + t)*(q - p)/(q + p) elements.
-    """
-    out, low = [], 1
-    while (low + q * low // p) * (q - p) // (q + p) == 0 and low < top:
-        low += 1
-    while low < top:
-        high = max(low, low * q**3 // p**3)
-        partner = high * q // p
-        out.append((low, high, partner, (high + partner) * (q - p) // (q + p)))
-        low = high + 1
-    return out
 
+def signatures(s: np.ndarray, common: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The first shingles of the set in the global order, enough to meet every set that it links to."""
+    first = len(s) - -(-len(s) * p // q) + 1
+    rank = common[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    return s[np.argsort(rank, kind="stable")[:first]] if len(s) else s  # s is sorted, so ties go by hash
 
-def class_id(s: np.ndarray) -> int:
-    return int(mix(np.array([int(np.add.reduce(mix(s))) + len(s) * 0x51ED2701 & (2**64 - 1)], np.uint64)).view(np.int64)[0])
 
+def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each hash range are, as steps of a fourth power of two; of fixed size."""
+    span = (1 << COUNT_BITS) // MAP_RANGES
 
-def signatures(s: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """One hash for each part of the set in each band it belongs to."""
-    n, out = len(s), []
-    spread = mix(s + np.uint64(0x632BE59BD9B4E019))
-    for level, (low, high, partner, most) in enumerate(table):
-        if low > n:
-            break
-        if n > partner:
-            continue
-        parts = most + 3
-        part = s % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        at = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
-        sums = np.add.reduceat(spread[order], at) + part[order][at] * np.uint64(0x8CB92BA72F3D8DD7)
-        if parts - len(at) >= 3:  # three parts agree, and all of them may be empty
-            sums = np.append(sums, np.uint64(0x1234567))
-        out.append(mix(sums + np.uint64((level + 1) * 0xE7037ED1A0B428DB % 2**64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    def count(batches):
+        total, waiting, held = np.zeros(1 << COUNT_BITS, np.int32), [], 0
+
+        def add():
+            slots, n = np.unique(np.concatenate(waiting), return_counts=True)
+            total[slots] += n.astype(np.int32)
+
+        for batch in batches:
+            for _, _, data, offsets in text_parts(batch.column("text")):
+                hashes, inside = Words(data, offsets).shingles(k)
+                waiting.append((hashes[inside] >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+                held += len(waiting[-1])
+                if held > 4_000_000:
+                    add()
+                    waiting, held = [], 0
+        if waiting:
+            add()
+        for r in range(MAP_RANGES):
+            part = np.minimum(total[r * span : (r + 1) * span], 65535).astype(np.uint16)
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["part", "counts"])
+
+    def merge(key, table):
+        total = np.zeros(span, np.int64)
+        for blob in table.column("counts"):  # one row of fixed size for each counting task
+            total += np.frombuffer(blob.as_py(), np.uint16)
+        steps = np.minimum(255, np.floor(4 * np.log2(1 + total))).astype(np.uint8)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([steps.tobytes()], pa.binary())], names=["part", "steps"])
+
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part long, counts binary")
+    for r in parts.groupBy("part").applyInArrow(merge, "part long, steps binary").toLocalIterator():
+        out[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["steps"], np.uint8)
+    return out
 
 
 class Tree:
@@ -135,7 +149,7 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, p: int, q: int) -> lis
 
 def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles, cid (class of equal sets, null without a set) and the routing hashes of each document."""
-    table = bands(p, q)
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def run(batches):
         for batch in batches:
@@ -146,7 +160,7 @@ def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
                     ids.slice(i, j - i),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
-                    list_array([signatures(s, table) for s in sets], pa.int64()),
+                    list_array([signatures(s, shared.value, p, q) for s in sets], pa.int64()),
                 ], names=["doc_id", "n_shingles", "cid", "sigs"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
