@@ -45,25 +45,25 @@ def bisect_exponent(sizes: DataFrame, entropy: float | None, repeats: float | No
         return 1.0
     logs = sizes.select((F.log(F.col("tokens") / F.lit(float(total)))).alias("x"), "n").persist()
     if repeats is not None:
-        low, high = logs.agg(F.min("x"), F.max("x")).first()
+        smallest, largest = logs.agg(F.min("x"), F.max("x")).first()
+
         def fits(t):  # weight / share = p**(t - 1), largest over smallest
-            return (1 - t) * (high - low) <= math.log(repeats) + 1e-12
+            return (1 - t) * (largest - smallest) <= math.log(repeats) + 1e-12
+
         met_above = True
     else:
+
         def fits(t):
             z, m = logs.agg(F.sum(F.col("n") * F.exp(t * F.col("x"))), F.sum(F.col("n") * F.exp(t * F.col("x")) * F.col("x"))).first()
             return math.log(z) - t * m / z >= entropy
         met_above = False
-    low, high = 0.0, 1.0
-    if fits(1.0):
+    if not met_above and fits(1.0):
         logs.unpersist()
-        if not met_above:
-            return 1.0
-    if met_above and fits(0.0):
-        return 0.0
-    if not met_above and not fits(0.0):
+        return 1.0
+    if fits(0.0) == met_above:  # even sources alike keep to the limit, or miss the entropy
         logs.unpersist()
         return 0.0
+    low, high = 0.0, 1.0
     for _ in range(steps):
         middle = (low + high) / 2
         if fits(middle) == met_above:
