@@ -3,10 +3,17 @@
 Two documents link when the Jaccard similarity of their word-shingle sets reaches a threshold p/q. The result is one
 row per document with the smallest doc_id reachable by links. Nothing is lost and no pair is formed twice on purpose:
 
-1. Shingles are put in one global order, rare ones first (by a fixed table of hashed counts, then by hash). A set of n
-   shingles can only link to another if the two share one of their first n - ceil(n p/q) + 1 shingles in this order.
-   These route linked documents into one forest group, while passages that many documents share come last and route
-   nobody. Any order is exact; the counts only keep groups small. Equal sets fold into one class first.
+1. Routing hashes bring linked documents into one forest group. Equal sets fold into one class first. There are two
+   exact ways; the similarity decides, by how many shingles a part of the first one holds on average,
+   (p + q) / (2 (q - p)):
+   * from ``PART_SHINGLES`` on (similarity 0.9: 9.5): each set is cut by hash into one part more than the number of
+     shingles in which two linked sets of its size class can differ, so two linked sets agree in all of some part. A
+     set takes the parts of every size class in which it may have a smaller partner. Sets that merely share a phrase
+     or a passage do not meet.
+   * below (similarity 0.8: 4.5, where parts are often empty): shingles are put in one global order, rare ones first
+     (by a fixed table of hashed counts, then by hash). A set of n shingles can only link to another if the two share
+     one of their first n - ceil(n p/q) + 1 shingles in this order. Passages that many documents share come last and
+     route nobody. Any order is exact; the counts only keep groups small.
 2. Each group becomes a signature tree: its leaves are sets, ordered by their smallest hash, and each node holds the
    OR of token bitmaps, the size range and the largest count of bitmap collisions below it. The tree is traversed
    against itself. A pair of nodes is left out if its sizes cannot link, if the largest possible overlap (common bits
@@ -22,6 +29,8 @@ Columns other than doc_id and text are ignored. Sets are compared by 64-bit shin
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +45,8 @@ from telvane.llm.graph import components
 MAP_BITS, MAP_RANGES = 1 << 27, 256
 #: The table of shingle counts has 2**COUNT_BITS slots (4 MB); the slot is a shingle's upper bits.
 COUNT_BITS = 22
+#: Average shingles of a part from which sets are routed by parts.
+PART_SHINGLES = 8
 
 
 def class_id(s: np.ndarray) -> int:
@@ -49,6 +60,36 @@ def signatures(s: np.ndarray, common: np.ndarray, p: int, q: int) -> np.ndarray:
     return s[np.argsort(rank, kind="stable")[:first]] if len(s) else s  # s is sorted, so ties go by hash
 
 
+@lru_cache(maxsize=64)
+def size_classes(bits: int, p: int, q: int) -> np.ndarray:
+    """Lower ends of the size classes, beyond 2**bits; the largest partner of a class is in it or the next."""
+    low = [1]
+    while low[-1] <= 1 << bits:
+        low.append(low[-1] * q // p + 1)
+    return np.array(low, np.int64)
+
+
+def part_signatures(s: np.ndarray, p: int, q: int) -> np.ndarray:
+    """A hash of each part of the set, for each size class in which its smaller partners may be.
+
+    Linked sets of sizes a <= b differ in at most (a + b)(q - p)/(p + q) shingles, which is taken at the upper end of
+    a's class; one part more than that leaves some part without a difference.
+    """
+    n = len(s)
+    if not n:
+        return s
+    low = size_classes(n.bit_length(), p, q)
+    first, last = np.searchsorted(low, [-(-n * p // q), n], "right") - 1
+    mixed, out = mix(s), []
+    for c in range(int(first), int(last) + 1):
+        high = int(low[c + 1]) - 1
+        parts = (high + high * q // p) * (q - p) // (p + q) + 1
+        sums = np.full(parts, c * 0x51ED2701ABCD, np.uint64) + mix(np.arange(parts, dtype=np.uint64))
+        np.add.at(sums, (s % np.uint64(parts)).astype(np.int64), mixed)
+        out.append(mix(sums))
+    return np.concatenate(out)
+
+
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """How common the shingles of each hash range are, as steps of a fourth power of two; of fixed size."""
     span = (1 << COUNT_BITS) // MAP_RANGES
@@ -149,7 +190,11 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, p: int, q: int) -> lis
 
 def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles, cid (class of equal sets, null without a set) and the routing hashes of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
+    by_parts = p + q >= PART_SHINGLES * 2 * (q - p)
+    shared = None if by_parts else docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
+
+    def routes(s: np.ndarray) -> np.ndarray:
+        return part_signatures(s, p, q) if by_parts else signatures(s, shared.value, p, q)
 
     def run(batches):
         for batch in batches:
@@ -160,7 +205,7 @@ def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
                     ids.slice(i, j - i),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
-                    list_array([signatures(s, shared.value, p, q) for s in sets], pa.int64()),
+                    list_array([routes(s) for s in sets], pa.int64()),
                 ], names=["doc_id", "n_shingles", "cid", "sigs"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

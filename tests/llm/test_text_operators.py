@@ -77,6 +77,19 @@ def test_jaccard_components(spark, k, p, q, limit):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+def test_linked_sets_share_a_part():
+    rng, linked = np.random.default_rng(5), 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        common = rng.integers(0, 2**63, n).astype(np.uint64)
+        a, b = (np.unique(np.append(common, rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 12))).astype(np.uint64))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if 10 * both >= 9 * (len(a) + len(b) - both):
+            linked += 1
+            assert len(np.intersect1d(op6.part_signatures(a, 9, 10), op6.part_signatures(b, 9, 10)))
+    assert linked > 500
+
+
 def test_repeated_bytes(spark):
     common = sentence(2, 200)
     texts = [common + sentence(3, 40), sentence(4, 30) + common[100:900], "ab" * 700, None, "", "x" * 399, "é" * 300, common[:399], sentence(9, 200), sentence(9, 200)]
