@@ -257,16 +257,23 @@ def sensitivity_profiles(train: DataFrame, features: list[str], device: str = "d
 
 def sensitivity_scores(df: DataFrame, profiles: DataFrame, features: list[str], device: str = "device_id",
                        z: str = "z", maha: str | None = None, configs: int = len(SENSITIVITY)) -> DataFrame:
-    """Deviations of every row under every setting: one join for all settings."""
+    """Deviations of every row under every setting: one join on the device, which brings the profiles of all settings.
+
+    ``profiles`` should be settled. The side of one row per device is broadcast
+    if it is counted small, else joined by shuffle.
+    """
     cells = ["mean", "std"] + (["cov_inv"] if maha else [])
-    spread = df.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1))))
-    own = profiles.filter(F.col(device) != GLOBAL_PROFILE).select("config", device, *[F.col(c).alias(f"__{c}") for c in cells])
-    rest = profiles.filter(F.col(device) == GLOBAL_PROFILE).select("config", *[F.col(c).alias(f"__g_{c}") for c in cells])
-    # `rest` has one row per setting, so it is always broadcast.
-    joined = spread.join(own, ["config", device], "left").join(F.broadcast(rest), "config")
-    joined = joined.withColumns({f"__{c}": F.coalesce(f"__{c}", f"__g_{c}") for c in cells})
+    held = F.map_from_entries(F.collect_list(F.struct("config", F.struct(*cells).alias("cells"))))  # one entry per setting
+    own = profiles.filter(F.col(device) != GLOBAL_PROFILE).groupBy(device).agg(held.alias("__own"))
+    rest = profiles.filter(F.col(device) == GLOBAL_PROFILE).agg(held.alias("__rest"))  # one row
+    d = len(features)
+    small = profiles.count() * (2 * d + (d * d if maha else 0)) * 8 <= BROADCAST_BYTES
+    joined = df.join(F.broadcast(own) if small else own, device, "left").join(F.broadcast(rest), how="left")
+    each = joined.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1))))
+    picked = F.coalesce(F.try_element_at("__own", F.col("config")), F.try_element_at("__rest", F.col("config")))
+    each = each.withColumn("__p", picked).filter(F.col("__p").isNotNull()).withColumns({f"__{c}": F.col(f"__p.{c}") for c in cells})
     terms = [F.abs((F.col(f) - F.col("__mean")[i]) / F.col("__std")[i]) for i, f in enumerate(features)]
-    out = joined.withColumn(z, total(terms) / F.lit(float(len(features))))
+    out = each.withColumn(z, total(terms) / F.lit(float(d)))
     if maha:
         out = out.withColumn(maha, array_distance(features))
-    return out.drop(*[f"__{c}" for c in cells], *[f"__g_{c}" for c in cells])
+    return out.drop("__own", "__rest", "__p", *[f"__{c}" for c in cells])

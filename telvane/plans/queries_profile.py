@@ -155,13 +155,13 @@ def _(spark, sf):
     return rounded(append_all(parts))
 
 
-@query("b08_saved_profile", _SCORED + f"SELECT row_id, round({_Z}, 6) AS z, round({_M}, 6) AS maha FROM j WHERE label = 1")
+@query("b08_saved_profile", _SCORED + f"SELECT row_id, round({_Z}, 6) AS z, round({_M}, 6) AS maha FROM j")
 def _(spark, sf):
     flow, profiles = _event_profiles(spark, sf)
     path = scratch_path(spark, "profile-table")
     profiles.save(path)
     loaded = P.FrozenProfiles.load(spark.read.parquet(path), _EVENT_PAIR)
-    return rounded(loaded.score(flow.filter("label = 1")).select("row_id", "z", "maha"))
+    return rounded(loaded.score(flow).select("row_id", "z", "maha"))
 
 
 _ROLLED = f"""rl AS (SELECT row_id, device_id, ts, {_A}, {_B}, count(*) OVER w AS c, """ + ", ".join(
@@ -235,13 +235,13 @@ sg AS (SELECT config, {stats(_LINE, 'any_value(alpha)')} FROM g1 GROUP BY config
 
 @query("b14_profile_sensitivity", Q.with_(Q.LINE, _CONFIGS, _SENS, body="""SELECT cf.config, count(DISTINCT sp.device_id) AS warm_profiles, count(*) AS n, round(avg((""" + " + ".join(
     f"abs((li.{f} - coalesce(sp.m_{f}, sg.m_{f})) / coalesce(sp.s_{f}, sg.s_{f}))" for f in _LINE) + f""") / {len(_LINE)}e0), 6) AS mean_z
-FROM li CROSS JOIN cf JOIN sg ON sg.config = cf.config LEFT JOIN sp ON sp.config = cf.config AND sp.device_id = li.device_id WHERE li.label = 1 GROUP BY cf.config"""))
+FROM li CROSS JOIN cf JOIN sg ON sg.config = cf.config LEFT JOIN sp ON sp.config = cf.config AND sp.device_id = li.device_id GROUP BY cf.config"""))
 def _(spark, sf):
     from telvane.session import settle
 
     li = views.flow_lineitem(spark, sf)
     profiles = settle(P.sensitivity_profiles(li, _LINE), "sensitivity")
-    scored = P.sensitivity_scores(li.filter("label = 1").select("device_id", *_LINE), profiles, _LINE)
+    scored = P.sensitivity_scores(li.select("device_id", *_LINE), profiles, _LINE)
     warm = profiles.groupBy("config").agg(F.count(F.when(F.col("device_id") != GLOBAL_PROFILE, 1)).alias("warm_profiles"))
     return rounded(scored.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean_z")).join(warm, "config"))
 
