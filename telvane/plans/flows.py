@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telvane.functions import fusion
@@ -91,15 +91,18 @@ class Detector:
         return out.select(*keep).withColumn("score", fusion.fuse(alpha=self.alpha))
 
     def save(self, path: str) -> None:
-        spark = self.profiles.table.sparkSession
-        settings = {"svm": self.svm.settings(), "forest": self.forest.features, "mode": self.mode, "alpha": self.alpha, "tau": self.tau}
-        save_bundle(path, {"forest": self.forest.model}, self.profiles, self.scaler.table(spark), settings)
+        spark = SparkSession.active()
+        settings = {"svm": self.svm.settings(), "forest": self.forest.features, "mode": self.mode, "alpha": self.alpha, "tau": self.tau,
+                    "sigmoids": [[slope, intercept] for _, slope, intercept in self.forest.calibrated]}
+        models = {"forest": self.forest.model, **{f"calibrated{i}": m for i, (m, _, _) in enumerate(self.forest.calibrated)}}
+        save_bundle(path, models, self.profiles, self.scaler.table(spark), settings)
 
     @classmethod
     def load(cls, spark, path: str) -> Detector:
         models, profiles, scaler, s = load_bundle(spark, path)
+        calibrated = [(models[f"calibrated{i}"], *pair) for i, pair in enumerate(s["sigmoids"])]
         return cls(RobustScale.from_table(scaler), profiles, ocsvm.OneClassSVM.from_settings(s["svm"]),
-                   forest.Forest(models["forest"], s["forest"]), s["mode"], s["alpha"], s["tau"])
+                   forest.Forest(models["forest"], s["forest"], calibrated), s["mode"], s["alpha"], s["tau"])
 
 
 @dataclass
