@@ -11,9 +11,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from telvane.operators.series import among
 
 from telvane.operators.buckets import bucketed
+from telvane.operators.series import null_safe_join
+from telvane.session import settle
 
 DIRECT_ROWS = 500_000
 SKETCH = 10_000
@@ -41,16 +42,65 @@ def quantiles_frame(df: DataFrame, columns: list[str], prob: float, direct_rows:
 def grouped_quantile(
     df: DataFrame, group: str, columns: list[str], prob: float, direct_rows: int | None = None
 ) -> DataFrame:
-    """One quantile per group and column. Groups above ``direct_rows`` are bracketed one at a time."""
+    """One quantile per group and column. Groups above ``direct_rows`` are bracketed, all of them together."""
     direct_rows = direct_rows or DIRECT_ROWS
-    sized = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct_rows)
-    large = [r[group] for r in sized.collect()]
-    small = df.filter(~among(group, large)) if large else df
-    out = small.groupBy(group).agg(*[F.percentile(_value(c), prob).alias(c) for c in columns])
-    for key in large:
-        one = quantiles_frame(df.filter(among(group, [key])), columns, prob, direct_rows)
-        out = out.unionByName(one.select(F.lit(key).cast(dict(df.dtypes)[group]).alias(group), *columns))
-    return out
+    values = df.select(group, *[_value(c).alias(c) for c in columns])
+    sized = values.groupBy(group).agg(F.count(F.lit(1)).alias("__rows"), F.array(*[F.count(F.col(f"`{c}`")) for c in columns]).alias("__counts"))
+    if (sized.agg(F.max("__rows")).first()[0] or 0) <= direct_rows:
+        return values.groupBy(group).agg(*[F.percentile(F.col(f"`{c}`"), prob).alias(c) for c in columns])
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))  # never null
+    large = settle(sized.filter(F.col("__rows") > direct_rows).withColumn("__key", key), "large-groups")
+    small = null_safe_join(values, large.select(group), [group], "left_anti")
+    direct = small.groupBy(group).agg(*[F.percentile(F.col(f"`{c}`"), prob).alias(c) for c in columns])
+    held = null_safe_join(values, large, [group]).drop(group, "__rows")
+    found = _grouped_values(held, columns, prob)
+    return direct.unionByName(large.select(group, "__key").join(found, "__key", "left").select(group, *columns))
+
+
+def _grouped_values(held: DataFrame, columns: list[str], prob: float) -> DataFrame:
+    """__key and the quantile of each column; held: __key, __counts (values of each column) and the columns.
+
+    A sketch of each group and column brackets the two wanted ranks, exact counts confirm the bracket (else all values
+    stay in it), and running totals over the distinct values inside give the order statistics.
+    """
+    shares = [max(prob - 2 / SKETCH, 0.0), min(prob + 2 / SKETCH, 1.0)]
+    sketch = held.groupBy("__key").agg(F.array(*[F.percentile_approx(F.col(f"`{c}`"), shares, SKETCH) for c in columns]).alias("__sketch"))
+    sketch = settle(sketch, "sketch")
+    checked = held.join(sketch, "__key")
+    ends = lambda i: (F.col("__sketch")[i][0], F.col("__sketch")[i][1])
+    counted = checked.groupBy("__key").agg(
+        F.first("__sketch").alias("__sketch"), F.first("__counts").alias("__counts"),
+        F.array(*[F.count(F.when(F.col(f"`{c}`") < ends(i)[0], 1)) for i, c in enumerate(columns)]).alias("__below"),
+        F.array(*[F.count(F.when(F.col(f"`{c}`").between(*ends(i)), 1)) for i, c in enumerate(columns)]).alias("__inside"),
+    )
+
+    def bracket(i: int) -> Column:
+        n, below, inside = F.col("__counts")[i], F.col("__below")[i], F.col("__inside")[i]
+        at = F.lit(prob) * (n - 1)
+        low, high = F.floor(at), F.ceil(at)
+        holds = (below <= low) & (high < below + inside)
+        return F.struct(
+            F.lit(i).alias("column"), at.alias("at"), low.alias("low"), high.alias("high"),
+            F.when(holds, below).otherwise(0).alias("below"),
+            F.when(holds, F.col("__sketch")[i][0]).otherwise(-math.inf).alias("first"),
+            F.when(holds, F.col("__sketch")[i][1]).otherwise(math.inf).alias("last"),
+        )
+
+    brackets = settle(counted.select("__key", F.array(*[bracket(i) for i in range(len(columns))]).alias("__brackets")), "brackets")
+    entry = lambda i, c: F.when(
+        F.col(f"`{c}`").between(F.col("__brackets")[i]["first"], F.col("__brackets")[i]["last"]),
+        F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").alias("value")),
+    )
+    inside = held.join(brackets, "__key").select("__key", F.explode(F.filter(F.array(*[entry(i, c) for i, c in enumerate(columns)]), lambda e: e.isNotNull())).alias("e"))
+    per_value = inside.groupBy("__key", F.col("e.column").alias("column"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    totals = bucketed(per_value, ["__key", "column"], "value", {"through": "n"})
+    placed = totals.join(brackets.select("__key", F.explode("__brackets").alias("b")).select("__key", "b.*"), ["__key", "column"])
+    through = F.col("through") + F.col("below")
+    at_rank = lambda r: F.max(F.when((through > F.col(r)) & (through - F.col("n") <= F.col(r)), F.col("value")))
+    ranked = placed.groupBy("__key", "column").agg(at_rank("low").alias("v"), at_rank("high").alias("w"), F.first("at").alias("at"), F.first("low").alias("low"), F.first("high").alias("high"))
+    between = (F.col("high") - F.col("at")) * F.col("v") + (F.col("at") - F.col("low")) * F.col("w")
+    settled = ranked.select("__key", "column", F.when(F.col("v") == F.col("w"), F.col("v")).otherwise(between).alias("value"))
+    return settled.groupBy("__key").agg(*[F.max(F.when(F.col("column") == i, F.col("value"))).alias(c) for i, c in enumerate(columns)])
 
 
 def _value(c: str) -> Column:

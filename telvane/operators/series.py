@@ -16,7 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from telvane.session import settle
+
 MAX_ROWS_PER_SERIES = 5_000_000
+#: Least resolution of the sketch that chunk boundaries are taken from.
+CELLS = 256
 CHUNK, IS_HALO = "__chunk", "__halo"
 
 
@@ -44,12 +48,6 @@ def order_number(c: str, df: DataFrame) -> Column:
     return F.col(c).cast("double")
 
 
-def among(key: str, values: list) -> Column:
-    """Whether the key is one of the values, of which one may be null."""
-    hit = F.coalesce(F.col(key).isin([v for v in values if v is not None]), F.lit(False))
-    return hit | F.col(key).isNull() if None in values else hit
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join in which null keys meet null keys; the right side's keys are dropped."""
     right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
@@ -59,26 +57,27 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def large_series(df: DataFrame, series: str, order: str, max_rows: int) -> dict:
-    """Chunk boundaries (values of the order key) of each series above ``max_rows``.
+def large_series(df: DataFrame, series: str, order: str, max_rows: int) -> DataFrame | None:
+    """Chunk boundaries (values of the order key) of each series above ``max_rows``; None if there is no such series.
 
-    At most (all rows / max_rows) series can qualify, so the result fits the driver.
+    All series are sketched in one pass at one resolution; each takes as many of its boundaries as it needs.
     """
-    sized = df.groupBy(series).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
-    sizes = {r[series]: r["n"] for r in sized.collect()}
-    bounds = {}
-    number = order_number(order, df)
-    for pieces in sorted({math.ceil(n / max_rows) for n in sizes.values()}):
-        wanted = [k for k, n in sizes.items() if math.ceil(n / max_rows) == pieces]
-        probs = [i / pieces for i in range(1, pieces)]
-        rows = (
-            df.filter(among(series, wanted))
-            .groupBy(series)
-            .agg(F.percentile_approx(number, probs, max(10_000, 20 * pieces)).alias("b"))
-            .collect()
-        )
-        bounds.update({r[series]: sorted(set(r["b"])) for r in rows})
-    return bounds
+    sized = df.groupBy(series).agg(F.count(F.lit(1)).alias("__n"))
+    most = sized.agg(F.max("__n")).first()[0] or 0
+    if most <= max_rows:
+        return None
+    sized = settle(sized.filter(F.col("__n") > max_rows), "sizes")
+    cells = max(CELLS, math.ceil(most / max_rows))
+    probs = [i / cells for i in range(1, cells)]
+    held = null_safe_join(df.select(series, order_number(order, df).alias("__number")), sized, [series])
+    sketched = held.groupBy(series).agg(
+        F.max("__n").alias("__n"), F.percentile_approx("__number", probs, max(10_000, 20 * cells)).alias("__cells")
+    )
+    pieces = F.ceil(F.col("__n") / F.lit(max_rows)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.element_at("__cells", F.floor(i * cells / pieces).cast("int")))
+    bounds = F.array_sort(F.array_distinct(F.filter(cuts, lambda b: b.isNotNull())))
+    cut = sketched.select(series, bounds.alias("__bounds"))
+    return settle(cut.withColumn("__step", F.greatest(F.lit(1), F.floor(F.sqrt(F.size("__bounds"))).cast("int"))), "cuts")
 
 
 def _chunk_number(value: Column, bounds: Column, step: Column) -> Column:
@@ -88,42 +87,33 @@ def _chunk_number(value: Column, bounds: Column, step: Column) -> Column:
     return passed + F.size(F.filter(F.slice(bounds, passed + 1, step), lambda b: b <= value))
 
 
-def _halo_sources(counts: list[tuple], halo: int) -> list[tuple]:
-    """(series, source chunk, target chunk) for every chunk that holds some of the last ``halo`` rows before a target."""
-    by_series: dict = {}
-    for key, chunk, n in sorted(counts, key=lambda t: (str(t[0]), t[1])):
-        by_series.setdefault(key, []).append((chunk, n))
-    out = []
-    for key, chunks in by_series.items():
-        for at, (target, _) in enumerate(chunks):
-            missing = halo
-            for source, n in reversed(chunks[:at]):
-                if missing <= 0:
-                    break
-                out.append((key, source, target))
-                missing -= n
-    return out
+def _halo_sources(counts: DataFrame, series: str, halo: int) -> DataFrame:
+    """(series, source chunk, __target) for every chunk that holds some of the last ``halo`` rows before a target.
+
+    ``counts``: rows n of each (series, chunk). Each chunk has a row, so at most ``halo`` chunks before a target matter.
+    """
+    along = Window.partitionBy(series).orderBy(CHUNK)
+    placed = counts.withColumn("__end", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.collect_list(F.struct(CHUNK, "__end")).over(along.rowsBetween(-halo, -1))
+    placed = placed.select(series, F.col(CHUNK).alias("__target"), (F.col("__end") - F.col("n")).alias("__start"), before.alias("__before"))
+    near = F.filter("__before", lambda x: F.col("__start") - x["__end"] < halo)
+    return placed.select(series, F.explode(near).alias("__x"), "__target").select(series, F.col(f"__x.{CHUNK}").alias(CHUNK), "__target")
 
 
 def in_chunks(df: DataFrame, series: str, order: list[str], halo: int, max_rows: int | None = None) -> Chunked:
     """Cut large series into chunks with ``halo`` preceding rows; small series stay whole.
 
-    ``order`` must end in a unique key. Rows that tie on its first column stay in one chunk.
+    ``order`` must end in a unique key. Rows that tie on its first column stay in one chunk. The number of jobs does
+    not depend on the number of large series: sizes, boundaries and halo pairs stay tables.
     """
     max_rows = max_rows or MAX_ROWS_PER_SERIES
-    bounds = large_series(df, series, order[0], max_rows)
-    if not bounds:
+    cuts = large_series(df, series, order[0], max_rows)
+    if cuts is None:
         return Chunked(df, [series])
-    spark = df.sparkSession
-    kind = "double" if any(isinstance(b, float) for v in bounds.values() for b in v) else "bigint"
-    series_type = dict(df.dtypes)[series]
-    cuts = spark.createDataFrame(
-        [(k, v, max(1, math.isqrt(len(v)))) for k, v in bounds.items()],
-        f"{series} {series_type}, __bounds array<{kind}>, __step int",
-    )
     number = order_number(order[0], df)
+    # The cuts are a written table of known size: Spark broadcasts them when small, else it shuffles.
     tagged = (
-        null_safe_join(df, F.broadcast(cuts), [series], "left")
+        null_safe_join(df, cuts, [series], "left")
         .withColumn(
             CHUNK,
             F.when(F.col("__bounds").isNull(), 0)
@@ -132,16 +122,15 @@ def in_chunks(df: DataFrame, series: str, order: list[str], halo: int, max_rows:
         )
         .withColumn(IS_HALO, F.lit(False))
     )
-    large = tagged.filter(F.col("__bounds").isNotNull()).drop("__bounds", "__step")
-    counts = [(r[series], r[CHUNK], r["n"]) for r in large.groupBy(series, CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()]
     rows = tagged.drop("__bounds", "__step")
-    pairs = _halo_sources(counts, halo) if halo else []
-    if pairs:
-        targets = spark.createDataFrame(pairs, f"{series} {series_type}, {CHUNK} int, __target int")
+    if halo:
+        large = tagged.filter(F.col("__bounds").isNotNull()).drop("__bounds", "__step")
+        counts = large.groupBy(series, CHUNK).agg(F.count(F.lit(1)).alias("n"))
+        targets = settle(_halo_sources(counts, series, halo), "halo")
         newest = Window.partitionBy(series, CHUNK).orderBy(*[F.col(c).desc() for c in order])
         newest_rows = large.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= halo).drop("__rn")
         tails = (
-            null_safe_join(newest_rows, F.broadcast(targets), [series, CHUNK])
+            null_safe_join(newest_rows, targets, [series, CHUNK])
             .withColumn(CHUNK, F.col("__target"))
             .withColumn(IS_HALO, F.lit(True))
             .drop("__target")

@@ -35,14 +35,17 @@ def _(spark, sf):
 
 @query("s03_read_by_suffix", """
 SELECT kind, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders,
-  (VALUES ('parquet'), ('csv'), ('jsonl')) AS f(kind) GROUP BY kind, o_orderstatus""")
+  (VALUES ('parquet'), ('csv'), ('jsonl'), ('json')) AS f(kind) GROUP BY kind, o_orderstatus""")
 def _(spark, sf):
     orders, base = views.table(spark, sf, "orders"), scratch_path(spark, "orders")
     orders.write.parquet(f"{base}.parquet")
     orders.write.csv(f"{base}.csv", header=True)
     orders.write.json(f"{base}.jsonl")
+    # a .json file is one document: an array of the orders of a million keys
+    arrays = orders.groupBy(F.floor(F.col("o_orderkey") / F.lit(1_000_000))).agg(F.to_json(F.collect_list(F.struct(*orders.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{base}.json")
     parts = []
-    for kind in ("parquet", "csv", "jsonl"):
+    for kind in ("parquet", "csv", "jsonl", "json"):
         df = readers.read_table(spark, f"{base}.{kind}", orders.schema)
         parts.append(df.select(F.lit(kind).alias("kind"), "o_orderstatus", "o_totalprice"))
     return append_all(parts).groupBy("kind", "o_orderstatus").agg(
