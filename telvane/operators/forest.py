@@ -175,6 +175,6 @@ def fit_stacker(val: DataFrame, label: str = "label", strength: float = 1.0) ->
     mass = weighted.agg(F.sum("__w")).first()[0]
     assembled = VectorAssembler(inputCols=["s_if", "p_rf"], outputCol="__x").transform(weighted)
     m = LogisticRegression(
-        featuresCol="__x", labelCol=label, weightCol="__w", maxIter=500, standardization=False, regParam=1.0 / (strength * mass)
+        featuresCol="__x", labelCol=label, weightCol="__w", maxIter=500, tol=1e-10, standardization=False, regParam=1.0 / (strength * mass)
     ).fit(assembled)
     return float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept)

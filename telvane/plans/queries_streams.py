@@ -10,7 +10,7 @@ from telvane.plans import sql as Q
 from telvane.plans import views
 from telvane.plans.catalog import query, rounded
 from telvane.plans.queries_alerts import _CX
-from telvane.plans.queries_profile import _EVENT_PAIR, _M, _ONLINE, _OZ, _SCORED, _Z
+from telvane.plans.queries_profile import _A, _B, _EVENT_PAIR, _EWMA, _M, _ONLINE, _OZ, _ROLLED, _SCORED, _Z
 from telvane.streaming import alerts, online
 
 
@@ -31,11 +31,20 @@ def _(spark, sf):
     return rounded(out.select("row_id", "deviation_zscore_mean", "mahalanobis_dist", "is_warm"))
 
 
-@query("x01_online_profile_normal_only")
+_NORMAL_ONLY = Q.with_(
+    Q.FLOW, "fl0 AS (SELECT * FROM fl WHERE label = 0)", _ROLLED.replace("FROM fl ", "FROM fl0 "), _EWMA,
+    f"""lr AS (SELECT fl.row_id, fl.label, fl.{_A}, fl.{_B}, last_value(on_.row_id IGNORE NULLS) OVER (PARTITION BY fl.device_id ORDER BY fl.ts, fl.row_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS learned FROM fl LEFT JOIN on_ ON fl.row_id = on_.row_id)""",
+    f"""ns AS (SELECT lr.row_id, lr.label, lr.{_A}, lr.{_B}, on_.c, va, vab, vb, m_{_A}, m_{_B}, s_{_A}, s_{_B}
+  FROM lr LEFT JOIN on_ ON lr.learned = on_.row_id)""", body="")
+
+
+@query("x01_online_profile_normal_only", _NORMAL_ONLY + f"""SELECT row_id, label, round({_OZ}, 6) AS deviation_zscore_mean,
+  round(CASE WHEN c >= 20 THEN {_M} ELSE 0e0 END, 6) AS mahalanobis_dist, coalesce(c >= 20, false) AS is_warm FROM ns""")
 def _(spark, sf):
-    """Attack rows are scored but not learned."""
+    """Attack rows are scored but not learned: they meet the state after the last normal row."""
     out = alerts.run_to_table(online.online_stream(_event_stream(spark, sf), _EVENT_PAIR))
-    return out.select("row_id", "label", "deviation_zscore_mean", "mahalanobis_dist", "is_warm")
+    return rounded(out.select("row_id", "label", "deviation_zscore_mean", "mahalanobis_dist", "is_warm"))
 
 
 @query("x02_frozen_profile_stream", _SCORED + f"SELECT row_id, round({_Z}, 6) AS z, round({_M}, 6) AS maha FROM j")
