@@ -3,9 +3,10 @@
 Words are runs of letters and digits in lower case; shingles are five words. Each shingle weighs 1000 ln(1 + N/df),
 N items, df of them with the shingle (1 for shingles of no item).
 
-* A window as long as item (m words) can only be similar to it if they share a shingle, so shingles of all documents
-  are first looked up in the items' shingles. Windows start where a shared shingle would have the place it has in the
-  item, and up to ``slack`` words before and after (words may be missing or added).
+* A window as long as item (m words) can only be similar to it if the shared shingles have the weight ``least`` times
+  the item's, so shingles of all documents are first looked up in the items' shingles. For each m, ``need`` is the
+  fewest shared shingles that can have this weight. Every start whose window holds so many is looked at; a document of
+  fewer than m words is one window.
 * A window's fingerprint is the 64-bit SimHash of its weighted distinct shingles. Items are indexed under their eight
   8-bit blocks and all block values within Hamming distance 2: of two fingerprints within radius 23, some block
   differs in at most two bits, so the look-up returns every item of that length within the radius.
@@ -44,6 +45,20 @@ def shingle_list(words: Column) -> Column:
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
+def window_starts(at: Column, need: Column, long: Column, size: Column) -> Column:
+    """All starts of windows of ``long`` shingles, clipped to ``size``, that hold ``need`` of the sorted places ``at``.
+
+    A start belongs to the first place in its window, so each comes once.
+    """
+
+    def from_first(p: Column, i: Column) -> Column:
+        after = F.when(i > 0, F.get(at, i - 1) + 1).otherwise(0)
+        low, high = F.greatest(F.lit(0), after, F.get(at, i + need - 1) - long + 1), F.least(p, F.greatest(F.lit(0), size - long))
+        return F.when((i + need <= F.size(at)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(at, from_first))
+
+
 def votes() -> list[Column]:
     """For each bit the weighted vote of the hashes in column h with weights w."""
     return [F.sum(F.expr(f"if(getbit(h, {b}) = 1, w, -w)")).alias(f"bit{b}") for b in range(64)]
@@ -58,7 +73,7 @@ def block(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)).cast("int")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, slack: int = 2) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, contaminated, n_items, best_item, best_similarity for every row of ``docs`` (doc_id, text).
 
     ``items``: item_id, text. ``best_item`` is the smallest of the most similar ones; null if none reaches ``least``.
@@ -74,24 +89,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, slack: int
     unknown = F.round(1000 * F.log(F.lit(1.0 + n_items))).cast("long")
 
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    starts = checked_broadcast(scratch.settle(places.select("h", "m", "off").distinct(), "places"))
+    item_rows = items.select("item_id", "item_key", "m", F.explode(F.array_distinct("sh")).alias("h")).join(weights, "h")
+    need = item_rows.groupBy("item_id", "item_key", "m").agg(F.ceil(least * F.sum("w") / F.max("w") - 1e-9).cast("int").alias("need"))
+    need = need.groupBy("m").agg(F.greatest(F.lit(1), F.min("need")).alias("need"))
+    lengths = checked_broadcast(scratch.settle(places.select("h", "m").distinct().join(need, "m"), "places"))
     shingled = rows.select(*KEY, shingle_list(word_list(F.col("text"))).alias("sh"))
-    hits = shingled.select(*KEY, F.size("sh").alias("size"), F.posexplode("sh").alias("pos", "h")).join(starts, "h")
-    offsets = F.array(*[F.lit(d) for d in range(-slack, slack + 1)])
-    windows = hits.select(*KEY, "m", F.explode(F.transform(offsets, lambda d: F.col("pos") - F.col("off") + d)).alias("start"), "size")
-    windows = windows.where((F.col("start") >= 0) & (F.col("start") + F.col("m") - K < F.col("size"))).select(*KEY, "m", "start").distinct()
-    wanted = scratch.settle(windows.groupBy(*KEY).agg(F.collect_list(F.struct("m", "start")).alias("windows")), "windows")
-    wanted = checked_broadcast(wanted, weight=32 + 8 * F.size("windows"))
+    hits = shingled.select(*KEY, F.posexplode("sh").alias("pos", "h")).join(lengths, "h")
+    hits = hits.groupBy(*KEY, "m", "need").agg(F.sort_array(F.collect_set("pos")).alias("at")).where(F.size("at") >= F.col("need"))
+    wanted = scratch.settle(hits.groupBy(*KEY).agg(F.collect_list(F.struct("m", "need", "at")).alias("windows")), "windows")
+    wanted = checked_broadcast(wanted, weight=32 + F.aggregate("windows", F.lit(0), lambda n, x: n + 24 + 4 * F.size(x["at"])))
 
     with_windows = null_safe(rows, wanted, KEY).select(*KEY, shingle_list(word_list(F.col("text"))).alias("sh"), "windows")
-    cut = with_windows.select(*KEY, F.explode("windows").alias("x"), "sh").select(
-        *KEY, "x.m", "x.start", F.array_distinct(F.slice(F.col("sh"), F.col("x.start") + 1, F.col("x.m") - (K - 1))).alias("own")
+    cut = with_windows.select(*KEY, F.explode("windows").alias("x"), "sh").select(*KEY, "x.*", "sh")
+    cut = cut.select(*KEY, "m", "sh", F.explode(window_starts(F.col("at"), F.col("need"), F.col("m") - (K - 1), F.size("sh"))).alias("start")).select(
+        *KEY, "m", "start", F.array_distinct(F.slice(F.col("sh"), F.col("start") + 1, F.col("m") - (K - 1))).alias("own")
     ).dropDuplicates([*KEY, "m", "start"])
     cut = scratch.settle(cut, "cut")
     spread = cut.select(*KEY, "m", "start", F.explode("own").alias("h")).join(weights, "h", "left").withColumn("w", F.coalesce("w", unknown))
     prints = spread.groupBy(*KEY, "m", "start").agg(F.sum("w").alias("own_w"), *votes()).select(*KEY, "m", "start", "own_w", fingerprint().alias("fp"))
 
-    item_rows = items.select("item_id", "item_key", "m", F.explode(F.array_distinct("sh")).alias("h")).join(weights, "h")
     item_prints = item_rows.groupBy("item_id", "item_key", "m").agg(F.sum("w").alias("item_w"), F.collect_list(F.struct("h", "w")).alias("item_sh"), *votes())
     item_prints = item_prints.select("item_id", "item_key", "m", "item_w", "item_sh", fingerprint().alias("item_fp"))
     near = F.array(*[F.lit(x) for x in range(256) if bin(x).count("1") <= WITHIN])

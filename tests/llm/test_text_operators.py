@@ -193,6 +193,34 @@ def test_leaks(spark):
     assert got == {(1, True, 7), (2, False, None), (3, True, 7), (4, False, None), (5, False, None), (1, False, None), (6, False, None)}
 
 
+def test_leaks_against_all_starts(spark):
+    def pieces(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    items = {1: sentence(21, 60).split(), 2: sentence(22, 40).split(), 3: sentence(23, 6).split()}
+    items[4] = items[1][:30] + sentence(24, 30).split()
+    item, left, right = items[1], sentence(25, 40).split(), sentence(26, 40).split()
+    docs = [item[1:], item[:-1], item[:29] + item[30:], item[:30] + item[32:], item[:-3], item[5:]]
+    docs += [left + d + right for d in docs] + [left + item[:-k] for k in (3, 4, 5, 6)] + [item[k:] + right for k in (3, 4, 5, 6)]
+    docs += [left + item[4:] + right + items[2][:-2], item + item[:30] + item, left + items[3] + right, items[3][:-1], left + right, items[4][2:] + item[:-2]]
+    df = collections.Counter(x for w in items.values() for x in pieces(w))
+    weight = {x: round(1000 * math.log(1 + len(items) / n)) for x, n in df.items()}
+    want = {}
+    for d, words in enumerate(docs):
+        found = []
+        for i, w in items.items():
+            for start in range(max(0, len(words) - len(w)) + 1):
+                a, b = pieces(words[start : start + len(w)]), pieces(w)
+                total = [sum(weight.get(x, round(1000 * math.log(1 + len(items)))) for x in s) for s in (a & b, a | b)]
+                if total[0] >= 0.8 * total[1]:
+                    found.append((-total[0] / total[1], i))
+        want[d] = (len({i for _, i in found}), min(found)[1], round(-min(found)[0], 9)) if found else (0, None, None)
+    assert sum(n > 0 for n, _, _ in want.values()) > 15
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    got = op4.find_leaks(rows, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_items"], r["best_item"], r["best_similarity"] and round(r["best_similarity"], 9)) for r in got} == want
+
+
 def test_context_mixing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
