@@ -7,9 +7,10 @@ often the word so far was seen) and updated after every ``STRIDE`` bits along th
 adaptive table, updated likewise, then refines the probability by what actually followed similar ones. The log10 probabilities of all bits of a
 text add up to its score.
 
-Weights and the refining table start from trained values and adapt within blocks of ``BLOCK`` bytes; contexts run on
-across blocks. So a text of any length is scored in bounded memory, and blocks of many texts advance side by side.
-The starting weights are fitted on about ``SAMPLE`` training documents, chosen by hash; all else counts all of them.
+Weights and the refining table start from trained values, the mean over all training texts of where they went, and
+adapt from a text's first bit to its last. Many texts advance side by side; a text beyond ``PART`` bytes is read in
+pieces that hand on their state, so a text of any length is scored in bounded memory. The tables of bit counts have
+2 ** ``BITS`` slots each, whatever the size of the training texts, and slots are not checked for their context.
 
 The base score is a smoothed unigram model: words in lower case and one end token per text. Frequent tokens' counts go
 to all tasks (at most ``FREQUENT`` of them); the rest is joined by a shuffle.
@@ -33,8 +34,8 @@ from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list
 ORDERS = (2, 4, "word")
 #: Slots of each predictor's table as a power of two; ranges in which tables are merged.
 BITS, RANGES = 21, 64
-BLOCK, PART, SAMPLE, FREQUENT = 1024, 1 << 20, 400, 500_000
-#: Bits between updates, blocks that advance together, bytes whose features are worked out at once.
+PART, FREQUENT = 1 << 20, 500_000
+#: Bits between updates, texts that advance together, bytes whose features are worked out at once.
 STRIDE, LANES, PIECE = 32, 512, 1 << 17
 #: Bytes before a byte that its contexts can hold.
 REACH = 32
@@ -210,12 +211,12 @@ def merge_in(merge):
 
 @dataclass
 class Model:
-    """Code, log odds and counts of all slots, starting weights of each gate, and the refining table's start."""
+    """Code, log odds and counts of all slots, and the state at a text's start: weights by predictor and gate, refining table."""
 
     code: Code
     odds: np.ndarray
     seen: np.ndarray
-    weights: np.ndarray
+    state: np.ndarray
 
     def features(self, data: np.ndarray, since: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """For each bit after the first ``skip`` bytes the log odds and its control in four bytes; and the bits' starts."""
@@ -235,24 +236,30 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(starts)
 
 
-def mix_blocks(packed: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of each block's bits, and the sum of the blocks' weights after their last bit.
+def first_state() -> np.ndarray:
+    """The state before any training: even weights in all gates, and a table that repeats its input."""
+    curve = 1 / (1 + np.exp((STEPS / 2 - 0.5 - np.arange(STEPS)) / 2))
+    return np.r_[np.repeat([0.2, 0.3, 0.6], GATES), curve]
 
-    Blocks of similar length advance side by side, STRIDE bits at a time, with the weights of the stride's beginning.
+
+def mix_texts(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each text's bits, and each text's state after its last bit times its bits, summed.
+
+    Texts of similar length advance side by side, STRIDE bits at a time, with the weights of the stride's beginning.
     """
-    out, ends = np.zeros(len(first)), np.zeros_like(start)
-    order = np.argsort(-length, kind="stable")
+    out, ends = np.zeros(len(first)), np.zeros_like(state)
+    order = np.argsort(-length, kind="stable")[: np.count_nonzero(length)]
     for a in range(0, len(order), LANES):
         lanes = order[a : a + LANES]
-        out[lanes], w = mix_lanes(packed, first[lanes], length[lanes], start)
-        ends += w
+        out[lanes], w = mix_lanes(packed, first[lanes], length[lanes], state)
+        ends += length[lanes] @ w
     return out, ends
 
 
-def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, inputs = len(first), len(ORDERS)
-    weights = [np.tile(start[:, k].astype(np.float32), n) for k in range(inputs)]
-    table = np.tile((1 / (1 + np.exp((STEPS / 2 - 0.5 - np.arange(STEPS)) / 2))).astype(np.float32), n)
+    weights = [np.tile(state[k * GATES : (k + 1) * GATES].astype(np.float32), n) for k in range(inputs)]
+    table = np.tile(state[inputs * GATES :].astype(np.float32), n)
     lane, cell = np.arange(n)[:, None] * GATES, np.arange(n)[:, None] * STEPS
     total, inside = np.zeros(n), np.arange(STRIDE)
     for t in range(0, int(length.max(initial=0)), STRIDE):
@@ -283,50 +290,50 @@ def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, start:
         for k in range(inputs):
             weights[k][: m * GATES] += np.float32(RATE) * np.bincount(flat, (off * odds[k]).ravel(), minlength=m * GATES)
         table[: m * STEPS] += REFINE_RATE * np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)  # REFINE_RATE * STRIDE < 1
-    return total, np.stack([w.reshape(n, GATES).sum(axis=0) for w in weights], axis=1).astype(float)
+    return total, np.concatenate([x.reshape(n, -1) for x in (*weights, table)], axis=1).astype(float)
 
 
 def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Natural log probability of each text, the sum of the weights at the ends of blocks, and the number of blocks."""
-    sizes = np.diff(offsets)
-    pieces = -(-sizes // BLOCK)
-    text = np.repeat(np.arange(len(sizes)), pieces)
-    begin = offsets[text] + BLOCK * (np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(pieces)[:-1]], pieces))
-    end = np.minimum(begin + BLOCK, offsets[text + 1])
-    since, out = since_start(offsets), np.zeros(len(sizes))
-    weights, a = np.zeros((GATES, len(ORDERS))), 0
-    while a < len(text):
-        b = max(a + 1, int(np.searchsorted(begin, begin[a] + PART, "left")))
-        low = max(0, int(begin[a]) - REACH)
-        skip = int(begin[a]) - low
-        features, starts = model.features(data[low : end[b - 1]], since[low : end[b - 1]], skip)
-        first = starts[begin[a:b] - begin[a]]
-        found, w = mix_blocks(features, first, starts[end[a:b] - begin[a]] - first, model.weights)
-        out += np.bincount(text[a:b], found, minlength=len(sizes))
-        weights += w
-        a = b
-    return out, weights, len(text)
-
-
-def fit_weights(docs: DataFrame, model: Model, rounds: int = 2) -> np.ndarray:
-    """Starting weights: the mean over a sample's blocks of where their weights went, started anew from each round's mean."""
+    """Natural log probability of each text, the sum of their last states times their bits, and the number of bits.
+
+    Texts come as text_parts gives them: many with about PART bytes together, or one of any length.
+    """
+    n, state, bits = len(offsets) - 1, model.state, 0
+    since, out, ends = since_start(offsets), np.zeros(n), np.zeros_like(model.state)
+    step = PART if n == 1 else max(1, len(data))
+    for a in range(0, len(data), step):
+        b, low = min(a + step, len(data)), max(0, a - REACH)
+        features, starts = model.features(data[low:b], since[low:b], a - low)
+        bounds = starts[offsets.clip(a, b) - a]
+        found, ends = mix_texts(features, bounds[:-1], np.diff(bounds), state)
+        out += found
+        if n == 1:
+            state = ends / bounds[-1]
+        bits += int(bounds[-1])
+    return out, state * bits if n == 1 else ends, bits
+
+
+def fit_state(docs: DataFrame, model: Model, rounds: int = 2) -> np.ndarray:
+    """The state at a text's start: the mean over all texts, by bits, of where it went, started anew from each round's mean."""
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches, shared=shared):
+            total, n = np.zeros_like(shared.value.state), 0
             for batch in batches:
                 for _, _, data, offsets in text_parts(batch.column("text"), PART):
-                    _, weights, n = score_texts(shared.value, data, offsets)
-                    yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([n])], names=["weights", "n"])
+                    _, ends, bits = score_texts(shared.value, data, offsets)
+                    total, n = total + ends, n + bits
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["state", "n"])
 
-        found = docs.mapInArrow(run, "weights array<double>, n long").select(F.posexplode("weights").alias("i", "w"), "n")
-        rows = found.groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()  # one row per weight
-        weights = model.weights.ravel().copy()
+        found = docs.mapInArrow(run, "state array<double>, n long").select(F.posexplode("state").alias("i", "w"), "n")
+        rows = found.groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()  # one row per number of the state
+        state = model.state.copy()
         for r in rows:
             if r["n"]:
-                weights[r["i"]] = r["w"] / r["n"]
-        model.weights = weights.reshape(GATES, len(ORDERS))
-    return model.weights
+                state[r["i"]] = r["w"] / r["n"]
+        model.state = state
+    return model.state
 
 
 def learn(training: DataFrame, byte_counts: np.ndarray) -> Model:
@@ -336,9 +343,8 @@ def learn(training: DataFrame, byte_counts: np.ndarray) -> Model:
     for r in gather_tables(training, code).toLocalIterator():  # RANGES rows of fixed size
         odds[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["log_odds"], np.int8)
         seen[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["seen"], np.int8)
-    model = Model(code, odds.reshape(len(ORDERS), -1), seen.reshape(len(ORDERS), -1)[-1], np.tile([0.2, 0.3, 0.6], (GATES, 1)))
-    share = max(1, training.count() // SAMPLE)
-    model.weights = fit_weights(training.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(share)) == 0).select("text"), model)
+    model = Model(code, odds.reshape(len(ORDERS), -1), seen.reshape(len(ORDERS), -1)[-1], first_state())
+    model.state = fit_state(training.select("text"), model)
     return model
 
 

@@ -235,6 +235,29 @@ def test_context_mixing(spark, sf):
         assert r["score"] == 0 if not texts[r["doc_id"]] else r["bits_per_byte"] < 8
 
 
+def test_context_mixing_state(spark, monkeypatch):
+    """The state runs on through a text, over pieces too, and its start is fitted on all training texts."""
+    rng = np.random.default_rng(3)
+    code = op8.Code(rng.integers(0, 1000, 256))
+    odds, seen = np.zeros((3, 1 << op8.BITS), np.int8), np.zeros(1 << op8.BITS, np.int8)
+    data = np.frombuffer(sentence(31, 1500).encode()[:4096], np.uint8)
+    bits = op8.Bits(code, data)
+    for k, h in enumerate(op8.contexts(data, op8.since_start(np.array([0, 4096])))):  # right, but timid: weights must grow
+        odds[k][op8.slots(h[bits.owner], bits.node)] = np.where(bits.control & 1, 8, -8)
+    model = op8.Model(code, odds, seen, op8.first_state())
+    parts = [op8.score_texts(model, data[:n], np.array([0, n]))[0][0] for n in (1024, 2048, 4096)]
+    assert parts[2] - parts[1] > 2 * parts[0] * 0.95  # the second half costs less than its share
+    together = op8.score_texts(model, np.r_[data, data[:100]], np.array([0, 4096, 4096, 4196]))[0]
+    assert abs(together[0] - parts[2]) < 1e-3 and together[1] == 0
+    monkeypatch.setattr(op8, "PART", 1500)
+    assert abs(op8.score_texts(model, data, np.array([0, 4096]))[0][0] / parts[2] - 1) < 0.01
+
+    fitted_on = []
+    monkeypatch.setattr(op8, "fit_state", lambda docs, model: fitted_on.append(docs.count()) or model.state)
+    op8.learn(spark.createDataFrame([(i, "some words") for i in range(900)], "doc_id long, text string"), np.ones(256, np.int64))
+    assert fitted_on == [900]
+
+
 def test_huffman_code_is_complete():
     code = op8.Code(np.random.default_rng(1).integers(0, 1000, 256))
     assert abs(sum(2.0 ** -code.length) - 1) < 1e-9
