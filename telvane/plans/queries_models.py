@@ -16,8 +16,7 @@ from telvane.plans.queries_evaluate import _PREDICTED, _predicted
 from telvane.session import scratch_path, settle
 
 _LINE = views.LINE_FEATURES
-PLAN = flows.TrainingPlan(trees=10, depth=5, passes=10, alphas=[i / 10 for i in range(1, 8)])
-LIGHT = flows.TrainingPlan(trees=5, depth=4, passes=4, rebalance=False, alphas=[0.1, 0.4])
+PLAN = flows.TrainingPlan()
 _NEAR = ["byte_rate", "burst_length", "session_duration"]
 
 
@@ -51,7 +50,7 @@ def _(spark, sf):
     """Objective after every pass; it starts at nu and never rises."""
     train = _line_train(spark, sf)
     nu = 0.1
-    m = ocsvm.fit(ocsvm.normal_training_rows(train, _LINE), _LINE, nu, 12)
+    m = ocsvm.fit(ocsvm.normal_training_rows(train, _LINE), _LINE, nu, PLAN.passes)
     return spark.createDataFrame([(i, float(v), nu) for i, v in enumerate(m.history)], "pass int, objective double, nu double")
 
 
@@ -66,7 +65,7 @@ def _(spark, sf):
 @query("m03_nu_search")
 def _(spark, sf):
     train = _line_train(spark, sf)
-    best, rows = ocsvm.tune_nu(ocsvm.normal_training_rows(train, _LINE), train, _LINE, passes=6)
+    best, rows = ocsvm.tune_nu(ocsvm.normal_training_rows(train, _LINE), train, _LINE, passes=PLAN.passes)
     return spark.createDataFrame([(*map(float, r), r[0] == best) for r in rows], "nu double, roc_auc double, avg_precision double, combined double, best boolean")
 
 
@@ -186,12 +185,12 @@ def _(spark, sf):
 
 @query("e12_zero_day")
 def _(spark, sf):
-    return flows.zero_day(_prepared(spark, sf), LIGHT, 2)
+    return flows.zero_day(_prepared(spark, sf), PLAN)
 
 
 @query("e19_profiling_ablation")
 def _(spark, sf):
-    return flows.profiling_ablation(_prepared(spark, sf), LIGHT)
+    return flows.profiling_ablation(_prepared(spark, sf), PLAN)
 
 
 @query("e21_cross_dataset")
@@ -206,5 +205,5 @@ def _(spark, sf):
 @query("b14_sensitivity_metrics")
 def _(spark, sf):
     prepared = _prepared(spark, sf)
-    detector, _ = flows.train_detector(prepared, LIGHT)
+    detector, _ = flows.train_detector(prepared, PLAN)
     return flows.profile_sensitivity(prepared, detector)

@@ -113,3 +113,40 @@ def test_normal_class_index():
     assert forest.normal_class_index([0, 1]) == 0
     assert forest.normal_class_index(["x", "y"]) == 0
     assert forest.normal_class_index([]) is None
+
+
+def test_model_queries_train_by_the_default_plan(monkeypatch):
+    from inspect import signature
+    from unittest.mock import MagicMock
+
+    from telvane.plans import catalog, flows, queries_models
+
+    catalog.load_all()
+    whole = flows.TrainingPlan()
+    want = {"plan": whole, "trees": whole.trees, "depth": whole.depth, "passes": whole.passes, "classes": 3}
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(call):
+        def run(*args, **kwargs):
+            bound = signature(call).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append({k: v for k, v in bound.arguments.items() if k in want})
+            raise Stop
+
+        return run
+
+    for owner, names in ((flows, ("train_detector", "zero_day", "profiling_ablation")), (forest, ("fit", "fit_plain", "cross_validate")), (ocsvm, ("fit", "tune_nu"))):
+        for name in names:
+            monkeypatch.setattr(owner, name, stop(getattr(owner, name)))
+    monkeypatch.setattr(ocsvm, "normal_training_rows", MagicMock())
+    for name in ("_prepared", "_line_train"):
+        monkeypatch.setattr(queries_models, name, MagicMock())
+    names = ["m01_one_class_svm", "m03_nu_search", "m04_random_forest", "m05_feature_selection", "m06_calibrated_forest", "m07_cross_validation", "m09_full_prediction",
+             "m11_top_importances", "m13_score_table", "s12_saved_detector", "e12_zero_day", "e19_profiling_ablation", "e21_cross_dataset", "b14_sensitivity_metrics"]
+    for name in names:
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](MagicMock(), "none")
+        assert seen[-1] and all(v == want[k] for k, v in seen[-1].items()), name
