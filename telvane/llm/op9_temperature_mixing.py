@@ -122,7 +122,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     cuts = null_safe(by_block.withColumn("inside", F.coalesce(inside, F.lit(0))), by_group, ["mix_source", "mix_group"])
     cuts = cuts.withColumn("left", F.col("mix_rest") - F.col("before_group") - F.col("inside"))
     # the block in which a source's last part ends; blocks before it are read whole
-    cuts = scratch.settle(cuts.where("left > 0 and left < in_block").select(*keys, "left"), "cuts")
+    cuts = scratch.settle(cuts.where("left > 0 and left <= in_block").select(*keys, "left"), "cuts")
     ends = checked_broadcast(cuts, weight=F.lit(64))
     edge = null_safe(placed(narrow, "mix_source"), ends, keys)
     run = F.sum("mix_tokens").over(Window.partitionBy(*keys).orderBy("mix_rank", "mix_doc").rowsBetween(Window.unboundedPreceding, -1))

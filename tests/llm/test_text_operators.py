@@ -276,6 +276,14 @@ def test_mixing(spark):
     assert abs(-(weights * np.log(weights)).sum() - 1.2) < 0.01
 
 
+def test_mixing_budget_ends_on_a_block_border(spark):
+    df = spark.createDataFrame([(i, "w", "s") for i in range(600)], "doc_id long, text string, source string")
+    blocks = collections.Counter((r["mix_group"], r["mix_block"]) for r in op9.mix(df, repeats=2.0).collect())
+    first = blocks[min(blocks)]
+    assert len(blocks) == 3
+    assert op9.mix(df, repeats=2.0, budget=600.0 + first).count() == 600 + first
+
+
 def test_shards(spark):
     df, rows = awkward(spark)
     out = op10.shard(op10.sized(df), 4).collect()
