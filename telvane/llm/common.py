@@ -29,10 +29,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label = spark, label
 
-    def settle(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read back: cuts the lineage, and the copy outlives executors."""
+    def settle(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """Write and read back: cuts the lineage, and the copy outlives executors. ``folders``: columns that part it."""
         path = f"{shared_folder(self.spark).rstrip('/')}/{self.label}-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -19,6 +19,8 @@ from telvane.llm import (
     op8_context_mixing,
     op9_temperature_mixing,
     op10_prefix_shards,
+    op11_phrase_stripes,
+    op12_line_runs,
 )
 from telvane.llm.common import documents
 from telvane.session import ship_package
@@ -95,6 +97,63 @@ def op8_context_mixing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_context_mixing.score(documents(spark, sf_dir))
 
 
+@query
+def op12_line_runs_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = op12_line_runs.drop_repeated_lines(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_runs_drop"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM docs),
+keys AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+),
+repeated AS (SELECT key FROM keys WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM repeated)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE key NOT IN (SELECT key FROM repeated)), '')) AS kept_sha256
+FROM keys GROUP BY rid
+"""
+
+
+@query
+def op11_phrase_stripes_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrase_stripes.first_of_each(op11_phrase_stripes.mine_phrases(documents(spark, sf_dir)))
+
+
+ORACLES["op11_phrase_stripes_mine"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+),
+pieces AS (SELECT rid, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+numbered AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT pid, lang, unnest(w) AS w1, unnest(w[2:] || [NULL]) AS w2, unnest(w[3:] || [NULL, NULL]) AS w3 FROM numbered WHERE len(w) > 0),
+f1 AS (SELECT lang, w1, count(*) AS f FROM words WHERE w1 IS NOT NULL GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM words WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM words WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+  WHERE NOT EXISTS (FROM f3 t WHERE t.lang = p.lang AND t.w1 = p.w1 AND t.w2 = p.w2 AND 100 * t.f >= 50 * p.f)
+    AND NOT EXISTS (FROM f3 t WHERE t.lang = p.lang AND t.w2 = p.w1 AND t.w3 = p.w2 AND 100 * t.f >= 50 * p.f)
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, 1, x.f, y.f
+  FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, 2, x.f, y.f
+  FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w3
+),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
