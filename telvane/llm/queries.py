@@ -21,6 +21,7 @@ from telvane.llm import (
     op10_prefix_shards,
     op11_phrase_stripes,
     op12_line_runs,
+    op13_exact_whitening,
 )
 from telvane.llm.common import documents
 from telvane.session import ship_package
@@ -154,6 +155,11 @@ FROM best JOIN sizes USING (lang) QUALIFY rank <= 2000
 """
 
 
+@query
+def op13_exact_whitening_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_exact_whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
