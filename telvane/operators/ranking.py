@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telvane.functions.scalars import col, ratio
-from telvane.operators.buckets import bucketed
+from telvane.operators.buckets import ROWS_PER_BUCKET, bucketed
+from telvane.session import settle
 
 
 def score_counts(df: DataFrame, slices: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -52,17 +53,24 @@ def empirical_rank(
 ) -> DataFrame:
     """Share of the reference rows whose score is <= the row's score (right side: ties count).
 
-    ``reference`` marks the reference rows of ``df``. Works on one row per
-    distinct score, joined back on the score. Rows without a score have no rank.
+    ``reference`` marks the reference rows of ``df``. Works on one row per distinct score. Rows without a score have
+    no rank and count nowhere. Up to ``rows_per_bucket`` distinct scores are joined back by broadcast; beyond, only
+    the scores that hold a thousandth of the rows or more are (at most a thousand), and the others by shuffle.
     """
     value = F.col(score).cast("double")
     per_score = df.groupBy(value.alias("__score")).agg(
-        F.sum(F.when(reference, 1).otherwise(0)).cast("long").alias("__ref")
+        F.sum(F.when(reference, 1).otherwise(0)).cast("long").alias("__ref"), F.count(F.lit(1)).alias("__rows")
     )
-    ranked = bucketed(per_score, [], "__score", {"__through": "__ref"}, rows_per_bucket)
-    size = ranked.agg(F.coalesce(F.sum("__ref"), F.lit(0)).alias("n")).first()["n"]
-    share = ranked.select("__score", (F.col("__through") / F.lit(float(max(size, 1)))).alias(out))
-    return df.withColumn("__score", value).join(share, "__score", "left").drop("__score")
+    ranked = settle(bucketed(per_score, [], "__score", {"__through": "__ref"}, rows_per_bucket), "ranks")
+    sizes = ranked.agg(F.coalesce(F.sum("__ref"), F.lit(0)).alias("ref"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("scores")).first()
+    share = ranked.select("__score", "__rows", (F.col("__through") / F.lit(float(max(sizes["ref"], 1)))).alias("__share"))
+    scored = df.withColumn("__score", value)
+    if sizes["scores"] <= (rows_per_bucket or ROWS_PER_BUCKET):
+        return scored.join(F.broadcast(share), "__score", "left").withColumn(out, F.col("__share")).drop("__score", "__rows", "__share")
+    hot = share.filter(F.col("__rows") * 1000 >= sizes["rows"])
+    often = scored.join(F.broadcast(hot), "__score")
+    rest = scored.join(F.broadcast(hot.select("__score")), "__score", "left_anti").join(share, "__score", "left")
+    return often.unionByName(rest).withColumn(out, F.col("__share")).drop("__score", "__rows", "__share")
 
 
 def search_best(df: DataFrame, objective: str, order: str, slices: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from telvane.operators.profile import SENSITIVITY, FrozenProfiles, sensitivity_p
 from telvane.operators.scale import RobustScale
 from telvane.operators.search import ALPHAS_JOINT, best_alpha_and_threshold, best_threshold_value
 from telvane.operators.smote import balance
+from telvane.operators.trees import ArrayForest
 from telvane.operators.split import attack_ratio, frequent_attacks, hold_out_class, split_column
 from telvane.schema import CYCLIC, FEATURES, MODEL_FEATURES, PROFILE_FEATURES, ProfilePreset
 from telvane.session import settle
@@ -94,15 +95,16 @@ class Detector:
         spark = SparkSession.active()
         settings = {"svm": self.svm.settings(), "forest": self.forest.features, "mode": self.mode, "alpha": self.alpha, "tau": self.tau,
                     "sigmoids": [[slope, intercept] for _, slope, intercept in self.forest.calibrated]}
-        models = {"forest": self.forest.model, **{f"calibrated{i}": m for i, (m, _, _) in enumerate(self.forest.calibrated)}}
+        models = {"forest": self.forest.model.table, **{f"calibrated{i}": m.table for i, (m, _, _) in enumerate(self.forest.calibrated)}}
         save_bundle(path, models, self.profiles, self.scaler.table(spark), settings)
 
     @classmethod
     def load(cls, spark, path: str) -> Detector:
         models, profiles, scaler, s = load_bundle(spark, path)
-        calibrated = [(models[f"calibrated{i}"], *pair) for i, pair in enumerate(s["sigmoids"])]
+        trees = {name: ArrayForest(table, s["forest"]) for name, table in models.items()}
+        calibrated = [(trees[f"calibrated{i}"], *pair) for i, pair in enumerate(s["sigmoids"])]
         return cls(RobustScale.from_table(scaler), profiles, ocsvm.OneClassSVM.from_settings(s["svm"]),
-                   forest.Forest(models["forest"], s["forest"], calibrated), s["mode"], s["alpha"], s["tau"])
+                   forest.Forest(trees["forest"], s["forest"], calibrated), s["mode"], s["alpha"], s["tau"])
 
 
 @dataclass
@@ -110,43 +112,70 @@ class TrainingPlan:
     """Sizes of a training run."""
 
     trees: int = 220
-    depth: int = 30
+    depth: int | None = None
     passes: int = 30
     rebalance: bool = True
     alphas: list[float] = field(default_factory=lambda: list(ALPHAS_JOINT))
 
 
+@dataclass(frozen=True)
+class Variant:
+    """What a training run changes: how rows are profiled, and the attack class it never sees."""
+
+    mode: str = "both"
+    per_device: bool = True
+    hold_out: str | None = None
+
+
 def train_detector(prepared: Prepared, plan: TrainingPlan = TrainingPlan(), mode: str = "both", per_device: bool = True,
                    preset: ProfilePreset = ProfilePreset(), hold_out: str | None = None) -> tuple[Detector, DataFrame]:
     """Profiles -> augmented rows -> anomaly model and classifier -> score table -> weight and threshold.
 
     ``hold_out`` removes one attack class from the training rows first.
     """
-    rows = hold_out_class(prepared.rows, hold_out) if hold_out else prepared.rows
-    train = rows.filter(F.col("split") == "train")
-    profiles = None if mode == "none" else FrozenProfiles.fit(train, prepared.features, preset, per_device=per_device, mode="both")
-    augmented, features = profiles.augment(train, mode) if profiles else (train, prepared.features)
-    augmented = settle(augmented.select("row_id", "label", *features), "augmented")
-    nu = attack_ratio(augmented).first()["attack_ratio"]
-    svm = ocsvm.fit(ocsvm.normal_training_rows(augmented, features), features, nu, plan.passes)
-    training = settle(balance(augmented, features), "balanced") if plan.rebalance else augmented
-    fitted = forest.Forest(forest.fit_plain(training, features, plan.trees, plan.depth), features)
-    detector = Detector(prepared.scaler, profiles, svm, fitted, mode)
-    scores = settle(detector.score(rows), "scores")
-    best = best_alpha_and_threshold(scores.filter(F.col("split") == "val"), plan.alphas).first()
-    detector.alpha, detector.tau = best["alpha"], best["threshold"]
-    return detector, scores.withColumn("score", fusion.fuse(alpha=detector.alpha))
+    return train_detectors(prepared, [Variant(mode, per_device, hold_out)], plan, preset)[0]
+
+
+def train_detectors(prepared: Prepared, variants: list[Variant], plan: TrainingPlan = TrainingPlan(),
+                    preset: ProfilePreset = ProfilePreset()) -> list[tuple[Detector, DataFrame]]:
+    """A detector per variant. The forests of all variants with the same features are grown by the same passes."""
+    fitted, training = [], {}
+    for i, v in enumerate(variants):
+        rows = hold_out_class(prepared.rows, v.hold_out) if v.hold_out else prepared.rows
+        train = rows.filter(F.col("split") == "train")
+        profiles = None if v.mode == "none" else FrozenProfiles.fit(train, prepared.features, preset, per_device=v.per_device, mode="both")
+        augmented, features = profiles.augment(train, v.mode) if profiles else (train, prepared.features)
+        augmented = settle(augmented.select("row_id", "label", *features), "augmented")
+        nu = attack_ratio(augmented).first()["attack_ratio"]
+        svm = ocsvm.fit(ocsvm.normal_training_rows(augmented, features), features, nu, plan.passes)
+        balanced = balance(augmented, features) if plan.rebalance else augmented
+        part = balanced.select("row_id", "label", *features, F.lit(i).alias("variant"))
+        held = training.get(tuple(features))
+        training[tuple(features)] = held.unionByName(part) if held is not None else part
+        fitted.append((rows, profiles, svm, features))
+    trees = {}
+    for features, table in training.items():
+        members = {i: F.col("variant") == i for i, f in enumerate(fitted) if tuple(f[3]) == features}
+        trees |= forest.fit_models(settle(table, "training"), list(features), members, forest.T.Growth(plan.trees, plan.depth))
+    out = []
+    for i, (v, (rows, profiles, svm, features)) in enumerate(zip(variants, fitted)):
+        detector = Detector(prepared.scaler, profiles, svm, forest.Forest(trees[i], features), v.mode)
+        scores = settle(detector.score(rows), "scores")
+        best = best_alpha_and_threshold(scores.filter(F.col("split") == "val"), plan.alphas).first()
+        detector.alpha, detector.tau = best["alpha"], best["threshold"]
+        out.append((detector, scores.withColumn("score", fusion.fuse(alpha=detector.alpha))))
+    return out
 
 
 def zero_day(prepared: Prepared, plan: TrainingPlan, classes: int = 3) -> DataFrame:
-    """Recall on attack classes left out of training, one retraining per class."""
+    """Recall on attack classes left out of training; the forests without each of them are grown together."""
+    names = [r["attack_cat"] for r in frequent_attacks(prepared.part("train"), classes).collect()]  # at most ``classes``
     out = []
-    for row in frequent_attacks(prepared.part("train"), classes).collect():  # at most `classes` names
-        detector, scores = train_detector(prepared, plan, hold_out=row["attack_cat"])
+    for name, (detector, scores) in zip(names, train_detectors(prepared, [Variant(hold_out=n) for n in names], plan)):
         val, test = scores.filter(F.col("split") == "val"), scores.filter(F.col("split") == "test")
         taus = {"RF_only": ("p_rf", best_threshold_value(val, "p_rf")), "IF_only": ("s_if", best_threshold_value(val, "s_if")),
                 "IF_RF_fused": ("score", detector.tau)}
-        out.append(held_out_recall(test, row["attack_cat"], taus))
+        out.append(held_out_recall(test, name, taus))
     return append_all(out)
 
 
@@ -163,8 +192,8 @@ PROFILING_VARIANTS = [
 def profiling_ablation(prepared: Prepared, plan: TrainingPlan, variants=PROFILING_VARIANTS) -> DataFrame:
     """Test metrics after retraining with each way of profiling."""
     out = []
-    for name, mode, per_device in variants:
-        detector, scores = train_detector(prepared, plan, mode, per_device)
+    trained = train_detectors(prepared, [Variant(mode, per_device) for _, mode, per_device in variants], plan)
+    for (name, mode, per_device), (detector, scores) in zip(variants, trained):
         row = metrics(scores.filter(F.col("split") == "test"), detector.tau)
         out.append(row.select(F.lit(name).alias("variant"), F.lit(mode).alias("profile_mode"), F.lit(per_device).alias("per_device"),
                               F.lit(detector.alpha).alias("alpha"), "*"))
