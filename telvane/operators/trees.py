@@ -35,7 +35,7 @@ from telvane.schema import SEED
 from telvane.session import settle
 
 #: Bytes of a row table that may be broadcast, and of one broadcast part of a forest; entries (row, tree) grown at once.
-SMALL, PART, ENTRIES = 64 << 20, 128 << 20, 1 << 20
+SMALL, PART, ENTRIES = 64 << 20, 128 << 20, 1 << 18
 LEAF = -1
 TREE = "model int, tree int, feature array<smallint>, cut array<double>, child array<int>, gain array<double>"
 
@@ -104,11 +104,11 @@ class Ranked:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.y = y.astype(np.int64)
         x = np.where(np.isnan(x), np.inf, x)
-        self.values, self.rank = [], np.empty(x.shape, np.int32)
+        self.values, self.rank = [], []
         for f in range(x.shape[1]):
             values, rank = np.unique(x[:, f], return_inverse=True)
             self.values.append(values)
-            self.rank[:, f] = rank
+            self.rank.append(rank.astype(np.int32))
 
 
 def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,28 +123,37 @@ def quality(w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
     return (w0 * w0 + w1 * w1) / np.maximum(w0 + w1, 1e-300)
 
 
-def best_cuts(data: Ranked, f: int, rows: np.ndarray, counts: np.ndarray, slots: np.ndarray, total: np.ndarray, weights: np.ndarray):
-    """(node, quality, last rank on the left, first rank on the right) of the best cut on a feature, per node that has one."""
-    rank = data.rank[rows, f].astype(np.int64)
-    order = np.argsort(slots * (len(data.values[f]) + 1) + rank, kind="stable")
-    slots, rank, counts, y = slots[order], rank[order], counts[order], data.y[rows[order]]
-    at = np.flatnonzero((slots[1:] == slots[:-1]) & (rank[1:] != rank[:-1]))
+#: Bits of a packed entry below its node and rank: how often it is in the bag (at most 31), and its class.
+LOW = 6
+
+
+def best_cuts(ranks: np.ndarray, bits: int, entries: np.ndarray, slots: np.ndarray, total: np.ndarray, used: np.ndarray, weights: np.ndarray):
+    """(node, quality, last rank on the left, first rank on the right) of the best cut on a feature, per node that has one.
+
+    Node, rank, count and class of an entry are packed into one integer, so sorting moves nothing else.
+    """
+    keys = (slots << (bits + LOW)) | (ranks.astype(np.int64) << LOW) | entries
+    keys.sort()
+    value = keys >> LOW
+    at = np.flatnonzero(value[1:] != value[:-1])
+    node = value[at] >> bits
+    at = at[node == value[at + 1] >> bits]
     if not len(at):
         return None
-    node = slots[at]
-    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-    base = first[np.searchsorted(first, at, "right") - 1]
-    left = []
-    for label in (0, 1):
-        upto = np.r_[0, np.cumsum(np.where(y == label, counts, 0))]
-        left.append(upto[at + 1] - upto[base])
+    node, mask = value[at] >> bits, (1 << bits) - 1
+    counts = (keys >> 1) & 31
+    whole, ones = np.cumsum(counts), np.cumsum(counts * (keys & 1))
+    before = np.zeros_like(total)
+    before[used] = np.cumsum(total[used], 0) - total[used]
+    right = ones[at] - before[node, 1]
+    left = whole[at] - before[node].sum(1) - right, right
     w0, w1 = weights[node, 0], weights[node, 1]
     score = quality(left[0] * w0, left[1] * w1) + quality((total[node, 0] - left[0]) * w0, (total[node, 1] - left[1]) * w1)
-    begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    top = np.repeat(np.maximum.reduceat(score, begin), np.diff(np.r_[begin, len(node)])) == score
+    begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    top = np.flatnonzero(np.repeat(np.maximum.reduceat(score, begin), np.diff(np.append(begin, len(node)))) == score)
     nodes, pick = np.unique(node[top], return_index=True)
-    pick = np.flatnonzero(top)[pick]
-    return nodes, score[pick], rank[at[pick]], rank[at[pick] + 1]
+    pick = top[pick]
+    return nodes, score[pick], value[at[pick]] & mask, value[at[pick] + 1] & mask
 
 
 def grow(data: Ranked, rows: np.ndarray, counts: np.ndarray, starts: np.ndarray, paths: np.ndarray, depths: np.ndarray, weights: np.ndarray, growth: Growth) -> list[tuple]:
@@ -153,7 +162,9 @@ def grow(data: Ranked, rows: np.ndarray, counts: np.ndarray, starts: np.ndarray,
     ``rows``, ``counts``: entries; ``starts``: the bounds of each subtree's entries; ``weights``: class weights of each
     subtree. Returns (feature, cut, child, gain) arrays per subtree; a leaf's cut is its probability of class 1.
     """
-    features = data.rank.shape[1]
+    features = len(data.rank)
+    bits = [max(1, int(len(v)).bit_length()) for v in data.values]
+    packed = (counts.astype(np.int64) << 1) | data.y[rows]
     tried = growth.features_tried(features)
     slots = np.repeat(np.arange(len(paths)), np.diff(starts))
     owner, depth, paths = np.arange(len(paths)), depths.copy(), paths.astype(np.uint64)
@@ -162,8 +173,9 @@ def grow(data: Ranked, rows: np.ndarray, counts: np.ndarray, starts: np.ndarray,
     known = 0
     while len(owner):
         n = len(owner)
-        y = data.y[rows]
-        total = np.stack([np.bincount(slots, np.where(y == label, counts, 0), n) for label in (0, 1)], 1)
+        counts = packed >> 1
+        ones = np.bincount(slots, counts * (packed & 1), n)
+        total = np.stack([np.bincount(slots, counts, n) - ones, ones], 1).astype(np.int64)
         weight = weights[owner]
         mass = total * weight
         feature, cut, child = np.full(n, LEAF, np.int16), mass[:, 1] / np.maximum(mass.sum(1), 1e-300), np.zeros(n, np.int32)
@@ -181,7 +193,7 @@ def grow(data: Ranked, rows: np.ndarray, counts: np.ndarray, starts: np.ndarray,
                 if not use.any():
                     continue
                 e = np.flatnonzero(use[slots])
-                found = best_cuts(data, f, rows[e], counts[e], slots[e], total, weight)
+                found = best_cuts(data.rank[f][rows[e]], bits[f], packed[e], slots[e], total, np.flatnonzero(use), weight)
                 if found is None:
                     continue
                 nodes, score, a, b = found
@@ -200,8 +212,11 @@ def grow(data: Ranked, rows: np.ndarray, counts: np.ndarray, starts: np.ndarray,
         known += n
         # Entries of split nodes move to the children.
         stay = inner[slots]
-        rows, counts, slots = rows[stay], counts[stay], slots[stay]
-        right = data.rank[rows, feature[slots]] > low[slots]
+        rows, packed, slots = rows[stay], packed[stay], slots[stay]
+        by, right = feature[slots], np.zeros(len(rows), bool)
+        for f in np.unique(feature[split]):
+            of = np.flatnonzero(by == f)
+            right[of] = data.rank[f][rows[of]] > low[slots[of]]
         place = np.cumsum(inner) - 1
         slots = 2 * place[slots] + right
         owner, depth, paths = np.repeat(owner[split], 2), np.repeat(depth[split] + 1, 2), child_paths(paths[split])
@@ -589,14 +604,26 @@ def end_to_end(trees: list[tuple]) -> tuple:
     return sizes[:-1].astype(np.int32), np.concatenate([t[0] for t in trees]).astype(np.int16), np.concatenate([t[1] for t in trees]), child
 
 
-def leaf_sums(x: np.ndarray, roots: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """Sum over the trees of the leaf value each row reaches; all rows pass a block of trees at once."""
-    out, n = np.zeros(len(x)), len(x)
-    step = max(1, block // max(1, n))
-    for i in range(0, len(roots) if n else 0, step):
-        own = roots[i : i + step]
-        rows = np.tile(np.arange(n), len(own))
-        out += cut[walk(feature, cut, child, x, rows, np.repeat(own, n))].reshape(len(own), n).sum(0)
+def leaf_sums(x: np.ndarray, roots: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray, steps: int = 8) -> np.ndarray:
+    """Sum over the trees of the leaf value each row reaches. No value is NaN.
+
+    All rows walk a tree at once. Leaves lead to themselves, so rows are only looked through for those that have
+    arrived after every few steps.
+    """
+    n, width = x.shape
+    out, flat, begin = np.zeros(n), np.ascontiguousarray(x).ravel(), np.arange(n) * width
+    for a, b in zip(roots.tolist(), [*roots[1:].tolist(), len(feature)]):
+        leaf = feature[a:b] == LEAF
+        at, limit = np.where(leaf, 0, feature[a:b]).astype(np.intp), np.where(leaf, np.inf, cut[a:b])
+        after = np.where(leaf, np.arange(b - a), child[a:b] - a)
+        rows, first, node = np.arange(n), begin, np.zeros(n, np.intp)
+        while len(rows):
+            for _ in range(steps):
+                node = after.take(node) + (flat.take(first + at.take(node)) > limit.take(node))
+            done = leaf.take(node)
+            out[rows[done]] += cut[a + node[done]]
+            keep = ~done
+            rows, first, node = rows[keep], first[keep], node[keep]
     return out
 
 
