@@ -19,8 +19,9 @@ row per document with the smallest doc_id reachable by links. Nothing is lost an
    against itself. A pair of nodes is left out if its sizes cannot link, if the largest possible overlap (common bits
    plus collisions) is below what its smallest sizes need, or if one component already holds both. Leaf pairs are
    compared exactly.
-3. A group above ``limit`` shingles is cut into chunks. Each chunk is traversed with the group's first set as a common
-   anchor; then only pairs of chunks that still span several components are traversed.
+3. A group above ``limit`` shingles is cut into chunks in the order of sizes. Each chunk is traversed with the group's
+   first set as a common anchor; then only pairs of chunks whose sizes may link and that still span several components
+   are traversed.
 
 Empty texts and null texts have no set, link with nothing and are their own component. Rows without a doc_id count as
 documents; a component of such rows alone gets a null component_id. Rows that share a doc_id are separate documents.
@@ -34,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telvane.llm.common import Scratch, Words, checked_broadcast, list_array, mix, null_safe, shingle_sets, text_parts
@@ -188,13 +189,18 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, p: int, q: int) -> lis
     return links
 
 
+def by_parts(p: int, q: int) -> bool:
+    """Whether sets are routed by parts: these hold enough shingles on average."""
+    return p + q >= PART_SHINGLES * 2 * (q - p)
+
+
 def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles, cid (class of equal sets, null without a set) and the routing hashes of each document."""
-    by_parts = p + q >= PART_SHINGLES * 2 * (q - p)
-    shared = None if by_parts else docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
+    parts = by_parts(p, q)
+    shared = None if parts else docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def routes(s: np.ndarray) -> np.ndarray:
-        return part_signatures(s, p, q) if by_parts else signatures(s, shared.value, p, q)
+        return part_signatures(s, p, q) if parts else signatures(s, shared.value, p, q)
 
     def run(batches):
         for batch in batches:
@@ -229,9 +235,10 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def marked_routes(profiled: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(sig, cid) of the routing hashes whose bit is set."""
+def marked_routes(profiled: DataFrame, bits: np.ndarray, p: int, q: int) -> DataFrame:
+    """(sig, cid, own) of the routing hashes whose bit is set, with the size class of the set."""
     shared = profiled.sparkSession.sparkContext.broadcast(bits)
+    low = size_classes(62, p, q)
 
     def run(batches):
         for batch in batches:
@@ -240,9 +247,20 @@ def marked_routes(profiled: DataFrame, bits: np.ndarray) -> DataFrame:
             owner = np.repeat(np.arange(batch.num_rows), np.diff(sigs.offsets.to_numpy()))
             at = flat.view(np.uint64) & np.uint64(MAP_BITS - 1)
             hit = np.flatnonzero((shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), batch.column("cid").take(pa.array(owner[hit]))], names=["sig", "cid"])
+            own = np.searchsorted(low, batch.column("n_shingles").to_numpy()[owner[hit]], "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), batch.column("cid").take(pa.array(owner[hit])), pa.array(own)], names=["sig", "cid", "own"])
+
+    return profiled.where("cid is not null").select("sigs", "cid", "n_shingles").mapInArrow(run, "sig long, cid long, own long")
 
-    return profiled.where("cid is not null").select("sigs", "cid").mapInArrow(run, "sig long, cid long")
+
+def windows(parts: DataFrame) -> DataFrame:
+    """(sig, cid, node): a route and a node for each of the two windows of sizes that a set belongs to.
+
+    Window c holds the size classes c and c + 1, so linked sets share a window; chains of shared shingles cannot run
+    from short texts to long ones.
+    """
+    both = parts.select("sig", "cid", F.explode(F.array("own", F.col("own") - 1)).alias("window"))
+    return both.select(F.xxhash64("sig", "window").alias("sig"), "cid", F.xxhash64("cid", "window").alias("node"))
 
 
 def forest_links(rows: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -272,6 +290,16 @@ def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return null_safe(texts, checked_broadcast(wanted), ["doc_id"])
 
 
+def with_chunks(members: DataFrame, limit: int) -> DataFrame:
+    """The chunk of each member: groups above ``limit`` shingles are cut in the order of sizes, equal sizes by hash."""
+    by_size = members.where("chunks > 1").groupBy("grp", "n").agg(F.sum("n").alias("mass"))
+    earlier = Window.partitionBy("grp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # one row per size
+    by_size = by_size.select("grp", "n", "mass", F.coalesce(F.sum("mass").over(earlier), F.lit(0)).alias("before"))
+    share = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(1 << 20)
+    chunk = F.coalesce(F.floor((F.col("before") + share * F.col("mass")) / F.lit(limit)), F.lit(0)).cast("int")
+    return members.join(by_size, ["grp", "n"], "left").withColumn("chunk", chunk).drop("mass", "before")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, limit: int = 250_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; links at similarity p/q of k-word shingles.
 
@@ -283,27 +311,28 @@ def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, lim
     # routing hashes of several rows; a fixed bitmap of them spares most of the others the second shuffle
     shared = profiled.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     shared = scratch.settle(shared, "shared")
-    parts = scratch.settle(marked_routes(profiled, bitmap(shared)).join(shared, "sig", "left_semi"), "parts")
+    parts = marked_routes(profiled, bitmap(shared), p, q).join(shared, "sig", "left_semi")
+    # Parts of sets already differ by size class.
+    parts = scratch.settle(parts.select("sig", "cid", F.col("cid").alias("node")) if by_parts(p, q) else windows(parts), "parts")
     rows = scratch.settle(profiled.select("doc_id", "n_shingles", "cid"), "rows")
     scratch.drop(profiled, shared)
     classes = scratch.settle(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
 
-    hubs = parts.groupBy("sig").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub != last").select("sig", "hub")
-    routes = parts.join(hubs, "sig").where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-    groups = components(routes, scratch)  # label: the smallest class of the group
+    hubs = parts.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
+    routes = parts.join(hubs, "sig").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = components(routes, scratch).withColumnRenamed("label", "grp")  # the smallest node of the group
 
-    members = classes.join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid")
-    members = scratch.settle(members, "members")
+    named = parts.select("node", "cid").distinct().join(groups, "node")
+    members = scratch.settle(classes.join(named, "cid"), "members")
+    scratch.drop(parts)
     totals = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(limit)).cast("int").alias("chunks"))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     units = max(1, -(-total // limit))
-    members = scratch.settle(
-        members.join(totals, "grp").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("cid"), F.col("chunks"))).otherwise(0).cast("int")), "members"
-    )
+    members = scratch.settle(with_chunks(members.join(totals, "grp"), limit), "members")
     small = members.where("chunks <= 1").select("doc_id", "cid", "grp", F.pmod(F.xxhash64("grp"), F.lit(units)).alias("unit"), F.col("cid").alias("mark"))
     large = members.where("chunks > 1")
-    anchored = large.where("cid != grp").select("doc_id", "cid", "grp", "chunk").unionAll(
-        large.where("cid = grp").select("doc_id", "cid", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    anchored = large.where("node != grp").select("doc_id", "cid", "grp", "chunk").unionAll(
+        large.where("node = grp").select("doc_id", "cid", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     )
     first = small.unionAll(anchored.select("doc_id", "cid", "grp", F.xxhash64("grp", "chunk").alias("unit"), F.col("cid").alias("mark")))
     links = scratch.settle(forest_links(with_texts(scratch.settle(first, "first"), docs), k, p, q), "links")
@@ -312,10 +341,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, lim
     if not large.isEmpty():
         marked = large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("mark", F.coalesce("label", "cid")).drop("label")
         marked = scratch.settle(marked, "marked")
-        spans = marked.groupBy("grp", "chunk").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+        spans = marked.groupBy("grp", "chunk").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
         x, y = spans.alias("x"), spans.alias("y")
         open_pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.chunk") < F.col("y.chunk"))).where(
-            "least(x.low, y.low) != greatest(x.high, y.high)"
+            f"least(x.low, y.low) != greatest(x.high, y.high) and {q} * x.most >= {p} * y.least and {q} * y.most >= {p} * x.least"
         ).select(F.col("x.grp").alias("grp"), F.array("x.chunk", "y.chunk").alias("pair"))
         sides = open_pairs.withColumn("chunk", F.explode("pair")).withColumn("unit", F.xxhash64("grp", "pair"))
         second = marked.join(sides, ["grp", "chunk"]).select("doc_id", "cid", "grp", "unit", "mark")
