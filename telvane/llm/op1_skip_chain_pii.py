@@ -4,7 +4,8 @@ Patterns give the base spans (e-mail, IPv4, payment card with check digit, phone
 kind, over whole texts. The field then labels tokens O, email, ip, card or phone:
 
 * a token's own potential is the smoothed log share of each label among tokens of its shape (digits, letters and marks
-  in runs), counted over all documents with the base spans as labels; base tokens are held at their label,
+  in runs, hashed to 65,536 values), counted over all documents with the base spans as labels; base tokens are held at
+  their label,
 * neighbouring tokens share the log ratio of how often labels follow one another,
 * distant tokens that repeat or resemble one another (the same digits, or the same name before an @ sign) share a
   potential that favours equal labels; each is tied to its next occurrence, so links grow with the text only.
@@ -19,12 +20,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telvane.llm.common import ship, shipped
+
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +39,9 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Rounds of messages, weight of ties, belief that adds a span, shapes kept, characters of a shape.
-ROUNDS, TIE, LEAST, SHAPES, SHAPE_CHARS = 10, 2.0, 0.9, 20_000, 24
+ROUNDS, TIE, LEAST = 10, 2.0, 0.9
+#: Shapes are hashed to so many values, whatever the size of the corpus.
+SHAPES = 1 << 16
 
 
 def luhn(digits: str) -> bool:
@@ -81,9 +87,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def shape(token: str) -> str:
-    """Runs of letters as a, of digits as 9 with their count, marks as they are."""
-    parts = re.findall(r"[0-9]+|[^\W\d_]+|.", token[:200], re.S)
-    return "".join(f"9{len(p)}" if p[0] in "0123456789" else "a" if p[0].isalpha() else p for p in parts)[:SHAPE_CHARS]
+    """Runs of letters as a, of digits as 9 with their count, marks as they are; of the whole token, hashed."""
+    parts = re.findall(r"[0-9]+|[^\W\d_]+|.", token, re.S)
+    written = "".join(f"9{len(p)}" if p[0] in "0123456789" else "a" if p[0].isalpha() else p for p in parts)
+    return str(zlib.crc32(written.encode("utf-8", "replace")) % SHAPES)
 
 
 def core(token: str, start: int) -> tuple[str, int]:
@@ -188,13 +195,13 @@ class Field:
 
 
 def learn(docs: DataFrame) -> Field:
-    """Potentials from the counts of all documents; at most SHAPES shapes are kept, the rarest fall back to the prior."""
+    """Potentials from the counts of all documents: one row for each of SHAPES hashed shapes."""
     counts = observe(docs).groupBy("kind", "key", "label").agg(F.sum("n").alias("n")).persist()
     total = np.ones(5)
     for r in counts.where("kind = 'shape'").groupBy("label").agg(F.sum("n").alias("n")).collect():  # five rows
         total[r["label"]] += r["n"]
-    by_shape = counts.where("kind = 'shape'").groupBy("key").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"l{k}") for k in range(5)])
-    kept = by_shape.orderBy(F.desc("all"), "key").limit(SHAPES).collect()
+    by_shape = counts.where("kind = 'shape'").groupBy("key").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"l{k}") for k in range(5)])
+    kept = by_shape.collect()  # at most SHAPES rows
     pairs = np.zeros((5, 5))
     for r in counts.where("kind = 'pair'").collect():  # 25 rows at most
         pairs[int(r["key"]), r["label"]] += r["n"]
@@ -209,10 +216,11 @@ def listed(spans: dict[str, list[tuple[int, int]]]) -> str:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs.select("text")))
+    shared = ship(docs.sparkSession, learn(docs.select("text")))
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        field = shipped(shared)
         for batch in batches:
             rows = []
             for text in texts(batch):
@@ -223,8 +231,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 base, t, added = listed(spans), Tokens(text, spans), 0
                 counts = [len(spans[k]) for k in KINDS]
                 taken = sorted(x for k in KINDS for x in spans[k])
-                if t.start and (any(t.label) or t.ties):
-                    belief = shared.value.beliefs(t)
+                if t.start:
+                    belief = field.beliefs(t)
                     for i in np.flatnonzero((belief[:, 1:].max(axis=1) >= LEAST) & (np.array(t.label) == 0)).tolist():
                         if not any(a < t.end[i] and b > t.start[i] for a, b in taken):
                             spans[KINDS[int(belief[i, 1:].argmax())]].append((t.start[i], t.end[i]))

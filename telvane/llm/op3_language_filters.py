@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from telvane.llm.common import mix, text_parts
+from telvane.llm.common import mix, ship, shipped, text_parts
 
 GRAM = 4
 #: Blank for all ASCII bytes but letters.
@@ -171,16 +171,17 @@ def classify(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tup
 
 def identify(docs: DataFrame, model: LanguageModel, prefix: str = "") -> DataFrame:
     """``docs`` with lang_pred and score (names after ``prefix``); columns of those names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     added = [f"{prefix}lang_pred", f"{prefix}score"]
     docs = docs.drop(*added)
     schema = StructType(docs.schema.fields + [StructField(added[0], StringType()), StructField(added[1], DoubleType())])
 
     def run(batches):
+        model = shipped(shared)
         for batch in batches:
             names, scores = [], []
             for _, _, data, offsets in text_parts(lower(batch)):
-                a, b = classify(shared.value, data, offsets)
+                a, b = classify(model, data, offsets)
                 names += a
                 scores.append(b)
             extra = [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]

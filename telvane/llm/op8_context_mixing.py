@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list_array, mix, powers, text_parts
+from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list_array, mix, powers, ship, shipped, text_parts
 
 ORDERS = (2, 4, "word")
 #: Slots of each predictor's table as a power of two; ranges in which tables are merged.
@@ -157,11 +157,11 @@ def gather_statistics(docs: DataFrame) -> DataFrame:
 
 def gather_tables(docs: DataFrame, code: Code) -> DataFrame:
     """(part, log_odds, seen): the merged tables in ranges of slots, as signed bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(code)
+    shared = ship(docs.sparkSession, code)
     span = len(ORDERS) * (1 << BITS) // RANGES
 
     def count(batches):
-        code, counts = shared.value, np.zeros((len(ORDERS), 2 << BITS), np.int32)
+        code, counts = shipped(shared), np.zeros((len(ORDERS), 2 << BITS), np.int32)
         for batch in batches:
             for _, _, data, offsets in text_parts(batch.column("text"), 1 << 20):
                 since = since_start(offsets)
@@ -316,13 +316,14 @@ def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
 def fit_state(docs: DataFrame, model: Model, rounds: int = 2) -> np.ndarray:
     """The state at a text's start: the mean over all texts, by bits, of where it went, started anew from each round's mean."""
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = ship(docs.sparkSession, model)
 
         def run(batches, shared=shared):
-            total, n = np.zeros_like(shared.value.state), 0
+            model = shipped(shared)
+            total, n = np.zeros_like(model.state), 0
             for batch in batches:
                 for _, _, data, offsets in text_parts(batch.column("text"), PART):
-                    _, ends, bits = score_texts(shared.value, data, offsets)
+                    _, ends, bits = score_texts(model, data, offsets)
                     total, n = total + ends, n + bits
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["state", "n"])
 
@@ -382,11 +383,11 @@ def score(docs: DataFrame) -> DataFrame:
         byte_counts[r["key"]] = r["n"]
     keys, counts, least = frequent_tokens(vocabulary)
     below = all_tokens + 0.5 * (distinct + 1)
-    shared = spark.sparkContext.broadcast((learn(training, byte_counts), keys, counts))
+    shared = ship(spark, (learn(training, byte_counts), keys, counts))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        model, keys, counts = shared.value
+        model, keys, counts = shipped(shared)
         logs = np.log10((counts + 0.5) / below)
         for batch in batches:
             for i, j, data, offsets in text_parts(batch.column("text"), PART):

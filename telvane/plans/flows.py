@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telvane.functions import fusion
+from telvane.functions.context import load_proxy
 from telvane.operators import alerts as A
 from telvane.operators import forest, ocsvm
 from telvane.operators.clean import encode_cyclic, impute_median, require_features
@@ -15,7 +16,8 @@ from telvane.operators.evaluate import held_out_recall, metrics, metrics_at_best
 from telvane.operators.harmonise import append_all
 from telvane.operators.profile import SENSITIVITY, FrozenProfiles, sensitivity_profiles, sensitivity_scores
 from telvane.operators.scale import RobustScale
-from telvane.operators.search import ALPHAS_JOINT, best_alpha_and_threshold, best_threshold_value
+from telvane.operators.quantiles import exact_quantiles
+from telvane.operators.search import ALPHAS_JOINT, best_alpha, best_alpha_and_threshold, best_threshold_value, compare_methods
 from telvane.operators.smote import balance
 from telvane.operators.trees import ArrayForest
 from telvane.operators.split import attack_ratio, frequent_attacks, hold_out_class, split_column
@@ -81,6 +83,27 @@ class Detector:
     mode: str = "both"
     alpha: float = 0.45
     tau: float = 0.5
+    method: str = "weighted_linear"
+    stacker: tuple[float, float, float] | None = None
+    reliability: tuple[float, float] | None = None
+    tau_rf: float = 0.5
+    load_scale: float = 0.0
+
+    def fused(self) -> Column:
+        """The fused score by the method chosen in training."""
+        return fusion.fuse(method=self.method, alpha=self.alpha, stacker=self.stacker, reliability=self.reliability)
+
+    def prepare(self, flow: DataFrame) -> DataFrame:
+        """Raw flow rows of a table or stream as this detector scores them; map-only. Missing values become the centre."""
+        encoded = encode_cyclic(flow.withColumn("split", F.lit("new")), keep_hour="hour")
+        return self.scaler.transform(encoded).fillna(0.0, list(self.scaler.center)).select(*[c for c in KEYS if c in encoded.columns], *self.scaler.center)
+
+    def alerts(self, scores: DataFrame, raised_only: bool = True) -> DataFrame:
+        """Alert records of scored rows: pseudo device types, load from the deviation, attack type from the classifier."""
+        z = PROFILE_FEATURES[0]
+        load = load_proxy(z, self.load_scale) if z in scores.columns else F.lit(0.5)
+        rows = A.with_device_context(scores.withColumn("load", load).withColumn("attack_type", A.predicted_attack_type("p_rf", self.tau_rf)))
+        return A.build_alerts(rows, raised_only=raised_only, tau_base=self.tau)
 
     def augment(self, rows: DataFrame) -> DataFrame:
         return self.profiles.augment(rows, self.mode)[0] if self.profiles else rows
@@ -89,11 +112,12 @@ class Detector:
         """Score table of prepared rows: keys, deviations, s_if, p_rf and the fused score."""
         out = self.forest.score(self.svm.score(self.augment(rows)))
         keep = [c for c in (*KEYS, *PROFILE_FEATURES, "s_if", "p_rf") if c in out.columns]
-        return out.select(*keep).withColumn("score", fusion.fuse(alpha=self.alpha))
+        return out.select(*keep).withColumn("score", self.fused())
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         settings = {"svm": self.svm.settings(), "forest": self.forest.features, "mode": self.mode, "alpha": self.alpha, "tau": self.tau,
+                    "method": self.method, "stacker": self.stacker, "reliability": self.reliability, "tau_rf": self.tau_rf, "load_scale": self.load_scale,
                     "sigmoids": [[slope, intercept] for _, slope, intercept in self.forest.calibrated]}
         models = {"forest": self.forest.model.table, **{f"calibrated{i}": m.table for i, (m, _, _) in enumerate(self.forest.calibrated)}}
         save_bundle(path, models, self.profiles, self.scaler.table(spark), settings)
@@ -104,7 +128,8 @@ class Detector:
         trees = {name: ArrayForest(table, s["forest"]) for name, table in models.items()}
         calibrated = [(trees[f"calibrated{i}"], *pair) for i, pair in enumerate(s["sigmoids"])]
         return cls(RobustScale.from_table(scaler), profiles, ocsvm.OneClassSVM.from_settings(s["svm"]),
-                   forest.Forest(trees["forest"], s["forest"], calibrated), s["mode"], s["alpha"], s["tau"])
+                   forest.Forest(trees["forest"], s["forest"], calibrated), s["mode"], s["alpha"], s["tau"], s["method"],
+                   tuple(s["stacker"]) if s["stacker"] else None, tuple(s["reliability"]) if s["reliability"] else None, s["tau_rf"], s["load_scale"])
 
 
 @dataclass
@@ -116,6 +141,8 @@ class TrainingPlan:
     passes: int = 30
     rebalance: bool = True
     alphas: list[float] = field(default_factory=lambda: list(ALPHAS_JOINT))
+    select: bool = False
+    calibrate: bool = False
 
 
 @dataclass(frozen=True)
@@ -155,11 +182,17 @@ def train_detectors(prepared: Prepared, variants: list[Variant], plan: TrainingP
         fitted.append((rows, profiles, svm, features))
     trees = {}
     for features, table in training.items():
+        if plan.select or plan.calibrate:  # each variant chooses its own features
+            table = settle(table, "training")
+            for i in (i for i, f in enumerate(fitted) if tuple(f[3]) == features):
+                trees[i] = forest.fit(table.filter(F.col("variant") == i), list(features), plan.trees, plan.depth, plan.select, plan.calibrate)
+            continue
         members = {i: F.col("variant") == i for i, f in enumerate(fitted) if tuple(f[3]) == features}
-        trees |= forest.fit_models(settle(table, "training"), list(features), members, forest.T.Growth(plan.trees, plan.depth))
+        grown = forest.fit_models(settle(table, "training"), list(features), members, forest.T.Growth(plan.trees, plan.depth))
+        trees |= {i: forest.Forest(model, list(features)) for i, model in grown.items()}
     out = []
     for i, (v, (rows, profiles, svm, features)) in enumerate(zip(variants, fitted)):
-        detector = Detector(prepared.scaler, profiles, svm, forest.Forest(trees[i], features), v.mode)
+        detector = Detector(prepared.scaler, profiles, svm, trees[i], v.mode)
         scores = settle(detector.score(rows), "scores")
         best = best_alpha_and_threshold(scores.filter(F.col("split") == "val"), plan.alphas).first()
         detector.alpha, detector.tau = best["alpha"], best["threshold"]
@@ -167,6 +200,51 @@ def train_detectors(prepared: Prepared, variants: list[Variant], plan: TrainingP
     return out
 
 
+@dataclass
+class Run:
+    """The main pipeline's results: the tuned detector, all scores, the methods compared, alerts, totals and test metrics."""
+
+    detector: Detector
+    scores: DataFrame
+    comparison: DataFrame
+    alerts: DataFrame
+    summary: DataFrame
+    metrics: DataFrame
+
+
+#: The main pipeline's forest: chosen features, calibrated probabilities.
+MAIN_PLAN = TrainingPlan(trees=200, select=True, calibrate=True)
+
+
+def main_pipeline(prepared: Prepared, plan: TrainingPlan = MAIN_PLAN, method: str = "auto", target_fpr: float = 0.05) -> Run:
+    """Models -> fusion weight, stacker and best method on validation rows -> base threshold -> alerts and test metrics.
+
+    ``method``: one of ``fusion.METHODS`` but ranks (which need a reference table), or "auto" for the largest F1.
+    Reliabilities are the validation F1 of both models at their own best thresholds.
+    """
+    detector, scores = train_detector(prepared, plan)
+    val, test = (scores.filter(F.col("split") == part) for part in ("val", "test"))
+    detector.alpha = best_alpha(val).first()["alpha"]
+    detector.stacker = forest.fit_stacker(val)
+    detector.tau_rf = best_threshold_value(val, "p_rf")
+    own = [metrics(val, best_threshold_value(val, s), s, digits=None).first()["f1"] for s in ("s_if", "p_rf")]
+    detector.reliability = (own[0], own[1])
+    comparison = settle(compare_methods(val, detector.alpha, detector.stacker), "methods")
+    detector.method = comparison.filter("best").first()["method"] if method == "auto" else method
+    fused = settle(scores.withColumn("score", detector.fused()), "fused")
+    val, test = (fused.filter(F.col("split") == part) for part in ("val", "test"))
+    detector.tau = A.calibrate_tau(val, target_fpr=target_fpr)
+    detector.load_scale = exact_quantiles(val, [PROFILE_FEATURES[0]], [0.95])[PROFILE_FEATURES[0]][0] or 0.0
+    alerts = settle(detector.alerts(test), "alerts")
+    found = metrics(test, detector.tau).select("*", F.lit(detector.method).alias("best_method"), F.lit(float(detector.alpha)).alias("best_alpha"))
+    return Run(detector, fused, comparison, alerts, A.alert_summary(alerts), found)
+
+
+def detect_stream(detector: Detector, stream: DataFrame) -> DataFrame:
+    """Raised alerts of raw flow rows that arrive: profile, score, fuse, threshold; no state."""
+    return A.rounded(detector.alerts(detector.score(detector.prepare(stream))))
+
+
 def zero_day(prepared: Prepared, plan: TrainingPlan, classes: int = 3) -> DataFrame:
     """Recall on attack classes left out of training; the forests without each of them are grown together."""
     names = [r["attack_cat"] for r in frequent_attacks(prepared.part("train"), classes).collect()]  # at most ``classes``

@@ -207,3 +207,45 @@ def _(spark, sf):
     prepared = _prepared(spark, sf)
     detector, _ = flows.train_detector(prepared, PLAN)
     return flows.profile_sensitivity(prepared, detector)
+
+
+@query("p01_main_pipeline")
+def _(spark, sf):
+    """Test metrics of the whole flow: selected and calibrated forest, tuned weight and thresholds, best fusion method."""
+    return flows.main_pipeline(_prepared(spark, sf)).metrics
+
+
+_BINARY = ["many", "dear", "discounted", "taxed", "early"]
+
+
+def _binary_lines(spark, sf):
+    """Five yes/no features, so a single tree of unlimited depth reaches every combination."""
+    li = views.flow_lineitem(spark, sf)
+    flags = [F.col("quantity") > 25, F.col("extendedprice") > 40000, F.col("discount") > 0.05, F.col("tax") > 0.04, F.col("ts") < F.lit("1995-01-01").cast("timestamp_ntz")]
+    return li.select("row_id", "label", *[f.cast("double").alias(n) for n, f in zip(_BINARY, flags)])
+
+
+_GROUP_MEANS = """g AS (SELECT row_id, label, quantity > 25 AS a, extendedprice > 40000 AS b, discount > 0.05 AS c, tax > 0.04 AS d, ts < TIMESTAMP '1995-01-01' AS e FROM li),
+n AS (SELECT count(*) / (2e0 * sum(1 - label)) AS w0, count(*) / (2e0 * sum(label)) AS w1 FROM g),
+m AS (SELECT a, b, c, d, e, sum(label) AS pos, sum(1 - label) AS neg FROM g GROUP BY ALL),
+p AS (SELECT row_id, label, pos * w1 / (pos * w1 + neg * w0) AS p_rf FROM g JOIN m USING (a, b, c, d, e), n)"""
+
+
+def _one_tree(spark, sf):
+    lines = settle(_binary_lines(spark, sf), "binary")
+    return lines, forest.Forest(forest.fit_models(lines, _BINARY, {0: F.lit(True)}, forest.T.Growth(1, tried=len(_BINARY), bootstrap=False))[0], _BINARY)
+
+
+@query("m04_tree_group_means", Q.with_(Q.LINE, _GROUP_MEANS, body="SELECT row_id, label, round(p_rf, 6) AS p_rf FROM p"))
+def _(spark, sf):
+    """One tree without a bag, all features tried at every node: balanced means of the 32 groups."""
+    lines, fitted = _one_tree(spark, sf)
+    return rounded(fitted.score(lines).select("row_id", "label", "p_rf"))
+
+
+@query("m09_tree_prediction", Q.with_(Q.LINE, _GROUP_MEANS, body="""SELECT row_id, round(p_rf, 6) AS p_rf, p_rf >= 0.4 AS flagged,
+  CASE WHEN p_rf > 0.5 THEN 1 ELSE 0 END AS prediction, round(1e0 - p_rf, 6) AS p_normal FROM p"""))
+def _(spark, sf):
+    lines, fitted = _one_tree(spark, sf)
+    out = fitted.predict(lines, 0.4)
+    return rounded(out.select("row_id", "p_rf", "flagged", "prediction", F.get("probabilities", 0).alias("p_normal")))

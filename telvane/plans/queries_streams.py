@@ -16,6 +16,7 @@ from telvane.streaming import alerts, online
 
 def _event_stream(spark, sf, per_trigger=None):
     """The event table as a stream of flow rows (two features that need no history)."""
+    spark.conf.set(online.PROVIDER, online.ROCKSDB)  # a query is the application here
     schema = views.table(spark, sf, "events").schema
     ev = alerts.read_files(spark, f"{sf}/events.parquet", schema, per_trigger)
     k = F.get_json_object("props", "$.k").cast("int")
@@ -91,3 +92,17 @@ def _(spark, sf):
     """Every event arrives twice; one copy passes."""
     twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return alerts.run_to_table(alerts.without_duplicates(twice, delay="40 days")).select("event_id")
+
+
+@query("x06_saved_detector_stream")
+def _(spark, sf):
+    """A detector is trained by the main pipeline, saved, loaded, and raises alerts on arriving raw flow rows."""
+    from telvane.plans import flows
+    from telvane.session import scratch_path
+
+    flow, path = views.flow_events(spark, sf), scratch_path(spark, "detector")
+    flow.write.parquet(f"{path}/arriving")
+    flows.main_pipeline(flows.prepare(flow)).detector.save(f"{path}/bundle")
+    arriving = alerts.read_files(spark, f"{path}/arriving", flow.schema)
+    out = alerts.run_to_table(flows.detect_stream(flows.Detector.load(spark, f"{path}/bundle"), arriving))
+    return out.select("alert_id", "device_id", "fused_score", "threshold_used", "alert_level", "attack_type", "context.device_type")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException, IllegalArgumentException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telvane.operators.vocab import KDD_COLUMNS
 from telvane.schema import FEATURES, UNIFIED_SCHEMA
+from telvane.session import settle
 
-ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]  # fixed values: tried in this order
+#: The bytes 0x80 to 0x9F: control characters in ISO-8859-1, and what Windows-1252 makes of them.
+CONTROLS = bytes(range(0x80, 0xA0)).decode("latin-1")
+EXTRA = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+BROADCAST_FILES = 100_000
 MIN_DELIMITED_ROWS = 11
 MIN_ROWS = 100
 
@@ -40,30 +44,36 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError(f"unsupported file type: {path}")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True, encodings: list[str] = ENCODINGS,
-                   min_rows: int = MIN_DELIMITED_ROWS) -> DataFrame:
-    """Tolerant text read: lines with too many fields are skipped, bad values become null.
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True, min_rows: int = MIN_DELIMITED_ROWS) -> DataFrame:
+    """Tolerant text read of files in several encodings: lines with too many fields are skipped, bad values become null.
 
-    Encodings are tried in order; one that leaves replacement characters or
-    yields fewer than ``min_rows`` rows is passed over.
+    The files are read once, a character for each byte (which delimiters survive), and written out; whether all bytes
+    of a file are valid UTF-8 then decides how its fields are decoded. Other files are Windows-1252 if they use its
+    extra characters, else ISO-8859-1. Fewer than ``min_rows`` rows are an error.
     """
+    names = [f"`{f.name}`" for f in schema.fields]
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("__rest", T.StringType())])
-    for encoding in encodings:
-        raw = spark.read.schema(text).csv(path, sep=sep, header=header, encoding=encoding, mode="PERMISSIVE")
-        rows = raw.filter(F.col("__rest").isNull()).drop("__rest")
-        if encoding.upper() == "UTF-8":
-            broken = F.lit(False)
-            for f in schema.fields:
-                broken = broken | F.coalesce(F.col(f"`{f.name}`").contains("�"), F.lit(False))
-            if not rows.filter(broken).isEmpty():
-                continue
-        try:
-            if rows.limit(min_rows).count() < min_rows:
-                continue
-        except IllegalArgumentException:  # a charset this Spark session does not allow
-            continue
-        return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    raise ValueError(f"no encoding gives a readable table: {path}")
+    raw = spark.read.schema(text).csv(path, sep=sep, header=header, encoding="ISO-8859-1", mode="PERMISSIVE")
+    rows = settle(raw.filter(F.col("__rest").isNull()).drop("__rest").withColumn("__file", F.input_file_name()), "delimited")
+    whole = F.concat_ws("", *names)
+    files = settle(rows.groupBy("__file").agg(
+        F.min(F.is_valid_utf8(F.encode(whole, "ISO-8859-1").cast("string"))).alias("__utf8"), F.max(whole.rlike(f"[{CONTROLS}]")).alias("__extra"), F.count(F.lit(1)).alias("__n")
+    ), "files")
+    size = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
+    if size["rows"] < min_rows:
+        raise ValueError(f"no readable table: {path}")
+    files = files.drop("__n")
+    tagged = rows.join(F.broadcast(files) if size["files"] <= BROADCAST_FILES else files, "__file")
+
+    def decoded(name: str) -> Column:
+        value = F.col(name)
+        return (
+            F.when(F.col("__utf8"), F.encode(value, "ISO-8859-1").cast("string"))
+            .when(F.col("__extra"), F.translate(value, CONTROLS, EXTRA))
+            .otherwise(value)
+        )
+
+    return tagged.select(*[decoded(n).try_cast(f.dataType).alias(f.name) for n, f in zip(names, schema.fields)])
 
 
 def read_telemetry(spark: SparkSession, path: str, sep: str = ";", partitions: int | None = None) -> DataFrame:

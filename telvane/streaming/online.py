@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from telvane.operators.online_profile import rolling_distance
 from telvane.schema import OnlinePreset
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PIECE = 8192  # rows of a device scored at once
 STATE = "seen bigint, buffer array<double>, mean array<double>, std array<double>"
 
 
@@ -68,12 +70,14 @@ class OnlineProfile(StatefulProcessor):
         learn = np.ones(len(pdf), dtype=bool)
         if self.learn == "normal" and "label" in pdf.columns:
             learn = (pdf["label"].isna() | (pdf["label"] == 0)).to_numpy()
-        before = tuple(self.state.get()) if self.state.exists() else None
-        after, z, maha, warm = advance(before, pdf[self.features].to_numpy(dtype=float), learn, self.preset)
-        self.state.update(after)
-        out = pdf[self.columns].copy()
-        out["deviation_zscore_mean"], out["mahalanobis_dist"], out["is_warm"] = z, maha, warm
-        yield out
+        state = tuple(self.state.get()) if self.state.exists() else None
+        # Rows are held once; what is worked out from them, and what leaves, is a piece at a time.
+        for a in range(0, len(pdf), PIECE):
+            out = pdf[self.columns].iloc[a : a + PIECE].copy()
+            x = pdf[self.features].iloc[a : a + PIECE].to_numpy(dtype=float)
+            state, out["deviation_zscore_mean"], out["mahalanobis_dist"], out["is_warm"] = advance(state, x, learn[a : a + PIECE], self.preset)
+            yield out
+        self.state.update(state)
 
     def close(self) -> None:
         pass
@@ -83,9 +87,11 @@ def online_stream(stream: DataFrame, features: list[str], device: str = "device_
                   learn: str = "normal", preset: OnlinePreset = OnlinePreset(), idle_hours: int | None = None) -> DataFrame:
     """Score a stream against per-device state kept in RocksDB; idle devices can expire.
 
-    ``learn`` = "normal" keeps rows labelled as attacks out of the profile; "all" learns every row.
+    ``learn`` = "normal" keeps rows labelled as attacks out of the profile; "all" learns every row. The session must
+    keep its state stores in RocksDB (``ROCKSDB`` as provider class), and one device's rows of a micro-batch fit a task.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if stream.sparkSession.conf.get(PROVIDER) != ROCKSDB:
+        raise RuntimeError(f"set {PROVIDER} to {ROCKSDB}")
     schema = T.StructType([
         *stream.schema.fields, T.StructField("deviation_zscore_mean", T.DoubleType()),
         T.StructField("mahalanobis_dist", T.DoubleType()), T.StructField("is_warm", T.BooleanType()),

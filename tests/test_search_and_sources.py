@@ -109,6 +109,18 @@ def test_delimited_read_falls_back_to_latin(spark, tmp_path):
         readers.read_delimited(spark, str(tmp_path / "short.csv"), schema)
 
 
+def test_files_in_several_encodings_are_read_once(spark, tmp_path):
+    for name, codec in (("a", "utf-8"), ("b", "cp1252"), ("c", "latin-1"), ("d", "ascii")):
+        word = {"cp1252": "caf\xe9 \u20ac\u2019", "ascii": "plain"}.get(codec, "caf\xe9 \xa3")
+        lines = ["n,name"] + [f"{i},{name} {word}" for i in range(5)] + ["x,too,many"]
+        (tmp_path / f"{name}.csv").write_bytes("\n".join(lines).encode(codec))
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType())])
+    got = readers.read_delimited(spark, str(tmp_path / "*.csv"), schema)
+    want = {"a caf\xe9 \xa3", "b caf\xe9 \u20ac\u2019", "c caf\xe9 \xa3", "d plain"}
+    assert {r["name"] for r in got.collect()} == want and got.count() == 20
+    assert str(tmp_path) not in got._jdf.queryExecution().executedPlan().toString()  # the written copy is read
+
+
 def test_every_query_has_a_stable_name():
     import __spark_entry__ as entry
 
