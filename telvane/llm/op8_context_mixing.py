@@ -1,16 +1,22 @@
 """Language-model scores by online logistic context mixing.
 
 Bytes are written in a Huffman code of the training bytes and predicted bit by bit. Several predictors each look up
-their context (the last 2 and 4 bytes, or the bytes of the current word so far, with the code bits so far, hashed to a slot) in tables of bit counts gathered
+their context (the last 2 and 4 bytes, or the bytes of the current word so far, with the code bits so far, hashed to a slot) in a table of bit counts gathered
 from all training texts. Their log odds are mixed with weights that are chosen by a gate (code bits so far, and how
-often the word so far was seen) and updated after every ``STRIDE`` bits along the gradient of the coding cost; an
+often the word so far was seen) and updated after every stride of bits along the gradient of the coding cost; an
 adaptive table, updated likewise, then refines the probability by what actually followed similar ones. The log10 probabilities of all bits of a
 text add up to its score.
 
-Weights and the refining table start from trained values, the mean over all training texts of where they went, and
-adapt from a text's first bit to its last. Many texts advance side by side; a text beyond ``PART`` bytes is read in
-pieces that hand on their state, so a text of any length is scored in bounded memory. The tables of bit counts have
-2 ** ``BITS`` slots each, whatever the size of the training texts, and slots are not checked for their context.
+Weights and the refining table start from fitted values and adapt from a text's first bit to its last, in strides of
+``STRIDE`` bits that grow, with a rate that falls, behind its first ``EARLY`` bits. The fit is one logistic regression
+per gate, by Newton steps on counts of all training bits by gate and log odds (in ``LEVELS`` levels each), each bit
+without its own share in the tables, so that weights suit texts that the tables have not seen. Many texts
+advance side by side; a text beyond ``PART`` bytes is read in pieces that hand on their state, so a text of any length
+is scored in bounded memory.
+
+The table of bit counts grows with the training texts: it has at least ``PER_TOKEN`` / 2 slots for every distinct
+training token, a power of two up to 2 ** ``MOST_BITS``, which bounds what is broadcast (64 MB). Slots are not checked
+for their context; beyond the bound more contexts share a slot.
 
 The base score is a smoothed unigram model: words in lower case and one end token per text. Frequent tokens' counts go
 to all tasks (at most ``FREQUENT`` of them); the rest is joined by a shuffle.
@@ -32,15 +38,17 @@ from pyspark.sql import functions as F
 from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list_array, mix, powers, ship, shipped, text_parts
 
 ORDERS = (2, 4, "word")
-#: Slots of each predictor's table as a power of two; ranges in which tables are merged.
-BITS, RANGES = 21, 64
+#: Slots of the table: for a distinct token, least and most as powers of two; ranges in which tables are merged.
+PER_TOKEN, LEAST_BITS, MOST_BITS, RANGES = 32, 16, 25, 64
 PART, FREQUENT = 1 << 20, 500_000
-#: Bits between updates, texts that advance together, bytes whose features are worked out at once.
-STRIDE, LANES, PIECE = 32, 512, 1 << 17
+#: Bits between a text's first updates, bits after which strides grow, texts that advance together, bytes whose features are worked out at once.
+STRIDE, EARLY, LANES, PIECE = 32, 1 << 13, 512, 1 << 17
 #: Bytes before a byte that its contexts can hold.
 REACH = 32
 #: Log odds are kept in steps of 1/16; gate sets; steps of the refining table.
 STEP, GATES, STEPS = 16.0, 32, 24
+#: Levels of log odds in the fit, and its Newton steps.
+LEVELS, NEWTON = 32, 12
 RATE, REFINE_RATE = 0.02, 0.02
 END = 0x5DEECE66D
 
@@ -49,6 +57,21 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
+#: A slot's counts of either bit up to 15, in four bits each, as columns; how often the slot was seen in four classes.
+FEW = np.stack([np.arange(256) >> 4, np.arange(256) & 15])
+
+
+def classes(n: np.ndarray) -> np.ndarray:
+    return np.where((FEW == 15).any(axis=0), 3, np.minimum(3, np.ceil(np.log2(n + 1) / 2))).astype(np.uint8)
+
+
+SEEN = classes(FEW.sum(axis=0))
+#: The same without one bit 0 or 1, and the change of the log odds by that, by bit and counts.
+SEEN_BEFORE = classes(np.maximum(FEW.sum(axis=0) - 1, 0))
+LESS = np.where((FEW > 0) & (FEW < 15), np.round(STEP * np.log((FEW + 0.4) / np.maximum(FEW - 0.6, 0.4))), 0) * np.array([[1], [-1]])
+LESS = LESS.astype(np.int16).ravel()
+
+
 class Code:
     """A Huffman code of bytes: for each byte its length, and at each depth the inner node and the bit."""
 
@@ -69,8 +92,8 @@ class Code:
                 path.append(up[at])
                 at = up[at][0]
             paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths], np.int64)
-        self.first = np.r_[0, np.cumsum(self.length)][:-1]
+        self.length = np.array([len(p) for p in paths], np.int32)
+        self.first = np.r_[0, np.cumsum(self.length)][:-1].astype(np.int32)
         self.node = np.array([n - 256 for p in paths for n, _ in p], np.uint32) * np.uint32(0x85EBCA6B)
         bit = np.array([b for p in paths for _, b in p], np.uint8)
         depth = np.concatenate([np.arange(len(p)) for p in paths])
@@ -101,19 +124,24 @@ def contexts(data: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context + node) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
+def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return ((context + node) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+
+
+def table_bits(distinct: int) -> int:
+    """The slots of the table, as a power of two, for so many distinct training tokens."""
+    return min(MOST_BITS, max(LEAST_BITS, int(PER_TOKEN * distinct).bit_length()))
 
 
 class Bits:
-    """The code bits of a run of bytes: each one's byte, hashed inner node and control; and where each byte's begin."""
+    """The code bits of a run of bytes: how many each byte has, where they begin, and each one's hashed inner node and control."""
 
     def __init__(self, code: Code, data: np.ndarray):
-        length = code.length[data]
-        self.start = np.r_[0, np.cumsum(length)]
-        self.owner = np.repeat(np.arange(len(data)), length)
-        at = np.arange(self.start[-1]) + (code.first[data] - self.start[:-1])[self.owner]
-        self.node, self.control = code.node[at], code.control[at]
+        self.length = code.length[data]
+        self.start = np.r_[0, np.cumsum(self.length, dtype=np.int64)]
+        at = np.repeat(code.first[data] - self.start[:-1].astype(np.int32), self.length)
+        at += np.arange(len(at), dtype=np.int32)
+        self.node, self.control = code.node.take(at), code.control.take(at)
 
 
 def since_start(offsets: np.ndarray) -> np.ndarray:
@@ -155,49 +183,47 @@ def gather_statistics(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, n long").where("n > 0")
 
 
-def gather_tables(docs: DataFrame, code: Code) -> DataFrame:
-    """(part, log_odds, seen): the merged tables in ranges of slots, as signed bytes."""
+def gather_table(docs: DataFrame, code: Code, size: int) -> DataFrame:
+    """(part, log_odds, few): the merged table of 2 ** size slots in ranges of slots, as bytes; see ``FEW``."""
     shared = ship(docs.sparkSession, code)
-    span = len(ORDERS) * (1 << BITS) // RANGES
+    span = (1 << size) // RANGES
 
     def count(batches):
-        code, counts = shipped(shared), np.zeros((len(ORDERS), 2 << BITS), np.int32)
+        code, counts = shipped(shared), np.zeros(2 << size, np.int32)
         for batch in batches:
             for _, _, data, offsets in text_parts(batch.column("text"), 1 << 20):
                 since = since_start(offsets)
-                found = [[] for _ in ORDERS]
                 for a in range(0, len(data), PIECE):
                     low = max(0, a - REACH)
                     piece, early = data[low : a + PIECE], since[low : a + PIECE]
-                    hashes = [h[a - low :] for h in contexts(piece, early)]
                     bits = Bits(code, piece[a - low :])
-                    for k, h in enumerate(hashes):
-                        found[k].append((slots(h[bits.owner], bits.node) << np.uint32(1)) | (bits.control & 1))
-                for k, at in enumerate(found):
-                    if at:
-                        counts[k] += np.bincount(np.concatenate(at), minlength=2 << BITS)
+                    for h in contexts(piece, early):
+                        at = slots(np.repeat(h[a - low :], bits.length), bits.node, size)
+                        np.add.at(counts, (at << np.uint32(1)) | (bits.control & 1), np.int32(1))
         pairs = counts.reshape(-1, 2)
         used = np.flatnonzero(pairs.any(axis=1))
         for r in range(RANGES):
             own = used[np.searchsorted(used, r * span) : np.searchsorted(used, (r + 1) * span)]
             if len(own):
-                blob = np.concatenate([own - r * span, pairs[own, 0], pairs[own, 1]]).astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([blob], pa.binary())], names=["part", "counts"])
+                blob = np.concatenate([np.diff(own, prepend=r * span), pairs[own, 0], pairs[own, 1]]).astype(np.int32).tobytes()
+                columns = [pa.array([r]), pa.array([len(blob)]), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "size", "counts"])
 
     def merge(key, batches):
         total = np.zeros((span, 2), np.int64)
         for batch in batches:
-            for blob in batch.column("counts"):
-                own, n0, n1 = np.frombuffer(blob.as_py(), np.int32).reshape(3, -1)
+            for length, blob in zip(batch.column("size").to_pylist(), batch.column("counts")):
+                step, n0, n1 = np.frombuffer(pa.decompress(blob.as_py(), length, "zstd"), np.int32).reshape(3, -1)
+                own = np.cumsum(step)
                 total[own, 0] += n0
                 total[own, 1] += n1
         n0, n1 = total.T
         odds = np.clip(np.round(STEP * np.log((n1 + 0.4) / (n0 + 0.4))), -127, 127).astype(np.int8)
-        seen = np.minimum(3, np.ceil(np.log2(n0 + n1 + 1) / 2)).astype(np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([odds.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["part", "log_odds", "seen"])
+        few = (np.minimum(n0, 15) << 4 | np.minimum(n1, 15)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([odds.tobytes()], pa.binary()), pa.array([few.tobytes()], pa.binary())], names=["part", "log_odds", "few"])
 
-    rows = docs.mapInArrow(count, "part long, counts binary")
-    return rows.groupBy("part").applyInArrow(merge_in(merge), "part long, log_odds binary, seen binary")
+    rows = docs.mapInArrow(count, "part long, size long, counts binary")
+    return rows.groupBy("part").applyInArrow(merge_in(merge), "part long, log_odds binary, few binary")
 
 
 def merge_in(merge):
@@ -211,15 +237,25 @@ def merge_in(merge):
 
 @dataclass
 class Model:
-    """Code, log odds and counts of all slots, and the state at a text's start: weights by predictor and gate, refining table."""
+    """Code, log odds of all slots, their small counts, and the state at a text's start.
+
+    The state: weights by predictor and gate, refining table.
+    """
 
     code: Code
     odds: np.ndarray
-    seen: np.ndarray
+    few: np.ndarray
     state: np.ndarray
 
-    def features(self, data: np.ndarray, since: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each bit after the first ``skip`` bytes the log odds and its control in four bytes; and the bits' starts."""
+    @property
+    def size(self) -> int:
+        return len(self.odds).bit_length() - 1
+
+    def features(self, data: np.ndarray, since: np.ndarray, skip: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """For each bit after the first ``skip`` bytes the log odds and its control in four bytes; and the bits' starts.
+
+        ``own``: the bits are in the tables, and each is left out of its own features.
+        """
         out, starts, total = [], [np.zeros(1, np.int64)], 0
         for a in range(skip, len(data), PIECE):
             low = max(0, a - REACH)
@@ -227,9 +263,15 @@ class Model:
             bits = Bits(self.code, data[a : a + PIECE])
             packed = np.empty((len(bits.control), 4), np.int8)
             for k, h in enumerate(hashes):
-                at = slots(h[a - low :][bits.owner], bits.node)
-                packed[:, k] = self.odds[k].take(at)
-            packed[:, 3] = (bits.control | (self.seen.take(at).astype(np.uint8) << np.uint8(1))).view(np.int8)
+                at = slots(np.repeat(h[a - low :], bits.length), bits.node, self.size)
+                odds = self.odds.take(at)
+                if own:
+                    few = self.few.take(at)
+                    less = LESS.take(few + ((bits.control & 1).astype(np.int16) << np.int16(8)))
+                    odds = np.clip(odds + less, -127, 127)
+                packed[:, k] = odds
+            seen = SEEN_BEFORE.take(few) if own else SEEN.take(self.few.take(at))
+            packed[:, 3] = (bits.control | (seen << np.uint8(1))).view(np.int8)
             out.append(packed.view(np.int32)[:, 0])
             starts.append(bits.start[1:] + total)
             total += bits.start[-1]
@@ -242,109 +284,167 @@ def first_state() -> np.ndarray:
     return np.r_[np.repeat([0.2, 0.3, 0.6], GATES), curve]
 
 
-def mix_texts(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of each text's bits, and each text's state after its last bit times its bits, summed.
+def stride_at(t: int) -> int:
+    """Bits until the next update behind a text's first t bits."""
+    return STRIDE * min(32, 1 << max(0, (t // EARLY).bit_length() - 1))
+
 
-    Texts of similar length advance side by side, STRIDE bits at a time, with the weights of the stride's beginning.
+def mix_texts(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each text's bits, and the state after the last bit of the shortest text that has bits.
+
+    Texts of similar length advance side by side, a stride at a time, with the weights of the stride's beginning.
+    ``before``: bits of the text that came in earlier pieces.
     """
-    out, ends = np.zeros(len(first)), np.zeros_like(state)
+    out, end = np.zeros(len(first)), state
     order = np.argsort(-length, kind="stable")[: np.count_nonzero(length)]
     for a in range(0, len(order), LANES):
         lanes = order[a : a + LANES]
-        out[lanes], w = mix_lanes(packed, first[lanes], length[lanes], state)
-        ends += length[lanes] @ w
-    return out, ends
+        out[lanes], end = mix_lanes(packed, first[lanes], length[lanes], state, before)
+    return out, end
 
 
-def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
     n, inputs = len(first), len(ORDERS)
-    weights = [np.tile(state[k * GATES : (k + 1) * GATES].astype(np.float32), n) for k in range(inputs)]
+    weights = [np.tile((state[k * GATES : (k + 1) * GATES] / STEP).astype(np.float32), n) for k in range(inputs)]
     table = np.tile(state[inputs * GATES :].astype(np.float32), n)
-    lane, cell = np.arange(n)[:, None] * GATES, np.arange(n)[:, None] * STEPS
-    total, inside = np.zeros(n), np.arange(STRIDE)
-    for t in range(0, int(length.max(initial=0)), STRIDE):
+    lane, cell = np.arange(n, dtype=np.int32)[:, None] * np.int32(GATES), np.arange(n, dtype=np.int32)[:, None] * np.int32(STEPS)
+    total, t, last = np.zeros(n), 0, int(length.max(initial=0))
+    while t < last:
+        stride = stride_at(before + t)
         m = int(np.searchsorted(-length, -t, "left"))  # lanes with more than t bits
-        place = first[:m, None] + (t + inside)
-        valid = None
-        if length[m - 1] < t + STRIDE:
-            valid = (t + inside) < length[:m, None]
-            place = np.minimum(place, len(packed) - 1)
-        x = packed[place].view(np.int8).reshape(m, STRIDE, 4)
+        full = int(np.searchsorted(-length, -(t + stride), "right"))  # lanes with bits for the whole stride
+        place = first[:m, None] + np.arange(t, t + stride)
+        if full < m:
+            np.minimum(place, len(packed) - 1, out=place)
+        x = packed.take(place).view(np.int8).reshape(m, stride, 4)
         control = x[:, :, 3].view(np.uint8)
-        odds = [x[:, :, k] * np.float32(1 / STEP) for k in range(inputs)]
+        odds = [x[:, :, k].astype(np.float32) for k in range(inputs)]
         bit = (control & 1).astype(np.float32)
-        gate = lane[:m] + (control >> 1)
-        z = weights[0][gate] * odds[0]
+        gate = (control >> 1) + lane[:m]
+        z = weights[0].take(gate)
+        z *= odds[0]
         for k in range(1, inputs):
-            z += weights[k][gate] * odds[k]
+            more = weights[k].take(gate)
+            more *= odds[k]
+            z += more
         np.clip(z, -12, 12, out=z)
-        p = 1 / (1 + np.exp(-z))
-        spot = cell[:m] + np.clip(z * 2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
-        refined = table[spot]
-        off, miss = bit - p, bit - refined
-        chance = np.abs(1 - bit - (np.float32(0.75) * p + np.float32(0.25) * refined))
-        if valid is not None:
-            off, miss, chance = np.where(valid, off, 0), np.where(valid, miss, 0), np.where(valid, chance, 1)
-        total[:m] += np.log(np.multiply.reduce(chance, axis=1, dtype=np.float64))
-        flat = gate.ravel()
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
+        z *= 2
+        z += STEPS / 2
+        np.clip(z, 0, STEPS - 1, out=z)
+        spot = z.astype(np.int32)
+        spot += cell[:m]
+        miss = table.take(spot)
+        np.subtract(bit, miss, out=miss)
+        off = np.subtract(bit, p, out=p)
+        chance = off * np.float32(0.75)
+        chance += np.float32(0.25) * miss
+        np.abs(chance, out=chance)
+        np.subtract(1, chance, out=chance)  # the probability given to the bit that came
+        if full < m:
+            beyond = np.arange(t, t + stride) >= length[full:m, None]
+            off[full:][beyond], miss[full:][beyond], chance[full:][beyond] = 0, 0, 1
+        flat, rate = gate.ravel(), STRIDE / stride
+        for a in range(0, stride, STRIDE):
+            total[:m] += np.log(np.multiply.reduce(chance[:, a : a + STRIDE], axis=1, dtype=np.float64))
         for k in range(inputs):
-            weights[k][: m * GATES] += np.float32(RATE) * np.bincount(flat, (off * odds[k]).ravel(), minlength=m * GATES)
-        table[: m * STEPS] += REFINE_RATE * np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)  # REFINE_RATE * STRIDE < 1
-    return total, np.concatenate([x.reshape(n, -1) for x in (*weights, table)], axis=1).astype(float)
-
-
-def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Natural log probability of each text, the sum of their last states times their bits, and the number of bits.
-
-    Texts come as text_parts gives them: many with about PART bytes together, or one of any length.
-    """
-    n, state, bits = len(offsets) - 1, model.state, 0
-    since, out, ends = since_start(offsets), np.zeros(n), np.zeros_like(model.state)
+            odds[k] *= off
+            weights[k][: m * GATES] += np.float32(RATE * rate / STEP**2) * np.bincount(flat, odds[k].ravel(), minlength=m * GATES)
+        table[: m * STEPS] += REFINE_RATE * rate * np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)  # REFINE_RATE * STRIDE < 1
+        t += stride
+    end = np.concatenate([STEP * w[-GATES:] for w in weights] + [table[-STEPS:]]).astype(float)
+    return total, end
+
+
+def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text: many with about PART bytes together, or one of any length, as text_parts gives them."""
+    n, state, before = len(offsets) - 1, model.state, 0
+    since, out = since_start(offsets), np.zeros(n)
     step = PART if n == 1 else max(1, len(data))
     for a in range(0, len(data), step):
         b, low = min(a + step, len(data)), max(0, a - REACH)
         features, starts = model.features(data[low:b], since[low:b], a - low)
         bounds = starts[offsets.clip(a, b) - a]
-        found, ends = mix_texts(features, bounds[:-1], np.diff(bounds), state)
+        found, end = mix_texts(features, bounds[:-1], np.diff(bounds), state, before)
         out += found
         if n == 1:
-            state = ends / bounds[-1]
-        bits += int(bounds[-1])
-    return out, state * bits if n == 1 else ends, bits
-
-
-def fit_state(docs: DataFrame, model: Model, rounds: int = 2) -> np.ndarray:
-    """The state at a text's start: the mean over all texts, by bits, of where it went, started anew from each round's mean."""
-    for _ in range(rounds):
-        shared = ship(docs.sparkSession, model)
-
-        def run(batches, shared=shared):
-            model = shipped(shared)
-            total, n = np.zeros_like(model.state), 0
-            for batch in batches:
-                for _, _, data, offsets in text_parts(batch.column("text"), PART):
-                    _, ends, bits = score_texts(model, data, offsets)
-                    total, n = total + ends, n + bits
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["state", "n"])
-
-        found = docs.mapInArrow(run, "state array<double>, n long").select(F.posexplode("state").alias("i", "w"), "n")
-        rows = found.groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()  # one row per number of the state
-        state = model.state.copy()
-        for r in rows:
-            if r["n"]:
-                state[r["i"]] = r["w"] / r["n"]
-        model.state = state
-    return model.state
-
-
-def learn(training: DataFrame, byte_counts: np.ndarray) -> Model:
+            state, before = end, before + int(bounds[-1])
+    return out
+
+
+def cells(packed: np.ndarray) -> np.ndarray:
+    """The cell of each bit in the fit: gate, bit, and the level of each predictor's log odds."""
+    v = packed.view(np.uint32) ^ np.uint32(0x808080)
+    at = (v >> np.uint32(24)) & np.uint32(2 * GATES - 1)
+    for k in range(len(ORDERS)):
+        at *= np.uint32(LEVELS)
+        at |= (v >> np.uint32(8 * k + 3)) & np.uint32(LEVELS - 1)
+    return at
+
+
+def fit_gate(cell: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A gate's weights by Newton steps over its cells, and for each refining step the bits and the ones that fell into it."""
+    levels = np.stack([(cell // LEVELS ** (len(ORDERS) - 1 - k)) % LEVELS for k in range(len(ORDERS))])
+    x = ((levels * 8 + 3.5) - 128) / STEP
+    y, w, n = (cell // LEVELS ** len(ORDERS)) & 1, start.copy(), n.astype(float)
+
+    def cost(w):
+        return (n * np.logaddexp(0, (1 - 2 * y) * (w @ x))).sum() + 0.5 * ((w - start) ** 2).sum()
+
+    for _ in range(NEWTON):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        slope = x @ (n * (y - p)) - (w - start)
+        move = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + np.eye(len(w)), slope)
+        size, now = 1.0, cost(w)
+        while size > 1e-3 and cost(w + size * move) > now:
+            size /= 2
+        w = w + size * move
+    step = np.clip(np.clip(w @ x, -12, 12) * 2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
+    return w, np.bincount(step, n, STEPS), np.bincount(step, n * y, STEPS)
+
+
+def fit_state(docs: DataFrame, model: Model) -> np.ndarray:
+    """The state at a text's start, from one pass over all training texts."""
+    shared, start, inputs = ship(docs.sparkSession, model), model.state, len(ORDERS)
+
+    def count(batches):
+        model, total = shipped(shared), np.zeros(2 * GATES * LEVELS ** len(ORDERS), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_parts(batch.column("text"), 1 << 20):
+                since = since_start(offsets)
+                for a in range(0, len(data), PIECE):
+                    low = max(0, a - REACH)
+                    np.add.at(total, cells(model.features(data[low : a + PIECE], since[low : a + PIECE], a - low, own=True)[0]), 1)
+        used = np.flatnonzero(total)
+        for a in range(0, len(used), 1 << 17):
+            part = used[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(part // (2 * LEVELS**inputs)), pa.array(part), pa.array(total[part])], names=["gate", "cell", "n"])
+
+    def fit(key, table):
+        gate = key[0].as_py()
+        w, n, ones = fit_gate(table.column("cell").to_numpy(), table.column("n").to_numpy(), start[gate : inputs * GATES : GATES])
+        return pa.table({"gate": pa.array([gate]), "w": pa.array([w.tolist()]), "n": pa.array([n.tolist()]), "ones": pa.array([ones.tolist()])})
+
+    found = docs.mapInArrow(count, "gate long, cell long, n long").groupBy("gate", "cell").agg(F.sum("n").alias("n"))  # at most 65,536 cells in a gate
+    rows = found.groupBy("gate").applyInArrow(fit, "gate long, w array<double>, n array<double>, ones array<double>").collect()  # at most GATES rows
+    state, n, ones = start.copy(), np.full(STEPS, 2.0), 2 * start[inputs * GATES :]
+    for r in rows:
+        state[r["gate"] : inputs * GATES : GATES] = r["w"]
+        n, ones = n + r["n"], ones + r["ones"]
+    state[inputs * GATES :] = ones / n
+    return state
+
+
+def learn(training: DataFrame, byte_counts: np.ndarray, size: int) -> Model:
     code = Code(byte_counts)
-    odds, seen = np.zeros(len(ORDERS) << BITS, np.int8), np.zeros(len(ORDERS) << BITS, np.int8)
+    odds, few = np.zeros(1 << size, np.int8), np.zeros(1 << size, np.uint8)
     span = len(odds) // RANGES
-    for r in gather_tables(training, code).toLocalIterator():  # RANGES rows of fixed size
+    for r in gather_table(training, code, size).toLocalIterator():  # RANGES rows of fixed size
         odds[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["log_odds"], np.int8)
-        seen[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["seen"], np.int8)
-    model = Model(code, odds.reshape(len(ORDERS), -1), seen.reshape(len(ORDERS), -1)[-1], first_state())
+        few[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["few"], np.uint8)
+    model = Model(code, odds, few, first_state())
     model.state = fit_state(training.select("text"), model)
     return model
 
@@ -383,7 +483,7 @@ def score(docs: DataFrame) -> DataFrame:
         byte_counts[r["key"]] = r["n"]
     keys, counts, least = frequent_tokens(vocabulary)
     below = all_tokens + 0.5 * (distinct + 1)
-    shared = ship(spark, (learn(training, byte_counts), keys, counts))
+    shared = ship(spark, (learn(training, byte_counts, table_bits(distinct)), keys, counts))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -399,7 +499,7 @@ def score(docs: DataFrame) -> DataFrame:
                 part = np.r_[0.0, np.cumsum(np.where(hit, logs[at] if len(keys) else 0.0, 0.0))]
                 known = np.r_[0, np.cumsum(hit)]
                 rare = [hashes[a:b][~hit[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
-                total, _, _ = score_texts(model, data, offsets)
+                total = score_texts(model, data, offsets)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(known[bounds[1:]] - known[bounds[:-1]]),
                     pa.array(part[bounds[1:]] - part[bounds[:-1]]), pa.array(total / np.log(10)), pa.array(np.diff(offsets)), list_array(rare, pa.int64()),
