@@ -1,6 +1,6 @@
 """Language-model scores by online logistic context mixing.
 
-Bytes are written in a Huffman code of the training bytes and predicted bit by bit. Several predictors each look up
+Bytes are written in Huffman codes of the training bytes, one for each byte before, and predicted bit by bit. Several predictors each look up
 their context (the last 2 and 4 bytes, or the bytes of the current word so far, with the code bits so far, hashed to a slot) in a table of bit counts gathered
 from all training texts. Their log odds are mixed with weights that are chosen by a gate (code bits so far, and how
 often the word so far was seen) and updated after every stride of bits along the gradient of the coding cost; an
@@ -15,7 +15,7 @@ advance side by side; a text beyond ``PART`` bytes is read in pieces that hand o
 is scored in bounded memory.
 
 The table of bit counts grows with the training texts: it has at least ``PER_TOKEN`` / 2 slots for every distinct
-training token, a power of two up to 2 ** ``MOST_BITS``, which bounds what is broadcast (64 MB). Slots are not checked
+training token, a power of two up to 2 ** ``MOST_BITS``, which bounds what is broadcast (32 MB). Slots are not checked
 for their context; beyond the bound more contexts share a slot.
 
 The base score is a smoothed unigram model: words in lower case and one end token per text. Frequent tokens' counts go
@@ -39,7 +39,7 @@ from telvane.llm.common import BYTE, SPACE, Scratch, Words, inverse_powers, list
 
 ORDERS = (2, 4, "word")
 #: Slots of the table: for a distinct token, least and most as powers of two; ranges in which tables are merged.
-PER_TOKEN, LEAST_BITS, MOST_BITS, RANGES = 32, 16, 25, 64
+PER_TOKEN, LEAST_BITS, MOST_BITS, RANGES = 32, 16, 23, 64
 PART, FREQUENT = 1 << 20, 500_000
 #: Bits between a text's first updates, bits after which strides grow, texts that advance together, bytes whose features are worked out at once.
 STRIDE, EARLY, LANES, PIECE = 32, 1 << 13, 512, 1 << 17
@@ -73,31 +73,40 @@ LESS = LESS.astype(np.int16).ravel()
 
 
 class Code:
-    """A Huffman code of bytes: for each byte its length, and at each depth the inner node and the bit."""
+    """Huffman codes of bytes, one for each byte before: the length by (byte before, byte), and at each depth the inner node and the bit."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(n) + 1, b) for b, n in enumerate(counts)]
-        heapq.heapify(heap)
-        up: dict[int, tuple[int, int]] = {}
-        node = 256
-        while len(heap) > 1:
-            (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
-            up[a], up[b] = (node, 0), (node, 1)
-            heapq.heappush(heap, (n + m, node))
-            node += 1
-        paths = []
-        for b in range(256):
-            path, at = [], b
-            while at in up:
-                path.append(up[at])
-                at = up[at][0]
-            paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths], np.int32)
+        length, node, bit, depth = [], [], [], []
+        for before, row in enumerate(counts.reshape(256, 256).tolist()):
+            heap = [(32 * n + 1, b) for b, n in enumerate(row)]
+            heapq.heapify(heap)
+            up: dict[int, tuple[int, int]] = {}
+            at = 256
+            while len(heap) > 1:
+                (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
+                up[a], up[b] = (at, 0), (at, 1)
+                heapq.heappush(heap, (n + m, at))
+                at += 1
+            for b in range(256):
+                path, at = [], b
+                while at in up:
+                    path.append(up[at])
+                    at = up[at][0]
+                length.append(len(path))
+                node += [256 * before + n - 256 for n, _ in reversed(path)]
+                bit += [x for _, x in reversed(path)]
+                depth += range(len(path))
+        self.length = np.array(length, np.int32)
         self.first = np.r_[0, np.cumsum(self.length)][:-1].astype(np.int32)
-        self.node = np.array([n - 256 for p in paths for n, _ in p], np.uint32) * np.uint32(0x85EBCA6B)
-        bit = np.array([b for p in paths for _, b in p], np.uint8)
-        depth = np.concatenate([np.arange(len(p)) for p in paths])
-        self.control = (np.minimum(depth, 7) * 8).astype(np.uint8) | bit  # depth, two bits for the gate, the bit
+        self.node = np.array(node, np.uint32) * np.uint32(0x85EBCA6B)
+        self.control = (np.minimum(depth, 7) * 8).astype(np.uint8) | np.array(bit, np.uint8)  # depth, two bits for the gate, the bit
+
+
+def pairs(data: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """Each byte and the one before it in its text (0 at its start) as one number."""
+    out = data.astype(np.int32)
+    out[1:] += np.where(since[1:] > 0, data[:-1].astype(np.int32) << 8, 0)
+    return out
 
 
 def contexts(data: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
@@ -137,6 +146,7 @@ class Bits:
     """The code bits of a run of bytes: how many each byte has, where they begin, and each one's hashed inner node and control."""
 
     def __init__(self, code: Code, data: np.ndarray):
+        """``data``: numbers of ``pairs``."""
         self.length = code.length[data]
         self.start = np.r_[0, np.cumsum(self.length, dtype=np.int64)]
         at = np.repeat(code.first[data] - self.start[:-1].astype(np.int32), self.length)
@@ -150,10 +160,10 @@ def since_start(offsets: np.ndarray) -> np.ndarray:
 
 
 def gather_statistics(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) partial counts of a task: tokens by hash (kind 0) and bytes (kind 1)."""
+    """(kind, key, n) partial counts of a task: tokens by hash (kind 0) and pairs of neighbouring bytes (kind 1)."""
 
     def run(batches):
-        keys, counts, seen, ends = [], [], np.zeros(256, np.int64), 0
+        keys, counts, seen, ends = [], [], np.zeros(1 << 16, np.int64), 0
 
         def merge():
             k, c = np.concatenate(keys), np.concatenate(counts)
@@ -165,7 +175,7 @@ def gather_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ends += batch.num_rows
             for _, _, data, offsets in text_parts(batch.column("text")):
-                seen += np.bincount(data, minlength=256)
+                seen += np.bincount(pairs(data, since_start(offsets)), minlength=1 << 16)
                 k, c = np.unique(Words(data, offsets).hash, return_counts=True)
                 keys.append(k)
                 counts.append(c)
@@ -178,7 +188,7 @@ def gather_statistics(docs: DataFrame) -> DataFrame:
         for a in range(0, len(k), 1 << 17):
             part = slice(a, a + (1 << 17))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k[part]), np.int32)), pa.array(k[part].view(np.int64)), pa.array(c[part].astype(np.int64))], names=["kind", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(256, np.int32)), pa.array(np.arange(256)), pa.array(seen)], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(1 << 16, np.int32)), pa.array(np.arange(1 << 16)), pa.array(seen)], names=["kind", "key", "n"])
 
     return docs.mapInArrow(run, "kind int, key long, n long").where("n > 0")
 
@@ -196,16 +206,16 @@ def gather_table(docs: DataFrame, code: Code, size: int) -> DataFrame:
                 for a in range(0, len(data), PIECE):
                     low = max(0, a - REACH)
                     piece, early = data[low : a + PIECE], since[low : a + PIECE]
-                    bits = Bits(code, piece[a - low :])
+                    bits = Bits(code, pairs(piece, early)[a - low :])
                     for h in contexts(piece, early):
                         at = slots(np.repeat(h[a - low :], bits.length), bits.node, size)
                         np.add.at(counts, (at << np.uint32(1)) | (bits.control & 1), np.int32(1))
-        pairs = counts.reshape(-1, 2)
-        used = np.flatnonzero(pairs.any(axis=1))
+        both = counts.reshape(-1, 2)
+        used = np.flatnonzero(both.any(axis=1))
         for r in range(RANGES):
             own = used[np.searchsorted(used, r * span) : np.searchsorted(used, (r + 1) * span)]
             if len(own):
-                blob = np.concatenate([np.diff(own, prepend=r * span), pairs[own, 0], pairs[own, 1]]).astype(np.int32).tobytes()
+                blob = np.concatenate([np.diff(own, prepend=r * span), both[own, 0], both[own, 1]]).astype(np.int32).tobytes()
                 columns = [pa.array([r]), pa.array([len(blob)]), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "size", "counts"])
 
@@ -251,26 +261,29 @@ class Model:
     def size(self) -> int:
         return len(self.odds).bit_length() - 1
 
-    def features(self, data: np.ndarray, since: np.ndarray, skip: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def without_own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds and classes of a slot without one bit, by slot and that bit."""
+        few = self.few.astype(np.int16)
+        odds = [np.clip(self.odds + LESS[few + 256 * bit], -127, 127).astype(np.int8) for bit in (0, 1)]
+        return np.stack(odds, 1).ravel(), np.repeat(SEEN_BEFORE[few], 2)
+
+    def features(self, data: np.ndarray, since: np.ndarray, skip: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each bit after the first ``skip`` bytes the log odds and its control in four bytes; and the bits' starts.
 
-        ``own``: the bits are in the tables, and each is left out of its own features.
+        ``own``: from ``without_own``, if the bits are in the table and each is to be left out of its own features.
         """
         out, starts, total = [], [np.zeros(1, np.int64)], 0
         for a in range(skip, len(data), PIECE):
             low = max(0, a - REACH)
-            hashes = contexts(data[low : a + PIECE], since[low : a + PIECE])
-            bits = Bits(self.code, data[a : a + PIECE])
+            piece, early = data[low : a + PIECE], since[low : a + PIECE]
+            bits = Bits(self.code, pairs(piece, early)[a - low :])
             packed = np.empty((len(bits.control), 4), np.int8)
-            for k, h in enumerate(hashes):
+            for k, h in enumerate(contexts(piece, early)):
                 at = slots(np.repeat(h[a - low :], bits.length), bits.node, self.size)
-                odds = self.odds.take(at)
                 if own:
-                    few = self.few.take(at)
-                    less = LESS.take(few + ((bits.control & 1).astype(np.int16) << np.int16(8)))
-                    odds = np.clip(odds + less, -127, 127)
-                packed[:, k] = odds
-            seen = SEEN_BEFORE.take(few) if own else SEEN.take(self.few.take(at))
+                    at = (at << np.uint32(1)) | (bits.control & 1)
+                packed[:, k] = own[0].take(at) if own else self.odds.take(at)
+            seen = own[1].take(at) if own else SEEN.take(self.few.take(at))
             packed[:, 3] = (bits.control | (seen << np.uint8(1))).view(np.int8)
             out.append(packed.view(np.int32)[:, 0])
             starts.append(bits.start[1:] + total)
@@ -411,12 +424,13 @@ def fit_state(docs: DataFrame, model: Model) -> np.ndarray:
 
     def count(batches):
         model, total = shipped(shared), np.zeros(2 * GATES * LEVELS ** len(ORDERS), np.int64)
+        own = model.without_own()
         for batch in batches:
             for _, _, data, offsets in text_parts(batch.column("text"), 1 << 20):
                 since = since_start(offsets)
                 for a in range(0, len(data), PIECE):
                     low = max(0, a - REACH)
-                    np.add.at(total, cells(model.features(data[low : a + PIECE], since[low : a + PIECE], a - low, own=True)[0]), 1)
+                    np.add.at(total, cells(model.features(data[low : a + PIECE], since[low : a + PIECE], a - low, own)[0]), 1)
         used = np.flatnonzero(total)
         for a in range(0, len(used), 1 << 17):
             part = used[a : a + (1 << 17)]
@@ -437,8 +451,8 @@ def fit_state(docs: DataFrame, model: Model) -> np.ndarray:
     return state
 
 
-def learn(training: DataFrame, byte_counts: np.ndarray, size: int) -> Model:
-    code = Code(byte_counts)
+def learn(training: DataFrame, pair_counts: np.ndarray, size: int) -> Model:
+    code = Code(pair_counts)
     odds, few = np.zeros(1 << size, np.int8), np.zeros(1 << size, np.uint8)
     span = len(odds) // RANGES
     for r in gather_table(training, code, size).toLocalIterator():  # RANGES rows of fixed size
@@ -478,12 +492,12 @@ def score(docs: DataFrame) -> DataFrame:
     statistics = scratch.settle(gather_statistics(training.select("text")).groupBy("kind", "key").agg(F.sum("n").alias("n")), "statistics")
     vocabulary = statistics.where("kind = 0").select("key", "n")
     all_tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    byte_counts = np.zeros(256, np.int64)
-    for r in statistics.where("kind = 1").collect():
-        byte_counts[r["key"]] = r["n"]
+    pair_counts = np.zeros(1 << 16, np.int64)
+    for r in statistics.where("kind = 1").collect():  # at most 65,536 rows
+        pair_counts[r["key"]] = r["n"]
     keys, counts, least = frequent_tokens(vocabulary)
     below = all_tokens + 0.5 * (distinct + 1)
-    shared = ship(spark, (learn(training, byte_counts, table_bits(distinct)), keys, counts))
+    shared = ship(spark, (learn(training, pair_counts, table_bits(distinct)), keys, counts))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
