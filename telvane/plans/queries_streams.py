@@ -11,7 +11,8 @@ from telvane.plans import views
 from telvane.plans.catalog import query, rounded
 from telvane.plans.queries_alerts import _CX
 from telvane.plans.queries_profile import _A, _B, _EVENT_PAIR, _EWMA, _M, _ONLINE, _OZ, _ROLLED, _SCORED, _Z
-from telvane.streaming import alerts, online
+from telvane.session import scratch_path
+from telvane.streaming import alerts, calibration, online
 
 
 def _event_stream(spark, sf, per_trigger=None):
@@ -98,7 +99,6 @@ def _(spark, sf):
 def _(spark, sf):
     """A detector is trained by the main pipeline, saved, loaded, and raises alerts on arriving raw flow rows."""
     from telvane.plans import flows
-    from telvane.session import scratch_path
 
     flow, path = views.flow_events(spark, sf), scratch_path(spark, "detector")
     flow.write.parquet(f"{path}/arriving")
@@ -106,3 +106,34 @@ def _(spark, sf):
     arriving = alerts.read_files(spark, f"{path}/arriving", flow.schema)
     out = alerts.run_to_table(flows.detect_stream(flows.Detector.load(spark, f"{path}/bundle"), arriving))
     return out.select("alert_id", "device_id", "fused_score", "threshold_used", "alert_level", "attack_type", "context.device_type")
+
+
+_PUBLISHED = f"""hs AS (SELECT CAST(floor(least(1e0, greatest(0e0, {Q.fused()})) * 1000) AS INTEGER) AS bin, label FROM sc),
+hg AS (SELECT b.bin, count(*) FILTER (WHERE label <> 1) AS normal, count(*) FILTER (WHERE label = 1) AS attacks
+  FROM (SELECT unnest(range(1001)) AS bin) b LEFT JOIN hs ON hs.bin = b.bin GROUP BY b.bin),
+hc AS (SELECT bin, sum(normal) OVER (ORDER BY bin) AS below, sum(normal) OVER () AS n0, sum(attacks) OVER () AS n1,
+  sum(attacks) OVER (ORDER BY bin DESC) AS tp, sum(normal) OVER (ORDER BY bin DESC) AS fp FROM hg),
+ht AS (SELECT least(0.9e0, greatest(0.1e0, (min(bin) + 1) / 1000e0)) AS tau FROM hc WHERE below >= ceil(n0 * 0.95e0)),
+hb AS (SELECT bin / 1000e0 AS best_threshold, 2e0 * tp / (n1 + tp + fp) AS best_f1, CAST(n0 + n1 AS BIGINT) AS n, CAST(n0 AS BIGINT) AS n_normal
+  FROM hc WHERE bin BETWEEN 1 AND 999 ORDER BY best_f1 DESC, bin LIMIT 1)"""
+
+
+def _published(spark, sf):
+    path = scratch_path(spark, "thresholds")
+    calibration.publish_thresholds(_scored_stream(spark, sf), f"{path}/versions", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/versions"
+
+
+@query("x07_stream_calibration", Q.with_(Q.SCORES, _PUBLISHED, body="SELECT round(tau, 8) AS tau, round(best_threshold, 8) AS best_threshold, round(best_f1, 8) AS best_f1, n, n_normal FROM ht, hb"))
+def _(spark, sf):
+    """The last version published by a stream of labelled scores."""
+    return rounded(calibration.latest(spark, _published(spark, sf)).drop("version"), 8)
+
+
+@query("x08_alerts_with_published_tau", Q.with_(Q.SCORES, _PUBLISHED, _CX.replace(Q.tau("load", "risk", "hour", "0.5e0"), Q.tau("load", "risk", "hour", "(SELECT tau FROM ht)")), body="""
+SELECT 'ALERT-' || substr(md5('alert:' || row_id), 1, 12) AS alert_id, device_id, level AS alert_level, attack_cat AS attack_type FROM cl WHERE level <> 'NONE'"""))
+def _(spark, sf):
+    """Alerts of an arriving stream by the threshold that another stream has published."""
+    versions, path = _published(spark, sf), scratch_path(spark, "published")
+    calibration.alert_with_published(_scored_stream(spark, sf), versions, path, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/alerts").select("alert_id", "device_id", "alert_level", "attack_type")
