@@ -174,3 +174,46 @@ def test_sigmoids_of_all_folds_at_once(spark):
         t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         q = 1 / (1 + np.exp(-(a * s + b)))
         assert abs(((q - t) * s).sum()) < 1e-5 and abs((q - t).sum()) < 1e-5
+
+
+def test_passes_do_not_grow_with_the_number_of_trees(spark, monkeypatch):
+    """The upper parts of all trees share the passes over the rows; trees of one model do not depend on the others."""
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i}", int(rng.random() < 0.3), *map(float, rng.normal(size=3))) for i in range(600)]
+    table = T.training_rows(spark.createDataFrame(rows, "row_id string, label int, a double, b double, c double"), ["a", "b", "c"])
+    passes, counted = [], T._histograms
+    monkeypatch.setattr(T, "_histograms", lambda *a: passes.append(1) or counted(*a))
+    grown = {}
+    for trees in (2, 9):
+        passes.clear()
+        grown[trees] = {r["tree"]: r for r in T.fit(table, 3, T.Growth(trees, limit=150, wave=2)).collect()}
+        assert len(grown[trees]) == trees and len(passes) <= 12
+    assert all(grown[9][t] == grown[2][t] for t in grown[2])
+
+
+def test_best_cuts_pass_over_no_better_one():
+    """Cuts left out between entries of one class never change the best one, its quality or which of equal ones is first."""
+    rng = np.random.default_rng(4)
+    for n, ranks in ((2, 2), (9, 4), (40, 12), (40, 400)):
+        for _ in range(50):
+            rank, y, c, node = rng.integers(0, ranks, n), rng.integers(0, 2, n), rng.integers(1, 5, n), np.sort(rng.integers(0, 3, n))
+            total = np.stack([np.bincount(node, c * (y == k), 3) for k in (0, 1)], 1).astype(np.int64)
+            total[(total == 0).any(1)] = 0
+            open_ = (total > 0).all(1)[node]
+            rank, y, c, node = rank[open_], y[open_], c[open_], node[open_]
+            if not len(node):
+                continue
+            weights = np.array([[0.7, 1.9]])
+            sums = total.sum(1) + (total[:, 1] << 32)
+            found = T.best_cuts((node << (9 + T.LOW)) | (rank << T.LOW) | (c << 1) | y, 9, total, np.cumsum(sums) - sums, weights)
+            want = []
+            for k in np.unique(node).tolist():
+                r, v, m = rank[node == k], y[node == k], c[node == k]
+                cuts = []
+                for a, b in zip(np.unique(r)[:-1].tolist(), np.unique(r)[1:].tolist()):
+                    sides = [np.array([m[s & (v == i)].sum() for i in (0, 1)]) * weights[0] for s in (r <= a, r > a)]
+                    cuts.append((sum(float(T.quality(*s)) for s in sides), -a, b))
+                if cuts:
+                    score, a, b = max(cuts)
+                    want.append((k, score, -a, b))
+            assert (list(zip(*(v.tolist() for v in found))) if found else []) == want
