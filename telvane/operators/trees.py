@@ -518,7 +518,8 @@ def _by_levels(rows: DataFrame, width: int, growth: Growth, models: list[int]) -
     edges = _bin_edges(rows, width, growth.bins)
     done = []
     jobs = [(m, t) for m in models for t in range(growth.trees)]
-    rows = settle(rows.repartition(3 * spark.sparkContext.defaultParallelism), "training")  # even tasks: each row costs much
+    if len(jobs) >= growth.wave:  # each row costs much: even tasks are worth a shuffle
+        rows = settle(rows.repartition(3 * spark.sparkContext.defaultParallelism), "training")
     tops = [Top(m, t, growth) for m, t in jobs]
     _upper_parts(rows, tops, edges, growth, models)
     for start in range(0, len(jobs), growth.wave):
