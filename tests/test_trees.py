@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,38 @@ def test_best_cuts_pass_over_no_better_one():
                     score, a, b = max(cuts)
                     want.append((k, score, -a, b))
             assert (list(zip(*(v.tolist() for v in found))) if found else []) == want
+
+
+def test_scoring_by_many_trees_is_dealt_out(spark, table):
+    """A table in one part is scored by all cores, with the same scores; few trees are not worth a shuffle."""
+    _, df = table
+    one = df.coalesce(1)
+    for trees, spread in ((T.MANY, True), (2, False)):
+        fitted = forest.Forest(forest.fit_plain(df, NAMES, trees, 3), NAMES)
+        scored = fitted.score(one)
+        assert (scored.rdd.getNumPartitions() > 1) == spread
+        raw = {r["row_id"]: r["p"] for r in one.withColumn("p", fitted.model.probability()).collect()}
+        assert {r["row_id"]: r["p_rf"] for r in scored.collect()} == raw
+
+
+def test_small_batches_are_scored_together():
+    batches = [(pd.Series([True] * n), pd.Series(np.arange(n) + 10.0 * n)) for n in (3, 4, 1, 2)]
+    got = list(T.joined(iter(batches), 5))
+    assert [len(b[0]) for b in got] == [7, 3]
+    assert [v for b in got for v in b[1]] == [v for b in batches for v in b[1]]
+
+
+def test_subtrees_hang_below_their_nodes():
+    """Three subtrees, one of them a leaf, given in any order."""
+    schema = pa.schema([("node", pa.int64()), ("feature", pa.list_(pa.int16())), ("cut", pa.list_(pa.float64())), ("child", pa.list_(pa.int32())), ("gain", pa.list_(pa.float64()))])
+    rows = [
+        {"node": 4, "feature": [2, -1, -1], "cut": [0.5, 0.1, 0.2], "child": [1, 0, 0], "gain": [0.0, 0.0, 3.0]},
+        {"node": -1, "feature": [0, 1, -1, -1, -1], "cut": [9.0, 8.0, 0.0, 0.0, 0.0], "child": [1, 3, 0, 0, 0], "gain": [1.0, 2.0, 0.0]},
+        {"node": 2, "feature": [-1], "cut": [0.7], "child": [0], "gain": [0.0, 0.0, 0.0]},
+        {"node": 3, "feature": [1, 0, -1, -1, -1], "cut": [4.0, 3.0, 0.3, 0.4, 0.6], "child": [1, 3, 0, 0, 0], "gain": [5.0, 6.0, 0.0]},
+    ]
+    feature, cut, child, gain = T.hung(pa.Table.from_pylist(rows, schema))
+    assert feature.tolist() == [0, 1, -1, 1, 2, 0, -1, -1, -1, -1, -1]
+    assert cut.tolist() == [9.0, 8.0, 0.7, 4.0, 0.5, 3.0, 0.3, 0.4, 0.6, 0.1, 0.2]
+    assert child.tolist() == [1, 3, 0, 5, 9, 7, 0, 0, 0, 0, 0]
+    assert gain.tolist() == [6.0, 8.0, 3.0]
