@@ -42,7 +42,9 @@ def thresholds(histogram: DataFrame, bins: int = 1000, target_fpr: float = 0.05,
     grid = spark.range(bins + 1).select(F.col("id").cast("int").alias("bin"))
     every = Window.partitionBy()  # bins + 1 rows
     upto, on = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
-    rows = grid.join(histogram, "bin", "left").select("bin", F.coalesce("normal", F.lit(0)).alias("normal"), F.coalesce("attacks", F.lit(0)).alias("attacks"))
+    # At most bins + 1 rows. A broadcast reads every partition of a stream's state, which must all be committed; a sorted
+    # join leaves out those in which the grid has no bin.
+    rows = grid.join(F.broadcast(histogram), "bin", "left").select("bin", F.coalesce("normal", F.lit(0)).alias("normal"), F.coalesce("attacks", F.lit(0)).alias("attacks"))
     rows = rows.select(
         "bin", F.sum("normal").over(upto).alias("below"), F.sum("normal").over(every).alias("n0"), F.sum("attacks").over(every).alias("n1"),
         F.sum("attacks").over(on).alias("tp"), F.sum("normal").over(on).alias("fp"),

@@ -76,3 +76,20 @@ def test_alerts_use_the_noted_version(spark, tmp_path):
     cal.alert_with_published(stream, f"{path}/versions", f"{path}/new", f"{path}/c3", make=one).awaitTermination()
     found = {(r["row_id"], r["threshold_used"], r["tau_version"]) for r in spark.read.parquet(f"{path}/new/alerts").collect()}
     assert found == {("a", 0.4, 4), ("b", 0.4, 4)}
+
+
+def test_every_partition_of_the_state_is_read(spark, tmp_path):
+    """Most of 40 partitions hold none of eleven bins; their state is committed all the same, also if the stream is large."""
+    spark.createDataFrame([("a", 0.1, 0), ("b", 0.95, 1), ("c", 0.2, 0)], SCHEMA).write.parquet(f"{tmp_path}/in")
+    large = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in large}
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        cal.publish_thresholds(stream, f"{tmp_path}/versions", f"{tmp_path}/checkpoint", bins=10).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    newest = cal.latest(spark, f"{tmp_path}/versions").first()
+    assert [newest[c] for c in ("version", "n", "n_normal", "best_threshold", "best_f1")] == [0, 3, 2, 0.3, 1.0]
