@@ -126,7 +126,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
     out = np.zeros(1 << COUNT_BITS, np.uint8)
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part long, counts binary")
-    for r in parts.groupBy("part").applyInArrow(merge, "part long, steps binary").toLocalIterator():
+    for r in parts.groupBy("part").applyInArrow(merge, "part long, steps binary").collect():  # MAP_RANGES rows, 4 MB together
         out[r["part"] * span : (r["part"] + 1) * span] = np.frombuffer(r["steps"], np.uint8)
     return out
 
@@ -230,7 +230,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 
     places = hashes.select(place.alias("place")).distinct().withColumn("part", F.floor(F.col("place") / span).cast("long"))
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in places.groupBy("part").applyInArrow(run, "part long, bits binary").toLocalIterator():
+    for r in places.groupBy("part").applyInArrow(run, "part long, bits binary").collect():  # MAP_RANGES rows, 16 MB together
         out[r["part"] * span // 8 : (r["part"] + 1) * span // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -320,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, lim
 
     hubs = parts.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
     routes = parts.join(hubs, "sig").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(routes, scratch).withColumnRenamed("label", "grp")  # the smallest node of the group
+    groups = components(routes, scratch, parts.count()).withColumnRenamed("label", "grp")  # the smallest node of the group
 
     named = parts.select("node", "cid").distinct().join(groups, "node")
     members = scratch.settle(classes.join(named, "cid"), "members")
@@ -365,5 +365,5 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows that share a doc_id go together: if one of them has a smaller partner, all do.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    away = scratch.settle(found.where("doc_id != component_id").select(F.col("doc_id").alias("__away")).distinct(), "away")
+    away = scratch.settle(found.where("doc_id != component_id").select(F.col("doc_id").alias("__away")).distinct(), "away", most=docs.count())
     return docs.join(checked_broadcast(away), docs["doc_id"].cast("long") == F.col("__away"), "left_anti")

@@ -26,6 +26,8 @@ from telvane.llm import (
     op9_temperature_mixing as op9,
     op10_prefix_shards as op10,
 )
+from telvane.llm.common import LEAST_FILES, Scratch
+from telvane.llm.graph import components
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string, words string"
@@ -90,6 +92,20 @@ def test_linked_sets_share_a_part():
     assert linked > 500
 
 
+def test_components_of_few_edges_are_few_files(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(400).selectExpr("id AS a", "id - id % 5 AS b")
+        found = components(edges, Scratch(spark, "few"))
+        assert {(r["node"], r["label"]) for r in found.collect()} == {(i, i - i % 5) for i in range(400)}
+        assert len(found.inputFiles()) <= LEAST_FILES
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_repeated_bytes(spark):
     common = sentence(2, 200)
     texts = [common + sentence(3, 40), sentence(4, 30) + common[100:900], "ab" * 700, None, "", "x" * 399, "é" * 300, common[:399], sentence(9, 200), sentence(9, 200)]
