@@ -14,6 +14,9 @@ row per document with the smallest doc_id reachable by links. Nothing is lost an
      (by a fixed table of hashed counts, then by hash). A set of n shingles can only link to another if the two share
      one of their first n - ceil(n p/q) + 1 shingles in this order. Passages that many documents share come last and
      route nobody. Any order is exact; the counts only keep groups small.
+   Sets that share a routing hash with at most ``BUCKET`` - 1 others meet only if their sizes and parities (for each of
+   some bits, whether an odd number of shingles fall on it) leave room for a link: parities that differ in d bits prove
+   d differing shingles. So groups do not grow together through rare phrases that unrelated texts happen to share.
 2. Each group becomes a signature tree: its leaves are sets, ordered by their smallest hash, and each node holds the
    OR of token bitmaps, the size range and the largest count of bitmap collisions below it. The tree is traversed
    against itself. A pair of nodes is left out if its sizes cannot link, if the largest possible overlap (common bits
@@ -46,6 +49,8 @@ from telvane.llm.graph import components
 MAP_BITS, MAP_RANGES = 1 << 27, 256
 #: The table of shingle counts has 2**COUNT_BITS slots (4 MB); the slot is a shingle's upper bits.
 COUNT_BITS = 22
+#: Most sets that share a routing hash and are compared pair by pair by their parities; parities have at most 2**PARITY_BITS bits.
+BUCKET, PARITY_BITS = 16, 16
 #: Average shingles of a part from which sets are routed by parts.
 PART_SHINGLES = 8
 
@@ -91,6 +96,18 @@ def part_signatures(s: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each of as many bits as suit the set's size whether an odd number of its shingles fall on it."""
+    bits = 1 << min(PARITY_BITS, max(6, (max(len(s) // 2, min(len(s), 1024)) - 1).bit_length()))
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    """A lower bound on the shingles that only one of two sets holds, from their parities; the longer one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """How common the shingles of each hash range are, as steps of a fourth power of two; of fixed size."""
     span = (1 << COUNT_BITS) // MAP_RANGES
@@ -195,7 +212,7 @@ def by_parts(p: int, q: int) -> bool:
 
 
 def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """doc_id, n_shingles, cid (class of equal sets, null without a set) and the routing hashes of each document."""
+    """doc_id, n_shingles, cid (class of equal sets, null without a set), the routing hashes and the parity of each document."""
     parts = by_parts(p, q)
     shared = None if parts else docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
@@ -212,10 +229,11 @@ def profile(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
                     list_array([routes(s) for s in sets], pa.int64()),
-                ], names=["doc_id", "n_shingles", "cid", "sigs"])
+                    pa.array([parity(s) if len(s) else None for s in sets], pa.binary()),
+                ], names=["doc_id", "n_shingles", "cid", "sigs", "parity"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, cid long, sigs array<long>")
+    return narrow.mapInArrow(run, "doc_id long, n_shingles long, cid long, sigs array<long>, parity binary")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -263,6 +281,42 @@ def windows(parts: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("sig", "window").alias("sig"), "cid", F.xxhash64("cid", "window").alias("node"))
 
 
+def may_link(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b: nodes; x, y: their classes) that their sizes and parities do not rule out.
+
+    Linked sets of sizes m and n differ in at most (m + n)(q - p)/(p + q) shingles.
+    """
+    def run(batches):
+        for batch in batches:
+            most = (batch.column("m").to_numpy() + batch.column("n").to_numpy()) * (q - p)
+            sides = zip(batch.column("s").to_pylist(), batch.column("t").to_pylist())
+            keep = [(p + q) * fewest_differences(s, t) <= most[i] for i, (s, t) in enumerate(sides)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sizes = classes.select(F.col("cid").alias("x"), F.col("n").alias("m"))
+    pairs = pairs.join(sizes, "x").join(sizes.withColumnsRenamed({"x": "y", "m": "n"}), "y").where(f"{q} * m >= {p} * n and {q} * n >= {p} * m")
+    maps = classes.select(F.col("cid").alias("x"), F.col("parity").alias("s"))
+    both = pairs.join(maps, "x").join(maps.withColumnsRenamed({"x": "y", "s": "t"}), "y")
+    return both.select("a", "b", "m", "n", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def candidate_edges(parts: DataFrame, classes: DataFrame, scratch: Scratch, p: int, q: int) -> DataFrame:
+    """(a, b): edges between nodes, such that nodes that share a routing hash and may link are connected.
+
+    Up to BUCKET nodes of a hash are compared pair by pair, so that sets which merely share a rare phrase do not meet.
+    More nodes hang on the smallest one.
+    """
+    hubs = parts.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("held"))
+    routed = parts.join(hubs.where("hub != last").drop("last"), "sig")
+    stars = routed.where(F.col("held") > BUCKET).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    sets = routed.where(F.col("held") <= BUCKET).groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("node", "cid"))).alias("nodes"))
+    one = sets.select("nodes").distinct().select(F.posexplode("nodes").alias("at", "one"), "nodes")  # near copies share many hashes
+    two = one.select("one", F.explode(F.slice("nodes", F.col("at") + 2, F.lit(BUCKET))).alias("two"))
+    pairs = two.select(F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.cid").alias("x"), F.col("two.cid").alias("y")).distinct()
+    pairs = scratch.settle(pairs, "pairs")
+    return stars.unionAll(may_link(pairs, classes, p, q))
+
+
 def forest_links(rows: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """Links found by the trees of each unit; rows: unit, grp, cid, mark, text."""
 
@@ -311,24 +365,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, lim
     # routing hashes of several rows; a fixed bitmap of them spares most of the others the second shuffle
     shared = profiled.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     shared = scratch.settle(shared, "shared")
-    parts = marked_routes(profiled, bitmap(shared), p, q).join(shared, "sig", "left_semi")
+    parts = marked_routes(profiled, bitmap(shared), p, q).join(shared, "sig", "left_semi").distinct()  # copies have one class
     # Parts of sets already differ by size class.
     parts = scratch.settle(parts.select("sig", "cid", F.col("cid").alias("node")) if by_parts(p, q) else windows(parts), "parts")
-    rows = scratch.settle(profiled.select("doc_id", "n_shingles", "cid"), "rows")
+    count = profiled.count()
+    rows = scratch.settle(profiled.select("doc_id", "n_shingles", "cid"), "rows", most=count)
+    by_class = profiled.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity"))
+    classes = scratch.settle(by_class, "classes")
     scratch.drop(profiled, shared)
-    classes = scratch.settle(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
 
-    hubs = parts.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
-    routes = parts.join(hubs, "sig").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(routes, scratch, parts.count()).withColumnRenamed("label", "grp")  # the smallest node of the group
+    groups = components(candidate_edges(parts, classes, scratch, p, q), scratch, parts.count()).withColumnRenamed("label", "grp")  # the smallest node of the group
 
+    classes = classes.drop("parity")
     named = parts.select("node", "cid").distinct().join(groups, "node")
-    members = scratch.settle(classes.join(named, "cid"), "members")
+    members = scratch.settle(classes.join(named, "cid"), "members", most=(1 if by_parts(p, q) else 2) * count)
     scratch.drop(parts)
     totals = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(limit)).cast("int").alias("chunks"))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     units = max(1, -(-total // limit))
-    members = scratch.settle(with_chunks(members.join(totals, "grp"), limit), "members")
+    sized = members.count()
+    members = scratch.settle(with_chunks(members.join(totals, "grp"), limit), "members", most=sized)
     small = members.where("chunks <= 1").select("doc_id", "cid", "grp", F.pmod(F.xxhash64("grp"), F.lit(units)).alias("unit"), F.col("cid").alias("mark"))
     large = members.where("chunks > 1")
     anchored = large.where("node != grp").select("doc_id", "cid", "grp", "chunk").unionAll(
@@ -340,7 +396,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, p: int = 9, q: int = 10, lim
 
     if not large.isEmpty():
         marked = large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("mark", F.coalesce("label", "cid")).drop("label")
-        marked = scratch.settle(marked, "marked")
+        marked = scratch.settle(marked, "marked", most=sized)
         spans = marked.groupBy("grp", "chunk").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
         x, y = spans.alias("x"), spans.alias("y")
         open_pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.chunk") < F.col("y.chunk"))).where(

@@ -92,6 +92,31 @@ def test_linked_sets_share_a_part():
     assert linked > 500
 
 
+def test_parities_bound_the_differences():
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        common = rng.integers(0, 2**63, int(rng.integers(0, 3000))).astype(np.uint64)
+        a, b = (np.unique(np.append(common, rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64))) for _ in range(2))
+        assert op6.fewest_differences(op6.parity(a), op6.parity(b)) <= len(np.setxor1d(a, b))
+
+
+def test_texts_that_share_rare_phrases_are_not_read_again(spark, monkeypatch):
+    """Texts that share a phrase of 40 words with each of seven others, most of each text, and two near copies."""
+    pairs = {pair: sentence(500 + n, 40) for n, pair in enumerate(itertools.combinations(range(8), 2))}
+    rows = [(i, " ".join(t for pair, t in pairs.items() if i in pair)) for i in range(8)]
+    rows += [(8, sentence(7, 90)), (9, sentence(7, 90) + " more")]
+    read, real = [], op6.with_texts
+
+    def with_texts(wanted, docs):
+        read.extend(r["doc_id"] for r in wanted.select("doc_id").collect())
+        return real(wanted, docs)
+
+    monkeypatch.setattr(op6, "with_texts", with_texts)
+    got = op6.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(i, 8) for i, _ in rows}
+    assert set(read) == {8, 9}
+
+
 def test_components_of_few_edges_are_few_files(spark):
     old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     try:
