@@ -27,11 +27,14 @@ as the id ''. Without training rows N and all counts are 0. Other columns are ig
 
 from __future__ import annotations
 
+import bisect
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ ORDERS = (2, 4, "word")
 #: Slots of the table: for a distinct token, least and most as powers of two; ranges in which tables are merged.
 PER_TOKEN, LEAST_BITS, MOST_BITS, RANGES = 32, 16, 23, 64
 PART, FREQUENT = 1 << 20, 500_000
-#: Bits between a text's first updates, bits after which strides grow, texts that advance together, bytes whose features are worked out at once.
-STRIDE, EARLY, LANES, PIECE = 32, 1 << 13, 512, 1 << 17
+#: Bits between a text's first updates, bits after which strides grow, texts that advance together and their bytes, bytes whose features are worked out at once.
+STRIDE, EARLY, LANES, TOGETHER, PIECE = 32, 1 << 13, 1024, 1 << 22, 1 << 19
 #: Bytes before a byte that its contexts can hold.
 REACH = 32
 #: Log odds are kept in steps of 1/16; gate sets; steps of the refining table.
@@ -113,28 +116,43 @@ def contexts(data: np.ndarray, since: np.ndarray) -> list[np.ndarray]:
     """A 32-bit hash of each context of each byte; ``since``: bytes before it in its text, up to REACH."""
     n, out = len(data), []
     h = np.full(n, 0x811C9DC5, np.uint32)
+    near = np.flatnonzero(since < 4)
     for k in range(1, 5):
         back = np.zeros(n, np.uint32)
         back[k:] = data[:-k] if k < n else 0
-        back[since < k] = 256
-        h = (h ^ back) * np.uint32(0x01000193)
+        back[near[since[near] < k]] = 256
+        h ^= back
+        h *= np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         if k in ORDERS:
             out.append(h * np.uint32(0x9E3779B1))
     # the current word: the hashed bytes since the last blank, as a difference of prefix sums; at most REACH of them
-    place = np.arange(n)
     if not n:
         return [*out, h]
-    begin = np.where((since == 0) | np.r_[True, SPACE[data[:-1]]], place, 0)
-    begin = np.maximum(np.maximum.accumulate(begin), place - REACH)
-    total = np.r_[np.uint64(0), np.cumsum(BYTE[data] * powers(n))]
-    word = mix((total[place] - total[begin]) * inverse_powers(n)[begin] + (place - begin).astype(np.uint64))
-    out.append((word >> np.uint64(32)).astype(np.uint32))
+    place = np.arange(n)
+    first = SPACE.take(data)
+    first[1:] = first[:-1]
+    first |= since == 0
+    first[0] = True
+    begin = place * first
+    np.maximum.accumulate(begin, out=begin)
+    np.maximum(begin, place - REACH, out=begin)
+    total = np.zeros(n + 1, np.uint64)
+    np.multiply(BYTE.take(data), powers(n), out=total[1:])
+    np.cumsum(total, out=total)
+    word = total[:-1] - total.take(begin)
+    word *= inverse_powers(n).take(begin)
+    place -= begin
+    word += place.view(np.uint64)
+    out.append((mix(word) >> np.uint64(32)).astype(np.uint32))
     return out
 
 
 def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return ((context + node) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+    at = context + node
+    at *= np.uint32(0xC2B2AE35)
+    at >>= np.uint32(32 - bits)
+    return at
 
 
 def table_bits(distinct: int) -> int:
@@ -143,16 +161,66 @@ def table_bits(distinct: int) -> int:
 
 
 class Bits:
-    """The code bits of a run of bytes: how many each byte has, where they begin, and each one's hashed inner node and control."""
+    """The code bits of a run of bytes: how many each byte has, where they begin, and each one's byte, hashed inner node and control."""
 
     def __init__(self, code: Code, data: np.ndarray):
         """``data``: numbers of ``pairs``."""
-        self.length = code.length[data]
+        self.length = code.length.take(data)
         self.start = np.r_[0, np.cumsum(self.length, dtype=np.int64)]
-        at = np.repeat(code.first[data] - self.start[:-1].astype(np.int32), self.length)
-        at += np.arange(len(at), dtype=np.int32)
+        self.owner = np.zeros(self.start[-1], np.int64)  # a byte has one bit at least
+        self.owner[self.start[1:-1]] = 1
+        np.cumsum(self.owner, out=self.owner)
+        at = runs(code.first.take(data), self.length, self.start)
         self.node, self.control = code.node.take(at), code.control.take(at)
 
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Each bit's value of its byte."""
+        return values.take(self.owner)
+
+
+def runs(first: np.ndarray, length: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of so many numbers each, laid end to end; ``start``: where each run begins, and their end."""
+    out = np.ones(start[-1], np.int64)
+    if len(first):
+        out[0] = first[0]
+        out[start[1:-1]] = first[1:] - first[:-1] - length[:-1] + 1
+    return np.cumsum(out, out=out)
+
+
+def alike(context: list[np.ndarray], pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of bytes that stand for all bytes with the same contexts and pair, and each byte's number among them.
+
+    Each byte looks at the last one of its hash and stands for itself if that one differs.
+    """
+    n = len(pair)
+    size = max(1, n.bit_length())
+    wide = np.uint64(32)
+    one, two = (context[0].astype(np.uint64) << wide) | pair.astype(np.uint64), (context[1].astype(np.uint64) << wide) | context[2]
+    spot = context[2] * np.uint32(0x85EBCA6B)
+    spot += context[1]
+    spot *= np.uint32(0x9E3779B1)
+    spot += pair.astype(np.uint32)
+    spot *= np.uint32(0xC2B2AE35)
+    spot >>= np.uint32(32 - size)
+    spot = spot.astype(np.int64)
+    seat, place = np.zeros(1 << size, np.int64), np.arange(n)
+    seat[spot] = place
+    other = seat.take(spot)
+    same = one.take(other) == one
+    same &= two.take(other) == two
+    other = np.where(same, other, place)
+    stands = other == place
+    number = np.cumsum(stands)
+    number -= 1
+    return np.flatnonzero(stands), number.take(other)
+
+
+def distinct_bits(code: Code, data: np.ndarray, since: np.ndarray, skip: int) -> tuple[Bits, list[np.ndarray], np.ndarray]:
+    """Bits and contexts of bytes that stand for all bytes behind the first ``skip``, and each one's number among them."""
+    pair, found = pairs(data, since)[skip:], [h[skip:] for h in contexts(data, since)]
+    own, number = alike(found, pair)
+    return Bits(code, pair[own]), [h[own] for h in found], number
+
 
 def since_start(offsets: np.ndarray) -> np.ndarray:
     sizes = np.diff(offsets)
@@ -206,10 +274,13 @@ def gather_table(docs: DataFrame, code: Code, size: int) -> DataFrame:
                 for a in range(0, len(data), PIECE):
                     low = max(0, a - REACH)
                     piece, early = data[low : a + PIECE], since[low : a + PIECE]
-                    bits = Bits(code, pairs(piece, early)[a - low :])
-                    for h in contexts(piece, early):
-                        at = slots(np.repeat(h[a - low :], bits.length), bits.node, size)
-                        np.add.at(counts, (at << np.uint32(1)) | (bits.control & 1), np.int32(1))
+                    bits, found, number = distinct_bits(code, piece, early, a - low)
+                    times, bit = bits.spread(np.bincount(number).astype(np.int32)), bits.control & 1
+                    for h in found:
+                        at = slots(bits.spread(h), bits.node, size)
+                        at <<= np.uint32(1)
+                        at |= bit
+                        np.add.at(counts, at.astype(np.int64), times)
         both = counts.reshape(-1, 2)
         used = np.flatnonzero(both.any(axis=1))
         for r in range(RANGES):
@@ -267,6 +338,20 @@ class Model:
         odds = [np.clip(self.odds + LESS[few + 256 * bit], -127, 127).astype(np.int8) for bit in (0, 1)]
         return np.stack(odds, 1).ravel(), np.repeat(SEEN_BEFORE[few], 2)
 
+    def piece_features(self, data: np.ndarray, since: np.ndarray, skip: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, Bits, np.ndarray]:
+        """As ``features``, of ``distinct_bits``."""
+        bits, found, number = distinct_bits(self.code, data, since, skip)
+        packed = np.empty((len(bits.control), 4), np.int8)
+        for k, h in enumerate(found):
+            at = slots(bits.spread(h), bits.node, self.size)
+            if own:
+                at <<= np.uint32(1)
+                at |= bits.control & 1
+            packed[:, k] = own[0].take(at) if own else self.odds.take(at)
+        seen = own[1].take(at) if own else SEEN.take(self.few.take(at))
+        packed[:, 3] = (bits.control | (seen << np.uint8(1))).view(np.int8)
+        return packed.view(np.int32)[:, 0], bits, number
+
     def features(self, data: np.ndarray, since: np.ndarray, skip: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each bit after the first ``skip`` bytes the log odds and its control in four bytes; and the bits' starts.
 
@@ -275,19 +360,12 @@ class Model:
         out, starts, total = [], [np.zeros(1, np.int64)], 0
         for a in range(skip, len(data), PIECE):
             low = max(0, a - REACH)
-            piece, early = data[low : a + PIECE], since[low : a + PIECE]
-            bits = Bits(self.code, pairs(piece, early)[a - low :])
-            packed = np.empty((len(bits.control), 4), np.int8)
-            for k, h in enumerate(contexts(piece, early)):
-                at = slots(np.repeat(h[a - low :], bits.length), bits.node, self.size)
-                if own:
-                    at = (at << np.uint32(1)) | (bits.control & 1)
-                packed[:, k] = own[0].take(at) if own else self.odds.take(at)
-            seen = own[1].take(at) if own else SEEN.take(self.few.take(at))
-            packed[:, 3] = (bits.control | (seen << np.uint8(1))).view(np.int8)
-            out.append(packed.view(np.int32)[:, 0])
-            starts.append(bits.start[1:] + total)
-            total += bits.start[-1]
+            packed, bits, number = self.piece_features(data[low : a + PIECE], since[low : a + PIECE], a - low, own)
+            length = bits.length.take(number)
+            start = np.r_[0, np.cumsum(length, dtype=np.int64)]
+            out.append(packed.take(runs(bits.start.take(number), length, start)))
+            starts.append(start[1:] + total)
+            total += start[-1]
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(starts)
 
 
@@ -318,38 +396,45 @@ def mix_texts(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state:
 
 def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
     n, inputs = len(first), len(ORDERS)
-    weights = [np.tile((state[k * GATES : (k + 1) * GATES] / STEP).astype(np.float32), n) for k in range(inputs)]
+    weights = np.zeros((n * GATES, 4), np.float32)  # by lane and gate: a weight for each log odds of a packed bit, none for its control
+    for k in range(inputs):
+        weights[:, k] = np.tile((state[k * GATES : (k + 1) * GATES] / STEP).astype(np.float32), n)
     table = np.tile(state[inputs * GATES :].astype(np.float32), n)
-    lane, cell = np.arange(n, dtype=np.int32)[:, None] * np.int32(GATES), np.arange(n, dtype=np.int32)[:, None] * np.int32(STEPS)
-    total, t, last = np.zeros(n), 0, int(length.max(initial=0))
+    lane, cell = np.arange(n)[:, None] * GATES, np.arange(n)[:, None] * STEPS
+    total, t, last, ends = np.zeros(n), 0, int(length.max(initial=0)), (-length).tolist()
+    room, windows = len(packed) - int(first.max(initial=0)), {}
     while t < last:
         stride = stride_at(before + t)
-        m = int(np.searchsorted(-length, -t, "left"))  # lanes with more than t bits
-        full = int(np.searchsorted(-length, -(t + stride), "right"))  # lanes with bits for the whole stride
-        place = first[:m, None] + np.arange(t, t + stride)
-        if full < m:
-            np.minimum(place, len(packed) - 1, out=place)
-        x = packed.take(place).view(np.int8).reshape(m, stride, 4)
-        control = x[:, :, 3].view(np.uint8)
-        odds = [x[:, :, k].astype(np.float32) for k in range(inputs)]
-        bit = (control & 1).astype(np.float32)
-        gate = (control >> 1) + lane[:m]
-        z = weights[0].take(gate)
-        z *= odds[0]
-        for k in range(1, inputs):
-            more = weights[k].take(gate)
-            more *= odds[k]
-            z += more
-        np.clip(z, -12, 12, out=z)
-        p = np.exp(-z)
+        m = bisect.bisect_left(ends, -t)  # lanes with more than t bits
+        full = bisect.bisect_right(ends, -(t + stride))  # lanes with bits for the whole stride
+        if t + stride <= room:
+            if stride not in windows:
+                windows[stride] = np.lib.stride_tricks.sliding_window_view(packed, stride)
+            rows = windows[stride][first[:m] + t]
+        else:
+            rows = packed.take(first[:m, None] + np.arange(t, t + stride), mode="clip")
+        control = rows.view(np.uint32) >> np.uint32(24)
+        bit = (control & np.uint32(1)).astype(np.float32)
+        control >>= np.uint32(1)
+        gate = (control + lane[:m]).ravel()
+        odds = rows.view(np.int8).reshape(-1, 4).astype(np.float32)
+        part = weights.take(gate, axis=0, mode="clip")
+        part *= odds
+        z = part[:, 0] + part[:, 1]
+        for k in range(2, inputs):
+            z += part[:, k]
+        z = z.reshape(m, stride)
+        z.clip(-12, 12, out=z)
+        p = np.negative(z)
+        np.exp(p, out=p)
         p += 1
         np.reciprocal(p, out=p)
         z *= 2
         z += STEPS / 2
-        np.clip(z, 0, STEPS - 1, out=z)
-        spot = z.astype(np.int32)
+        z.clip(0, STEPS - 1, out=z)
+        spot = z.astype(np.int64)
         spot += cell[:m]
-        miss = table.take(spot)
+        miss = table.take(spot, mode="clip")
         np.subtract(bit, miss, out=miss)
         off = np.subtract(bit, p, out=p)
         chance = off * np.float32(0.75)
@@ -359,15 +444,16 @@ def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state:
         if full < m:
             beyond = np.arange(t, t + stride) >= length[full:m, None]
             off[full:][beyond], miss[full:][beyond], chance[full:][beyond] = 0, 0, 1
-        flat, rate = gate.ravel(), STRIDE / stride
-        for a in range(0, stride, STRIDE):
-            total[:m] += np.log(np.multiply.reduce(chance[:, a : a + STRIDE], axis=1, dtype=np.float64))
+        logs = np.log(np.multiply.reduce(chance.reshape(-1, STRIDE), axis=1, dtype=np.float64))
+        total[:m] += logs if stride == STRIDE else logs.reshape(m, -1).sum(axis=1)
+        rate, flat, slope = STRIDE / stride, off.ravel(), np.empty(m * stride)
         for k in range(inputs):
-            odds[k] *= off
-            weights[k][: m * GATES] += np.float32(RATE * rate / STEP**2) * np.bincount(flat, odds[k].ravel(), minlength=m * GATES)
+            change = np.bincount(gate, np.multiply(odds[:, k], flat, out=slope), minlength=m * GATES)
+            change *= np.float32(RATE * rate / STEP**2)
+            weights[: m * GATES, k] += change
         table[: m * STEPS] += REFINE_RATE * rate * np.bincount(spot.ravel(), miss.ravel(), minlength=m * STEPS)  # REFINE_RATE * STRIDE < 1
         t += stride
-    end = np.concatenate([STEP * w[-GATES:] for w in weights] + [table[-STEPS:]]).astype(float)
+    end = np.concatenate([STEP * weights[-GATES:, k] for k in range(inputs)] + [table[-STEPS:]]).astype(float)
     return total, end
 
 
@@ -430,7 +516,8 @@ def fit_state(docs: DataFrame, model: Model) -> np.ndarray:
                 since = since_start(offsets)
                 for a in range(0, len(data), PIECE):
                     low = max(0, a - REACH)
-                    np.add.at(total, cells(model.features(data[low : a + PIECE], since[low : a + PIECE], a - low, own)[0]), 1)
+                    packed, bits, number = model.piece_features(data[low : a + PIECE], since[low : a + PIECE], a - low, own)
+                    np.add.at(total, cells(packed).astype(np.int64), bits.spread(np.bincount(number)))
         used = np.flatnonzero(total)
         for a in range(0, len(used), 1 << 17):
             part = used[a : a + (1 << 17)]
@@ -451,6 +538,21 @@ def fit_state(docs: DataFrame, model: Model) -> np.ndarray:
     return state
 
 
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_id, bytes and offsets of runs of rows: texts of similar length, TOGETHER bytes of them, or one beyond PART bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
+    a = 0
+    while a < len(order):
+        before = ends[a - 1] if a else 0
+        b = a + 1 if sizes[order[a]] > PART else max(a + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        rows = batch.take(pa.array(order[a:b]))
+        for i, j, data, offsets in text_parts(rows.column("text"), max(TOGETHER, int(ends[b - 1] - before))):
+            yield rows.column("doc_id").slice(i, j - i), data, offsets
+        a = b
+
+
 def learn(training: DataFrame, pair_counts: np.ndarray, size: int) -> Model:
     code = Code(pair_counts)
     odds, few = np.zeros(1 << size, np.int8), np.zeros(1 << size, np.uint8)
@@ -504,9 +606,9 @@ def score(docs: DataFrame) -> DataFrame:
         model, keys, counts = shipped(shared)
         logs = np.log10((counts + 0.5) / below)
         for batch in batches:
-            for i, j, data, offsets in text_parts(batch.column("text"), PART):
+            for ids, data, offsets in by_length(batch):
                 words = Words(data, offsets)
-                bounds = words.bounds + np.arange(j - i + 1)
+                bounds = words.bounds + np.arange(len(offsets))
                 hashes = np.insert(words.hash, words.bounds[1:], np.uint64(END)).view(np.int64)
                 at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
                 hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
@@ -515,7 +617,7 @@ def score(docs: DataFrame) -> DataFrame:
                 rare = [hashes[a:b][~hit[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
                 total = score_texts(model, data, offsets)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(known[bounds[1:]] - known[bounds[:-1]]),
+                    ids, pa.array(np.diff(bounds)), pa.array(known[bounds[1:]] - known[bounds[:-1]]),
                     pa.array(part[bounds[1:]] - part[bounds[:-1]]), pa.array(total / np.log(10)), pa.array(np.diff(offsets)), list_array(rare, pa.int64()),
                 ], names=["doc_id", "n_tokens", "known", "part", "score", "n_bytes", "rare"])
 

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,31 @@ def test_context_mixing_fit():
     assert op8.stride_at(0) == op8.STRIDE and op8.stride_at(op8.EARLY * 4) == 4 * op8.STRIDE
 
 
+def test_context_mixing_folds_equal_contexts(monkeypatch):
+    """Bytes with equal contexts are worked out once, with the features each has by itself; texts go by length, none is lost."""
+    text = (sentence(5, 400) + " ") * 3
+    data, rng = np.frombuffer((text + "\x00" + sentence(6, 90) + text).encode(), np.uint8), np.random.default_rng(6)
+    code, offsets = op8.Code(rng.integers(0, 1000, 1 << 16)), np.array([0, 3, 3, len(text), len(text) + 1, len(data)])
+    since = op8.since_start(offsets)
+    model = op8.Model(code, rng.integers(-127, 128, 1 << 16).astype(np.int8), rng.integers(0, 256, 1 << 16).astype(np.uint8), op8.first_state())
+    all_bits, found = op8.Bits(code, op8.pairs(data, since)), op8.contexts(data, since)
+    want = np.stack([model.odds[op8.slots(np.repeat(h, all_bits.length), all_bits.node, 16)] for h in found], 1)
+    monkeypatch.setattr(op8, "PIECE", 1 << 12)
+    got, starts = model.features(data, since, 0)
+    assert (got.view(np.int8).reshape(-1, 4)[:, :3] == want).all() and (starts == all_bits.start).all()
+    folded, _, number = op8.distinct_bits(code, data, since, 0)
+    assert len(folded.control) < len(all_bits.control) / 2 and len(number) == len(data)
+
+    texts = [None, "", "a", text, "b" * 3000, None, "c" * 9000, "d" * 2000]
+    monkeypatch.setattr(op8, "PART", 4000)
+    monkeypatch.setattr(op8, "TOGETHER", 5000)
+    seen = {}
+    for ids, part, bounds in op8.by_length(pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": texts})):
+        assert len(ids) == 1 or len(part) <= 5000
+        seen |= {i: part[a:b].tobytes().decode() for i, a, b in zip(ids.to_pylist(), bounds[:-1], bounds[1:])}
+    assert seen == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_huffman_code_is_complete():
     code = op8.Code(np.random.default_rng(1).integers(0, 1000, 1 << 16))
     assert np.allclose((2.0 ** -code.length).reshape(256, 256).sum(axis=1), 1)
