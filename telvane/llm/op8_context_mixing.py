@@ -31,6 +31,7 @@ import bisect
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -223,8 +224,11 @@ def distinct_bits(code: Code, data: np.ndarray, since: np.ndarray, skip: int) ->
 
 
 def since_start(offsets: np.ndarray) -> np.ndarray:
-    sizes = np.diff(offsets)
-    return np.minimum(np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes), REACH).astype(np.uint8)
+    """Bytes before each byte in its text, up to REACH."""
+    out, sizes = np.full(offsets[-1], REACH, np.uint8), np.diff(offsets)
+    for k in range(REACH):
+        out[offsets[:-1][sizes > k] + k] = k
+    return out
 
 
 def gather_statistics(docs: DataFrame) -> DataFrame:
@@ -332,6 +336,11 @@ class Model:
     def size(self) -> int:
         return len(self.odds).bit_length() - 1
 
+    @cached_property
+    def word(self) -> np.ndarray:
+        """Log odds and class of a slot, the latter for its place in a control, in two bytes: one look-up gives both."""
+        return np.stack([self.odds.view(np.uint8), (SEEN << 1).astype(np.uint8).take(self.few)], 1).view(np.uint16)[:, 0]
+
     def without_own(self) -> tuple[np.ndarray, np.ndarray]:
         """Log odds and classes of a slot without one bit, by slot and that bit."""
         few = self.few.astype(np.int16)
@@ -347,9 +356,14 @@ class Model:
             if own:
                 at <<= np.uint32(1)
                 at |= bits.control & 1
-            packed[:, k] = own[0].take(at) if own else self.odds.take(at)
-        seen = own[1].take(at) if own else SEEN.take(self.few.take(at))
-        packed[:, 3] = (bits.control | (seen << np.uint8(1))).view(np.int8)
+            if own or k < len(found) - 1:
+                packed[:, k] = own[0].take(at) if own else self.odds.take(at)
+        if own:
+            seen = own[1].take(at) << np.uint8(1)
+        else:
+            both = self.word.take(at).view(np.int8).reshape(-1, 2)
+            packed[:, k], seen = both[:, 0], both[:, 1].view(np.uint8)
+        packed[:, 3] = (bits.control | seen).view(np.int8)
         return packed.view(np.int32)[:, 0], bits, number
 
     def features(self, data: np.ndarray, since: np.ndarray, skip: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -357,16 +371,17 @@ class Model:
 
         ``own``: from ``without_own``, if the bits are in the table and each is to be left out of its own features.
         """
-        out, starts, total = [], [np.zeros(1, np.int64)], 0
-        for a in range(skip, len(data), PIECE):
-            low = max(0, a - REACH)
+        pieces, starts = [(max(0, a - REACH), a) for a in range(skip, len(data), PIECE)], np.zeros(len(data) - skip + 1, np.int32)
+        for low, a in pieces:
+            self.code.length.take(pairs(data[low : a + PIECE], since[low : a + PIECE])[a - low :], out=starts[a - skip + 1 : a - skip + 1 + PIECE], mode="clip")
+        np.cumsum(starts, out=starts)
+        out = np.empty(starts[-1], np.int32)
+        for low, a in pieces:
             packed, bits, number = self.piece_features(data[low : a + PIECE], since[low : a + PIECE], a - low, own)
-            length = bits.length.take(number)
-            start = np.r_[0, np.cumsum(length, dtype=np.int64)]
-            out.append(packed.take(runs(bits.start.take(number), length, start)))
-            starts.append(start[1:] + total)
-            total += start[-1]
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(starts)
+            start = starts[a - skip : a - skip + PIECE + 1].astype(np.int64)
+            own_bits = out[start[0] : start[-1]]
+            packed.take(runs(bits.start.take(number), bits.length.take(number), start - start[0]), out=own_bits, mode="clip")
+        return out, starts
 
 
 def first_state() -> np.ndarray:
@@ -444,8 +459,10 @@ def mix_lanes(packed: np.ndarray, first: np.ndarray, length: np.ndarray, state:
         if full < m:
             beyond = np.arange(t, t + stride) >= length[full:m, None]
             off[full:][beyond], miss[full:][beyond], chance[full:][beyond] = 0, 0, 1
-        logs = np.log(np.multiply.reduce(chance.reshape(-1, STRIDE), axis=1, dtype=np.float64))
-        total[:m] += logs if stride == STRIDE else logs.reshape(m, -1).sum(axis=1)
+        product = chance.reshape(-1, STRIDE).astype(np.float64)
+        while (half := product.shape[1] // 2) > 0:
+            product = product[:, :half] * product[:, half:]
+        total[:m] += np.log(product).reshape(m, -1).sum(axis=1)
         rate, flat, slope = STRIDE / stride, off.ravel(), np.empty(m * stride)
         for k in range(inputs):
             change = np.bincount(gate, np.multiply(odds[:, k], flat, out=slope), minlength=m * GATES)
@@ -465,7 +482,7 @@ def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     for a in range(0, len(data), step):
         b, low = min(a + step, len(data)), max(0, a - REACH)
         features, starts = model.features(data[low:b], since[low:b], a - low)
-        bounds = starts[offsets.clip(a, b) - a]
+        bounds = starts[offsets.clip(a, b) - a].astype(np.int64)
         found, end = mix_texts(features, bounds[:-1], np.diff(bounds), state, before)
         out += found
         if n == 1:
@@ -585,6 +602,24 @@ def frequent_tokens(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, int]
     return keys[order], counts[order], least
 
 
+class Lookup:
+    """Places in sorted 64-bit hashes, by their first bits and a few steps on."""
+
+    def __init__(self, keys: np.ndarray):
+        size = max(1, len(keys).bit_length())
+        self.keys, self.shift = np.append(keys, np.iinfo(np.int64).max), 64 - size
+        self.first = np.searchsorted(keys, np.arange(-(1 << (size - 1)), 1 << (size - 1)) << self.shift).astype(np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of the first key that is not smaller; the number of keys at most."""
+        at = self.first.take((hashes >> self.shift) + len(self.first) // 2).astype(np.int64)
+        left = np.flatnonzero(self.keys.take(at) < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys.take(at[left]) < hashes[left]]
+        return at
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs``."""
     spark = docs.sparkSession
@@ -604,13 +639,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         model, keys, counts = shipped(shared)
-        logs = np.log10((counts + 0.5) / below)
+        logs, find = np.log10((counts + 0.5) / below), Lookup(keys)
         for batch in batches:
             for ids, data, offsets in by_length(batch):
                 words = Words(data, offsets)
                 bounds = words.bounds + np.arange(len(offsets))
                 hashes = np.insert(words.hash, words.bounds[1:], np.uint64(END)).view(np.int64)
-                at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+                at = np.minimum(find(hashes), max(0, len(keys) - 1))
                 hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
                 part = np.r_[0.0, np.cumsum(np.where(hit, logs[at] if len(keys) else 0.0, 0.0))]
                 known = np.r_[0, np.cumsum(hit)]
