@@ -46,7 +46,7 @@ ORDERS = (2, 4, "word")
 PER_TOKEN, LEAST_BITS, MOST_BITS, RANGES = 32, 16, 23, 64
 PART, FREQUENT = 1 << 20, 500_000
 #: Bits between a text's first updates, bits after which strides grow, texts that advance together and their bytes, bytes whose features are worked out at once.
-STRIDE, EARLY, LANES, TOGETHER, PIECE = 32, 1 << 13, 1024, 1 << 22, 1 << 19
+STRIDE, EARLY, LANES, TOGETHER, PIECE = 32, 1 << 13, 512, 1 << 21, 1 << 17
 #: Bytes before a byte that its contexts can hold.
 REACH = 32
 #: Log odds are kept in steps of 1/16; gate sets; steps of the refining table.
