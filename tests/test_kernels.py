@@ -71,3 +71,26 @@ def test_numpy_takes_over(spark, rows, monkeypatch):
         out += sorted((r["row_id"], r["p"]) for r in rows.withColumn("p", fitted.probability()).collect())
         monkeypatch.setattr(T, "kernel", lambda spark, name: None)
     assert got == want
+
+
+def test_large_forests_stay_on_the_executors(spark, rows, monkeypatch):
+    """Trees that would be too large to broadcast meet the rows in blocks: the same scores, and nothing passes the driver."""
+    names = [f"f{j}" for j in range(6)]
+    folds = forest.with_folds(rows, 3).withColumn("again", F.lit(1)).unionByName(forest.with_folds(rows, 3).withColumn("again", F.lit(2)))
+    fitted = forest.fit_models(folds, names, {i: F.col("fold") != i for i in range(3)}, T.Growth(7))
+    calibrated = forest.Forest(fitted[0], names, [(fitted[0], 1.5, -0.2), (fitted[1], 2.0, 0.1)])
+
+    def found():
+        one = {(r["row_id"], r["again"]): r["p_rf"] for r in forest.Forest(fitted[2], names).score(folds).collect()}
+        held = {(r["row_id"], r["again"]): r["p"] for r in forest._held_out(folds, fitted, "p").collect()}
+        return one, held, {(r["row_id"], r["again"]): r["p_rf"] for r in calibrated.score(folds).collect()}
+
+    want = found()
+    for model in fitted.values():
+        monkeypatch.setattr(model, "parts", lambda: pytest.fail("the forest passed the driver"))
+    monkeypatch.setattr(T, "LARGE", 100), monkeypatch.setattr(T, "BUNDLE", 5000), monkeypatch.setattr(T, "SMALL", 20_000)
+    got = found()
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, abs=1e-11) and len(b) == 2 * rows.count()
+    empty = forest.Forest(fitted[2], names).score(folds.limit(0))
+    assert empty.count() == 0 and empty.columns == [*folds.columns, "p_rf"]
